@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog.llm.residue import residue
 from stratalog.llm.splitting import split_oversized
 from stratalog.llm.top_items import top_items
 from stratalog.operators.file_states import resolved_entries
@@ -50,5 +51,16 @@ select distinct chunk_id from c left join l on c.lang = l.lang and l.lang <> '*'
 where length(content) > coalesce(max_chars, ac)
    or length(content) - length(replace(content, chr(10), '')) + case when content like '%' || chr(10) then 0 else 1 end > coalesce(max_lines, al)"""
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_pieces": p6_pieces}
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold unfilled blanks, filler, or an error or script notice."""
+    return residue(table(spark, folder, "documents")).select("doc_id")
+
+
+def p9_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents hold each kind of residue."""
+    return residue(table(spark, folder, "documents")).select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p9_found": p9_found, "p9_kinds": p9_kinds}
 SQL = {"p3_found": _P3, "p6_found": _P6}
