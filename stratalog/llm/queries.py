@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog.llm.credentials import find_credentials, redacted
 from stratalog.llm.residue import residue
 from stratalog.llm.splitting import split_oversized
 from stratalog.llm.top_items import top_items
@@ -33,6 +34,16 @@ with h as (select hit_id, query_id, regexp_replace(replace(file_path, '\', '/'),
 select query_id, file_path, hit_id from r where n <= cap"""
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of the texts of entries that count which hold a live credential."""
+    return find_credentials(table(spark, folder, "snapshots"), table(spark, folder, "snapshot_files")).select("snapshot_id", "path", "line_no").distinct()
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that hold credentials, masked."""
+    return redacted(table(spark, folder, "snapshots"), table(spark, folder, "snapshot_files"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks over the limits of their language: those the splitter cuts."""
     return split_oversized(table(spark, folder, "code_chunks"), table(spark, folder, "chunk_limits")).select("chunk_id").distinct()
@@ -62,5 +73,5 @@ def p9_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return residue(table(spark, folder, "documents")).select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p9_found": p9_found, "p9_kinds": p9_kinds}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_pieces": p6_pieces, "p9_found": p9_found, "p9_kinds": p9_kinds}
 SQL = {"p3_found": _P3, "p6_found": _P6}
