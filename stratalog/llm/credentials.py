@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.llm.entries import counting, owners, texts
 from stratalog.session import staged
 from stratalog.sources.tables import clean_path, newest, small
 
@@ -172,18 +173,12 @@ def scan(text: str, path: str, trigger: ahocorasick.Automaton) -> list[tuple[int
     return out
 
 
-def _live(files: DataFrame) -> DataFrame:
-    """Entries with a text, of all deliveries, with a key of the delivery."""
-    return files.filter("content is not null and snapshot_id is not null and path is not null and not coalesce(deleted, false)").select("snapshot_id", clean_path("path").alias("path"), "content", F.coalesce(F.unix_micros(F.col("received_at").cast("timestamp")), F.lit(0)).alias("delivery"))
-
-
 def candidates(snapshots: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(plausible secrets of the entries that count, those entries): the index of literals with their owners.
 
     The scan runs where the files lie; only its finds and the keys of entries are shuffled, texts are not.
     """
-    counts = newest(files.filter("snapshot_id is not null and path is not null").select("snapshot_id", clean_path("path").alias("path"), "received_at", (F.col("content").isNotNull() & ~F.coalesce("deleted", F.lit(False))).alias("__live"), F.xxhash64("content").alias("__text")), ["snapshot_id", "path"])
-    counts = counts.filter("__live").select("snapshot_id", "path", F.coalesce(F.unix_micros(F.col("received_at").cast("timestamp")), F.lit(0)).alias("delivery"))
+    counts = counting(files).filter("has_text").drop("has_text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trigger = _trigger()
@@ -192,9 +187,8 @@ def candidates(snapshots: DataFrame, files: DataFrame) -> tuple[DataFrame, DataF
             if rows:
                 yield _batch(rows)
 
-    found = _live(files).mapInArrow(find, _FOUND)
-    owners = newest(snapshots.filter("snapshot_id is not null").select("snapshot_id", "workspace", "received_at"), ["snapshot_id"]).select("snapshot_id", F.col("workspace").alias("owner"))
-    index = staged(found.join(counts, ["snapshot_id", "path", "delivery"], "left_semi").join(small(owners), "snapshot_id", "left"))
+    found = texts(files).mapInArrow(find, _FOUND)
+    index = staged(found.join(counts, ["snapshot_id", "path", "delivery"], "left_semi").join(small(owners(snapshots)), "snapshot_id", "left"))
     return index, counts
 
 
@@ -221,7 +215,7 @@ def find_credentials(snapshots: DataFrame, files: DataFrame, max_owners: int = P
     again = None
     for i in range(passes):
         values = [r.value for r in known.filter(F.pmod("h", F.lit(passes)) == i).select("value").collect()]
-        part = _search(_live(files), values) if values else None
+        part = _search(texts(files), values) if values else None
         again = part if again is None else again if part is None else again.unionByName(part)
     if again is None:
         return named.distinct()

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm.credentials import find_credentials, redacted
+from stratalog.llm.entries import owners
+from stratalog.llm.foreign_files import foreign_files
 from stratalog.llm.residue import residue
 from stratalog.llm.splitting import split_oversized
 from stratalog.llm.top_items import top_items
@@ -34,6 +36,26 @@ with h as (select hit_id, query_id, regexp_replace(replace(file_path, '\', '/'),
 select query_id, file_path, hit_id from r where n <= cap"""
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of a workspace that were not written by hand."""
+    found = foreign_files(table(spark, folder, "snapshots"), table(spark, folder, "snapshot_files"))
+    return found.select(F.col("owner").alias("workspace"), "path")
+
+
+def p4_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """How many files of each kind there are."""
+    found = foreign_files(table(spark, folder, "snapshots"), table(spark, folder, "snapshot_files"))
+    return found.select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("files"))
+
+
+def p4_handwritten_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of the files that remain."""
+    snapshots = table(spark, folder, "snapshots")
+    found = foreign_files(snapshots, table(spark, folder, "snapshot_files")).select("owner", F.col("path").alias("file_path"))
+    chunks = table(spark, folder, "code_chunks").select("chunk_id", "snapshot_id", clean_path("file_path").alias("file_path")).distinct()
+    return chunks.join(small(owners(snapshots)), "snapshot_id").join(found, ["owner", "file_path"], "left_anti").select("chunk_id", "snapshot_id", "file_path")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of the texts of entries that count which hold a live credential."""
     return find_credentials(table(spark, folder, "snapshots"), table(spark, folder, "snapshot_files")).select("snapshot_id", "path", "line_no").distinct()
@@ -73,5 +95,5 @@ def p9_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return residue(table(spark, folder, "documents")).select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_pieces": p6_pieces, "p9_found": p9_found, "p9_kinds": p9_kinds}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_kinds": p4_kinds, "p4_handwritten_chunks": p4_handwritten_chunks, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_pieces": p6_pieces, "p9_found": p9_found, "p9_kinds": p9_kinds}
 SQL = {"p3_found": _P3, "p6_found": _P6}
