@@ -6,15 +6,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm.credentials import find_credentials, redacted
-from stratalog.llm.entries import owners
+from stratalog.llm.entries import counting, owners, texts
 from stratalog.llm.foreign_files import foreign_files
+from stratalog.llm.near_duplicates import expand_pairs, members, near_duplicates, near_pairs, text_key
 from stratalog.llm.residue import residue
 from stratalog.llm.splitting import split_oversized
 from stratalog.llm.top_items import top_items
 from stratalog.operators.file_states import resolved_entries
+from stratalog.session import staged
 from stratalog.sources.tables import clean_path, newest, small, table
 
 
+#: What makes two pieces of code the same but for edits: three words, a similarity of 0.6, 30 words.
+_EDITED = {"words": 3, "threshold": 0.6, "min_words": 30}
+
+
+def _units(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(unit, content) of chunks and of full texts in files, and the members of those texts: chunks, and the entries
+    that count. Which delivery counts is settled on keys alone; a text that only an earlier one had has no member."""
+    chunks = table(spark, folder, "code_chunks").filter("chunk_id is not null").select(F.lit("chunk").alias("unit"), F.col("chunk_id").alias("id"), "content")
+    files = table(spark, folder, "snapshot_files")
+    whole = texts(files).withColumn("unit", F.lit("file"))
+    entries = whole.select("snapshot_id", "path", "delivery", F.lit("file").alias("group"), F.concat("snapshot_id", F.lit("|"), "path").alias("id"), text_key("unit", "content").alias("k"))
+    entries = entries.join(counting(files).filter("has_text"), ["snapshot_id", "path", "delivery"], "left_semi").select("group", "id", "k")
+    return chunks.select("unit", "content").unionByName(whole.select("unit", "content")), members(chunks, "id", "unit", "content").unionByName(entries)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of chunks, and of full texts of files, that are largely the same."""
+    docs, member = _units(spark, folder)
+    return expand_pairs(staged(near_pairs(docs, "unit", "content", **_EDITED)), member).withColumnRenamed("group", "unit")
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of each chunk and file, and its links."""
+    docs, member = _units(spark, folder)
+    return near_duplicates(docs, member, "unit", "content", **_EDITED).withColumnRenamed("group", "unit")
+
+
 def _best_hits(spark: SparkSession, folder: str) -> DataFrame:
     hits = table(spark, folder, "search_results").select("hit_id", "query_id", clean_path("file_path").alias("file_path"), "score", "received_at")
     caps = table(spark, folder, "search_queries").select("query_id", F.coalesce("max_results_per_file", F.lit(3)).alias("cap")).groupBy("query_id").agg(F.max("cap").alias("cap"))
@@ -95,5 +124,5 @@ def p9_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return residue(table(spark, folder, "documents")).select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_kinds": p4_kinds, "p4_handwritten_chunks": p4_handwritten_chunks, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_pieces": p6_pieces, "p9_found": p9_found, "p9_kinds": p9_kinds}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_kinds": p4_kinds, "p4_handwritten_chunks": p4_handwritten_chunks, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_pieces": p6_pieces, "p9_found": p9_found, "p9_kinds": p9_kinds}
 SQL = {"p3_found": _P3, "p6_found": _P6}
