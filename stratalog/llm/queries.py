@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from stratalog.llm.credentials import find_credentials, redacted
 from stratalog.llm.entries import counting, owners, texts
 from stratalog.llm.foreign_files import foreign_files
+from stratalog.llm.mixing import draw, shares
 from stratalog.llm.near_duplicates import expand_pairs, members, near_duplicates, near_pairs, text_key
+from stratalog.llm.packing import fill_report, pack
 from stratalog.llm.residue import residue
 from stratalog.llm.splitting import split_oversized
 from stratalog.llm.top_items import top_items
@@ -114,6 +116,28 @@ where length(content) > coalesce(max_chars, ac)
    or length(content) - length(replace(content, chr(10), '')) + case when content like '%' || chr(10) then 0 else 1 end > coalesce(max_lines, al)"""
 
 
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every text, for each spec."""
+    return pack(table(spark, folder, "documents"), table(spark, folder, "pack_specs"))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers and fill of each spec."""
+    specs = table(spark, folder, "pack_specs")
+    return fill_report(pack(table(spark, folder, "documents"), specs), specs)
+
+
+def p8_draws(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that each mix draws, and how often."""
+    return draw(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of each source in its mix, wanted and reached."""
+    targets = table(spark, folder, "mix_targets")
+    return shares(draw(table(spark, folder, "documents"), targets), targets)
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold unfilled blanks, filler, or an error or script notice."""
     return residue(table(spark, folder, "documents")).select("doc_id")
@@ -124,5 +148,5 @@ def p9_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return residue(table(spark, folder, "documents")).select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_kinds": p4_kinds, "p4_handwritten_chunks": p4_handwritten_chunks, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_pieces": p6_pieces, "p9_found": p9_found, "p9_kinds": p9_kinds}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_kinds": p4_kinds, "p4_handwritten_chunks": p4_handwritten_chunks, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_draws": p8_draws, "p8_shares": p8_shares, "p9_found": p9_found, "p9_kinds": p9_kinds}
 SQL = {"p3_found": _P3, "p6_found": _P6}
