@@ -39,6 +39,8 @@ _REMARK = re.compile(r"""^\s*(?:(?:is|was|=|:)\s+)?(?P<value>[^\s'"`]+)\s*(?:\*/
 _COMMENT = re.compile(r"(?<![:\w])(?://|#|/\*|<!--|--\s|\*\s)")
 _CONFIG = re.compile(r"(?:^|/)\.env|\.(?:ini|cfg|conf|config|env|properties|ya?ml|toml|sh|bash|zsh|tf|tfvars|dockerfile|envrc|txt|npmrc|pypirc|netrc)(?:\.[\w-]+)?$|(?:^|/)Dockerfile|(?:^|/)\.(?:npmrc|pypirc|netrc|pgpass)$", re.I)
 _TEMPLATE = re.compile(r"\$\{|\$\(|\{\{|\}\}|<%|%>|#\{|^\$[A-Za-z_]\w*$|^%\(?[A-Za-z_]\w*\)?s?%?$|^@@|^__[A-Z]|^<[^>]*>$|^\[[^\]]*\]$|^\{[^}]*\}$")
+#: Names under which programs look a value up.
+_LOOKUP = re.compile(r"^(?:process\.env|import\.meta\.env|os\.(?:environ|getenv)|System\.getenv|ENV|env|config|settings|secrets?|vars?|local|data|module|self|this|cfg|options|params|args)\b[.\[(]", re.I)
 _STAND_IN = re.compile(
     r"^(?:change[_-]?(?:me|it|this)?|replace[_-]?(?:me|this)|your[_-].*|my[_-]?(?:password|secret|token|key)|.*[_-]here|example.*|sample|dummy.*|placeholder.*|fake.*|test(?:ing)?|none|null|nil|undefined|true|false|todo.*|tbd|n/?a|redacted|removed|hidden|masked|secret|password|passwd|token|key|apikey|default|required|optional|string|text|bearer|basic|env|vault|prompt|admin|root|user|empty|unset|insert.*|enter.*|set[_-].*)$",
     re.I,
@@ -69,7 +71,7 @@ def _entropy(v: str) -> float:
 def plausible(value: str, kind: str) -> bool:
     """Whether ``value`` has the shape of a live secret: of a ``pass`` word (people choose them), or of a ``token``."""
     v = value.strip()
-    if len(v) < 5 or " " in v or _TEMPLATE.search(v) or _MASKED.search(v) or _STAND_IN.match(v) or re.match(r"^[a-z]+://[^@]*$", v):
+    if len(v) < 5 or " " in v or _TEMPLATE.search(v) or _MASKED.search(v) or _STAND_IN.match(v) or _LOOKUP.match(v) or re.match(r"^[a-z]+://[^@]*$", v):
         return False
     if PREFIXED.search(v):
         return True

@@ -214,7 +214,7 @@ _PLAIN = _trigger(frozenset())
 def evidence(text: str, latin: frozenset[str] = frozenset(), trigger: ahocorasick.Automaton = _PLAIN) -> set[str]:
     """Kinds of evidence in ``text``; ``latin``: words of filler in an invented language, known to ``trigger``."""
     found: set[str] = set()
-    if _mashed(text):
+    if any(map(_mashed, text.split("\n"))):
         found.add("filler")
     parts = _FENCE.split(text.replace("\r\n", "\n"))
     prose = "\n".join(parts[::2]) if len(parts) % 2 else "\n".join(parts)  # between a pair of fences lies code
@@ -251,15 +251,18 @@ def _line_evidence(line: str, latin: frozenset[str]) -> set[str]:
     return found
 
 
-def _mashed(text: str) -> bool:
-    """The whole text is a few words over and over: keyboard rows, test words, or one sentence repeated."""
-    words = [w.lower() for w in _WORD.findall(text)]
-    if len(words) < 6 or _FENCE.search(text):
+def _mashed(line: str) -> bool:
+    """A line is a few words over and over: keyboard rows, test words, or one sentence repeated."""
+    words = line.lower().split(maxsplit=6)
+    if len(words) < 6:
         return False
-    kinds = set(words)
-    if len(kinds) <= 12 and kinds <= _MASH:
-        return True
-    sentences = [s.strip().lower() for s in _SENTENCE.split(text) if s.strip()]
+    if words[0].strip(".,") in _MASH and words[1].strip(".,") in _MASH:
+        kinds = {w.lower() for w in _WORD.findall(line)}
+        if kinds <= _MASH:
+            return True
+    if line.count(words[0].title()) + line.count(words[0]) < 3:
+        return False
+    sentences = [s.strip().lower() for s in _SENTENCE.split(line) if s.strip()]
     return len(sentences) >= 3 and len(set(sentences)) == 1
 
 
