@@ -103,7 +103,8 @@ BLANK = (
     r"(?<![\w)\]$%'\"])\{\d{1,2}\}(?![\w(\[])",
     r"(?<![\w<>)\]])<(?!(?:a|b|i|p|br|hr|li|ul|ol|td|tr|th|h\d|em|tt|pre|div|img|body|html|head|code|span|table|title|strong|script|style|details|summary>.*</summary|sub|sup|kbd|https?|int|str|string|void|t|k|v)\b)[a-z][a-z_]*(?: [a-z]+){0,3}>(?!\s*[(;{=])",
 )
-#: A sentence that speaks of such things, or reports a change to them: no evidence.
+#: A sentence that speaks of notices or filler, or reports a change to them: no evidence of those. Blanks and absent
+#: values are no words to speak with; where they are examples they stand in code or quotation marks.
 _SPEAKS = re.compile(
     r"\b(?:handler|raised from|moved to|now (?:logs?|shows?)|error pages?|retr(?:y|ies|ied) on|fixed the|removed the|replaced the|documented in|works without|users? reported|reported that|answers? with|is (?:stored|shown|expanded|allowed|replaced) as|is allowed|are (?:shown|stored|treated) as|a test used|used lorem|which hid|the renderer|fills? it|adds? `|list of names|maintenance of the .{1,40} (?:finished|ended)|was never released|for example|e\.g\.|such as|when(?:ever)? the server|test for both)\b",
     re.I,
@@ -239,14 +240,15 @@ def _line_evidence(line: str, latin: frozenset[str]) -> set[str]:
         if len(words) >= FILLER_WORDS and sum(w in latin for w in words) >= FILLER_SHARE * len(words):
             found.add("filler")
     for sentence in _SENTENCE.split(bare):
-        if next(_PLAIN.iter(sentence.lower()), None) is None or _SPEAKS.search(sentence):
+        if next(_PLAIN.iter(sentence.lower()), None) is None:
             continue
         if _BLANKS.search(sentence):
             found.add("blank")
+        speaks = _SPEAKS.search(sentence) is not None
         whole = sentence.lower().strip(" \t-*#>|")
         low = whole if "{" in whole else _QUOTED.sub(" ", whole)
         for kind, pattern in _KINDS.items():
-            if kind not in found and pattern.search(low):
+            if kind not in found and not (speaks and kind != "absent") and pattern.search(low):
                 found.add(kind)
     return found
 
