@@ -1 +1,26 @@
 """Named queries over the test tables, each with the SQL it must agree with where SQL can say it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+class Registry:
+    """The queries of a module, by the name of their function, and their SQL."""
+
+    def __init__(self) -> None:
+        self.queries: dict[str, Query] = {}
+        self.sql: dict[str, str] = {}
+
+    def __call__(self, sql: str | None = None) -> Callable[[Query], Query]:
+        def add(query: Query) -> Query:
+            self.queries[query.__name__] = query
+            if sql is not None:
+                self.sql[query.__name__] = sql
+            return query
+
+        return add
