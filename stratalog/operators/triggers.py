@@ -32,9 +32,9 @@ def throttled(events: DataFrame, rule: str, ts: str, ident: str, hours: float) -
 
 
 def sessions(events: DataFrame, keys: list[str], ts: str, gap_minutes: int) -> DataFrame:
-    """(keys.., started, ended, events): runs of events less than the gap apart."""
+    """(keys.., started, ended, events): runs of events at most the gap apart, as in a session window."""
     w = Window.partitionBy(*keys).orderBy(ts)
-    new = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))) >= gap_minutes * 60_000_000
+    new = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))) > gap_minutes * 60_000_000
     runs = events.withColumn("__run", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w))
     return runs.groupBy(*keys, "__run").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("events")).drop("__run")
 

@@ -20,7 +20,7 @@ def st1_throttled(spark: SparkSession, folder: str) -> DataFrame:
     return T.throttled(table(spark, folder, "events"), "event_type", "ts", "event_id", 6)
 
 
-@query("""with r as (select user_id, ts, sum((g is null or g >= interval 15 minute)::int) over (partition by user_id order by ts rows unbounded preceding) run from (select user_id, ts, ts - lag(ts) over (partition by user_id order by ts) g from events))
+@query("""with r as (select user_id, ts, sum((g is null or g > interval 15 minute)::int) over (partition by user_id order by ts rows unbounded preceding) run from (select user_id, ts, ts - lag(ts) over (partition by user_id order by ts) g from events))
 select user_id, min(ts) started, max(ts) ended, count(*) events from r group by user_id, run""")
 def st2_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return T.sessions(table(spark, folder, "events"), ["user_id"], "ts", 15)
