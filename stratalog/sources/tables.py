@@ -29,3 +29,11 @@ def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     The count stops at the bound, so the check costs little on a large table.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a scan or what is made of one without a shuffle, over at least as many tasks as there are cores. A table
+    of few splits, such as one small file, would else leave most of them idle in a stage of long work on each row; a
+    large table has more splits than cores and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
