@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stratalog.llm.entries import counting, owners, texts
 from stratalog.session import staged
-from stratalog.sources.tables import clean_path, newest, small
+from stratalog.sources.tables import clean_path, newest, small, spread
 
 # How secrets are named, and how tokens of public services begin.
 _PASS = r"pass(?:word|wd|wort|phrase|code)?|pwd|pw|kennwort|mot[_-]?de[_-]?passe|mdp|contrase(?:ñ|n)a|clave|senha|wachtwoord"
@@ -189,7 +189,7 @@ def candidates(snapshots: DataFrame, files: DataFrame) -> tuple[DataFrame, DataF
             if rows:
                 yield _batch(rows)
 
-    found = texts(files).mapInArrow(find, _FOUND)
+    found = spread(texts(files)).mapInArrow(find, _FOUND)
     index = staged(found.join(counts, ["snapshot_id", "path", "delivery"], "left_semi").join(small(owners(snapshots)), "snapshot_id", "left"))
     return index, counts
 
@@ -217,7 +217,7 @@ def find_credentials(snapshots: DataFrame, files: DataFrame, max_owners: int = P
     again = None
     for i in range(passes):
         values = [r.value for r in known.filter(F.pmod("h", F.lit(passes)) == i).select("value").collect()]
-        part = _search(texts(files), values) if values else None
+        part = _search(spread(texts(files)), values) if values else None
         again = part if again is None else again if part is None else again.unionByName(part)
     if again is None:
         return named.distinct()

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from stratalog.llm.components import components
 from stratalog.session import staged
+from stratalog.sources.tables import spread
 
 _WORD = re.compile(r"[a-z0-9_]+")
 _LOW = np.uint64((1 << 48) - 1)
@@ -48,15 +49,15 @@ def near_pairs(docs: DataFrame, group: str, text: str, words: int = 5, threshold
     """
     ranges = _ranges(docs)
     keyed = docs.filter(F.col(text).isNotNull()).select(F.col(group).alias("g"), text_key(group, text).alias("k"), F.col(text).alias("t"))
-    packed = keyed.mapInArrow(_pack(words, min_words, ranges), "part int, grams binary, at binary, keys binary, sizes binary")
+    packed = spread(keyed).mapInArrow(_pack(words, min_words, ranges), "part int, grams binary, at binary, keys binary, sizes binary")
     counted = packed.repartition("part").sortWithinPartitions("part").mapInArrow(_grouped(_count(ranges)), "part int, keys binary, sizes binary, grams binary, df binary, leaders binary")
     sent = staged(counted.repartition("part").sortWithinPartitions("part").mapInArrow(_grouped(_prefixes(threshold)), "leader long, key long, size int, grams binary"))
     sizes = sent.groupBy("leader").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("key"), F.col("k"))
-    spread = sent.join(sizes, "leader").withColumn("k", blocks).withColumn("b", F.when(F.col("k") == 1, F.lit(0)).otherwise(own).cast("int"))
-    spread = spread.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("leader", F.least("b", "c").alias("lo"), F.greatest("b", "c").alias("hi"), "b", "key", "size", "grams")
-    joined = spread.repartition("leader", "lo", "hi").sortWithinPartitions("leader", "lo", "hi", "size", "key").mapInArrow(_joined(threshold), "key_a long, key_b long, common int, size_a int, size_b int")
+    placed = sent.join(sizes, "leader").withColumn("k", blocks).withColumn("b", F.when(F.col("k") == 1, F.lit(0)).otherwise(own).cast("int"))
+    placed = placed.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("leader", F.least("b", "c").alias("lo"), F.greatest("b", "c").alias("hi"), "b", "key", "size", "grams")
+    joined = placed.repartition("leader", "lo", "hi").sortWithinPartitions("leader", "lo", "hi", "size", "key").mapInArrow(_joined(threshold), "key_a long, key_b long, common int, size_a int, size_b int")
     return joined.distinct()
 
 

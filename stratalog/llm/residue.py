@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.sources.tables import small
+from stratalog.sources.tables import small, spread
 
 # Wording of notices, by kind. Each is matched in one lower-cased sentence or line of the residual.
 
@@ -178,7 +178,7 @@ def residue(docs: DataFrame, min_docs: int = 20, min_share: float = 0.2) -> Data
     sentence, code blocks, inline code and quotations aside. ``kinds`` are among blank, absent, filler, error, script.
     A sentence that speaks of such things is no evidence. Null, empty and short texts without evidence are not found.
     """
-    own = docs.select("doc_id", "text", host(F.coalesce("source", F.lit(""))).alias("__host")).filter("text is not null")
+    own = spread(docs.select("doc_id", "text", host(F.coalesce("source", F.lit(""))).alias("__host")).filter("text is not null"))
     keyed = own.withColumn("__text", F.xxhash64("text"))
     marks = _lines(own).join(small(recurrent_lines(keyed, min_docs, min_share)), ["__host", "__line"]).groupBy("doc_id").agg(F.collect_set("__line").alias("__skip"))
     words = filler_words(own)

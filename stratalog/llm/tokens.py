@@ -10,6 +10,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from stratalog.sources.tables import spread
+
 DEFAULT_FOLDER, DEFAULT_VOCABULARY = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "byte_bpe_50k.tiktoken"
 _PIECE = 400_000
 
@@ -71,4 +73,4 @@ def token_counts(docs: DataFrame, keep: list[str], text: str = "text", vocabular
             columns = [batch.column(c) for c in keep] + [pa.array(sizes, pa.int32()), pa.array([me] * len(sizes), pa.int32()), pa.array(places, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "part", "place"])
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return spread(docs.select(*dict.fromkeys([*keep, text]))).mapInArrow(run, schema)
