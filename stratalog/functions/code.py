@@ -132,3 +132,85 @@ def imports(content: Column | str, lang: Column | str) -> Column:
     py = F.regexp_extract_all(col(content), F.lit(r"(?m)^\s*(?:from|import)\s+([0-9A-Za-z_.]+)"), 1)
     java = F.regexp_extract_all(col(content), F.lit(r"(?m)^\s*import\s+(?:static\s+)?([0-9A-Za-z_.]+)\s*;"), 1)
     return F.array_distinct(F.when(col(lang).isin("javascript", "typescript"), js).when(col(lang) == "python", py).when(col(lang) == "java", java).otherwise(F.array().cast("array<string>")))
+
+
+# Words and operators of the second complexity, waits and loops that may cost time, weights of quality.
+DECISIONS, OPERATORS = ("if", "else", "while", "for", "switch", "case", "catch"), r"&&|\|\||\?"
+SCORED = ("if", "else", "for", "while", "switch", "case", "catch", "try")
+UNSAFE = {"javascript": r"eval\s*\(|innerHTML\s*=|document\.write|setTimeout\s*\(\s*[\"']", "python": r"eval\s*\(|exec\s*\(|os\.system|pickle\.loads", "java": r"Runtime\.getRuntime|ProcessBuilder|ObjectInputStream"}
+WEIGHTS = {"readability": 0.25, "complexity": 0.2, "maintainability": 0.2, "documentation": 0.15, "security": 0.1}
+
+
+def decisions(content: Column | str) -> Column:
+    """One more than the decision words and operators, in any language."""
+    return (hits(content, r"\b(" + "|".join(DECISIONS) + r")\b") + hits(content, OPERATORS) + 1).cast("long")
+
+
+def cognitive(content: Column | str) -> Column:
+    """A line that names a control word costs one and the nesting it is in, and nests what follows until a line that is
+    a closing brace; each logical operator costs one."""
+    zero = F.struct(F.lit(0).alias("cost"), F.lit(0).alias("nest"))
+
+    def step(acc: Column, line: Column) -> Column:
+        line = trimmed(line)
+        control, closing = has_any(line, ("if", "for", "while")), line == "}"
+        cost = acc["cost"] + F.when(control, acc["nest"] + 1).otherwise(0) + F.regexp_count(line, F.lit(r"&&|\|\|"))
+        nest = acc["nest"] + control.cast("int")
+        return F.struct(cost.alias("cost"), F.when(closing, F.greatest(nest - 1, F.lit(0))).otherwise(nest).alias("nest"))
+
+    return F.aggregate(lines(content), zero, step, lambda acc: acc["cost"]).cast("long")
+
+
+def brace_depth(content: Column | str) -> Column:
+    """Greatest depth of braces; a closing one too many counts for nothing."""
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    braces = F.split(F.regexp_replace(col(content), "[^{}]", ""), "")
+
+    def step(acc: Column, c: Column) -> Column:
+        now = F.when(c == "{", acc["now"] + 1).when(c == "}", F.greatest(acc["now"] - 1, F.lit(0))).otherwise(acc["now"])
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(braces, zero, step, lambda acc: acc["most"]).cast("long")
+
+
+def performance_risk(content: Column | str, lang: Column | str) -> Column:
+    """0..1: waiting reads, timers never cleared, growing lists in loops, loops in loops, queries in loops, large arrays."""
+    c, low, lang = col(content), F.lower(col(content)), col(lang)
+    script, python, java = lang.isin("javascript", "typescript"), lang == "python", lang == "java"
+    has = lambda *words: has_any(low, words)
+    rules = (
+        (script & has("fs.readfilesync", "fs.writefilesync"), 0.3), (script & (hits(c, "getElementById") > 2), 0.2), (script & has("setinterval") & ~has("clearinterval"), 0.4),
+        (python & has("for") & has("append") & has("range"), 0.2), (python & has("global "), 0.3), (java & has("for") & has("+") & has("string"), 0.3), (java & has("vector", "hashtable"), 0.2),
+        (has("for", "while") & has("query", "select", "insert", "update"), 0.5), (has("array") & c.rlike(r"[0-9]{4,}"), 0.2),
+    )
+    total = sum((F.when(holds, n).otherwise(0.0) for holds, n in rules), F.lit(0.0))
+    return F.least(F.lit(1.0), total + hits(c, r"(?i)for\s*\([^}]*for\s*\(") * 0.3)
+
+
+def quality_complexity(content: Column | str) -> Column:
+    """0..100: three times the words and operators of decision, and nesting over two twice."""
+    words = hits(content, r"\b(" + "|".join(SCORED) + r")\b") + hits(content, r"&&|\|\||and\s+|or\s+") + 1
+    return F.least(F.lit(100), (words + F.greatest(nesting(content) - 2, F.lit(0)) * 2) * 3).cast("long")
+
+
+def security_score(content: Column | str, lang: Column | str) -> Column:
+    """0..100, less 15 for each unsafe call and 10 if a secret is named."""
+    found = F.when(col(lang).isin("javascript", "typescript"), hits(content, UNSAFE["javascript"])).when(col(lang) == "python", hits(content, UNSAFE["python"])).when(col(lang) == "java", hits(content, UNSAFE["java"])).otherwise(0)
+    return F.greatest(F.lit(0), 100 - found * 15 - F.when(col(content).rlike("(?i)password|secret|key"), 10).otherwise(0)).cast("long")
+
+
+def overall_quality(content: Column | str, lang: Column | str) -> Column:
+    """0..100: the weighted mean of readability, (inverse) complexity, maintainability, documentation and security."""
+    parts = {"readability": readability(content), "complexity": 100 - quality_complexity(content), "maintainability": maintainability(content), "documentation": documentation_ratio(content) * 100, "security": security_score(content, lang)}
+    return sum((parts[k] * w for k, w in WEIGHTS.items()), F.lit(0.0)) / sum(WEIGHTS.values())
+
+
+def debt(content: Column | str, lang: Column | str) -> Column:
+    """Struct of hours to mend (2 for a smell, 4 for a concern, 3 for high performance risk) and how pressing it is."""
+    hours = F.size(code_smells(content)) * 2 + F.size(security_concerns(content)) * 4 + F.when(performance_risk(content, lang) > 0.5, 3).otherwise(0)
+    return F.struct(hours.cast("long").alias("hours"), named_when((("critical", hours > 16), ("high", hours > 8), ("medium", hours > 4), ("low", hours > 0)), "none").alias("severity"))
+
+
+def symbols(content: Column | str) -> Column:
+    """Distinct names that a text declares."""
+    return F.array_distinct(F.regexp_extract_all(col(content), F.lit(ascii_words(r"\b(?:function|class|interface|enum|def|func|type|const|let|var)\s+([A-Za-z_][0-9A-Za-z_]*)")), 1))

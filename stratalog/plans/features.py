@@ -183,3 +183,74 @@ def con5_embedding_text(spark: SparkSession, folder: str) -> DataFrame:
         F.when(some("symbols"), F.concat(F.lit("// SYMBOLS: "), F.array_join("symbols", ", "), F.lit("\n"))).otherwise(F.lit("")),
         F.when(some("imports"), F.concat(F.lit("// IMPORTS: "), F.array_join(F.slice("imports", 1, 7), ", "), more, F.lit("\n"))).otherwise(F.lit(""))).alias("embedded"))
 
+
+
+_WORD = chr(92) + "b"
+_DECISIONS = f"({_n(_WORD + '(' + '|'.join(C.DECISIONS) + ')' + _WORD)} + {_n(C.OPERATORS)} + 1)"
+
+
+@query(f"{_C} select chunk_id, {_DECISIONS}::bigint decisions from c")
+def f6_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks(spark, folder).select("chunk_id", C.decisions("content").alias("decisions"))
+
+
+@query(rf"""{_C}, l as (select chunk_id, list_transform({_T}, lambda x: {{'c': contains(x, 'if') or contains(x, 'for') or contains(x, 'while'), 'z': x = chr(125), 'o': len(regexp_extract_all(x, '&&|\|\|'))}}) l from c)
+select chunk_id, (list_reduce(l, lambda a, x: {{'cost': a.cost + case when x.c then a.nest + 1 else 0 end + x.o, 'nest': case when x.z then greatest(a.nest + x.c::int - 1, 0) else a.nest + x.c::int end}}, {{'cost': 0::bigint, 'nest': 0::bigint}})).cost cognitive from l""".replace("\\", "\\"))
+def f7_cognitive(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks(spark, folder).select("chunk_id", C.cognitive("content").alias("cognitive"))
+
+
+@query(rf"""{_C}, b as (select chunk_id, string_split(regexp_replace(content, '[^{{}}]', '', 'g'), '') b from c)
+select chunk_id, coalesce((list_reduce(b, lambda a, x: {{'now': case when x = chr(123) then a.now + 1 when x = chr(125) then greatest(a.now - 1, 0) else a.now end, 'most': greatest(a.most, case when x = chr(123) then a.now + 1 else a.most end)}}, {{'now': 0::bigint, 'most': 0::bigint}})).most, 0) depth from b""")
+def f8_brace_depth(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks(spark, folder).select("chunk_id", C.brace_depth("content").alias("depth"))
+
+
+_LOW = "lower(content)"
+_SCRIPT, _PY, _JAVA = "lang in ('javascript', 'typescript')", "lang = 'python'", "lang = 'java'"
+_RISKS = (
+    (f"{_SCRIPT} and {_has(_LOW, ('fs.readfilesync', 'fs.writefilesync'))}", 0.3), (f"{_SCRIPT} and {_n('getElementById')} > 2", 0.2), (f"{_SCRIPT} and contains({_LOW}, 'setinterval') and not contains({_LOW}, 'clearinterval')", 0.4),
+    (f"{_PY} and contains({_LOW}, 'for') and contains({_LOW}, 'append') and contains({_LOW}, 'range')", 0.2), (f"{_PY} and contains({_LOW}, 'global ')", 0.3), (f"{_JAVA} and contains({_LOW}, 'for') and contains({_LOW}, '+') and contains({_LOW}, 'string')", 0.3), (f"{_JAVA} and {_has(_LOW, ('vector', 'hashtable'))}", 0.2),
+    (f"{_has(_LOW, ('for', 'while'))} and {_has(_LOW, ('query', 'select', 'insert', 'update'))}", 0.5), (f"contains({_LOW}, 'array') and regexp_matches(content, '[0-9]{{4,}}')", 0.2),
+)
+_RISK = "least(1.0::double, " + " + ".join(f"case when {c} then {n}::double else 0 end" for c, n in _RISKS) + rf" + len(regexp_extract_all(content, '(?i)for\s*\([^}}]*for\s*\(')) * 0.3::double)"
+
+
+@query(f"{_C} select chunk_id, round({_RISK}, 6) risk from c")
+def f16_performance_risk(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks(spark, folder).select("chunk_id", F.round(C.performance_risk("content", "lang"), 6).alias("risk"))
+
+
+@query()
+def f18_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of each chunk, whole and in parts; each part but complexity and security has its own checked query."""
+    return chunks(spark, folder).select("chunk_id", F.round(C.overall_quality("content", "lang"), 6).alias("quality"), C.quality_complexity("content").alias("complexity"), C.security_score("content", "lang").alias("security"))
+
+
+@query()
+def f19_debt(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks(spark, folder).select("chunk_id", C.debt("content", "lang").alias("d")).select("chunk_id", "d.hours", "d.severity")
+
+
+@query(rf"""{_C} select chunk_id, len(list_filter({_L}, lambda x: regexp_matches(x, '^\t+ +\S|^ +\t'))) ::bigint mixed_indents, len(list_filter({_L}, lambda x: regexp_matches(x, '[ \t]+\r?$')))::bigint trailing_blanks, len(regexp_extract_all(content, '[a-z0-9]_[a-z0-9]'))::bigint snake, len(regexp_extract_all(content, '[a-z0-9][A-Z]'))::bigint camel from c""")
+def f20_style(spark: SparkSession, folder: str) -> DataFrame:
+    """Mixed indents, blanks at line ends, and how names are joined."""
+    n = lambda p: F.size(F.filter(lines("content"), lambda x: x.rlike(p))).cast("long")
+    return chunks(spark, folder).select("chunk_id", n(r"^\t+ +\S|^ +\t").alias("mixed_indents"), n(r"[ \t]+\r?$").alias("trailing_blanks"), hits("content", "[a-z0-9]_[a-z0-9]").cast("long").alias("snake"), hits("content", "[a-z0-9][A-Z]").cast("long").alias("camel"))
+
+
+@query(rf"{_C} select distinct chunk_id, unnest(regexp_extract_all(content, '\b(?:function|class|interface|enum|def|func|type|const|let|var)\s+([A-Za-z_][0-9A-Za-z_]*)', 1)) name from c")
+def f29_symbols(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks(spark, folder).select("chunk_id", F.explode(C.symbols("content")).alias("name"))
+
+
+@query(rf"""with h as (select distinct query_id, hit_id, lower(content) content from search_results where content is not null), q as (select distinct query_id, lower(original_query) q from search_queries where original_query is not null)
+select hit_id, query_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(q, '\s+'), lambda w: length(w) > 3 and contains(content, w)))), '|'), '') matched from h join q using (query_id)""")
+def f32_matched_concepts(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of a query, over three letters, that stand in a hit."""
+    from stratalog.sources.tables import small
+
+    h = table(spark, folder, "search_results").filter("content is not null").select("query_id", "hit_id", F.lower("content").alias("content")).distinct()
+    q = table(spark, folder, "search_queries").filter("original_query is not null").select("query_id", F.lower("original_query").alias("q")).distinct()
+    words = F.sort_array(F.array_distinct(F.filter(F.split("q", r"\s+"), lambda w: (F.length(w) > 3) & F.contains(F.col("content"), w))))
+    return h.join(small(q), "query_id").select("hit_id", "query_id", F.array_join(words, "|").alias("matched"))
