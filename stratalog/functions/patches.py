@@ -98,3 +98,40 @@ def make(name: str, old: str, new: str) -> str:
     for line in difflib.unified_diff(old.splitlines(keepends=True), new.splitlines(keepends=True), name, name):
         out.append(line if line.endswith("\n") else line + "\n\\ No newline at end of file\n")
     return "".join(out)
+
+
+def ranges(diff: str) -> list[tuple[str, int, int]]:
+    """(added or modified, first, last) lines of the new text that a patch touches, counted from 0: lines that stand in
+    place of others are modified, the rest added."""
+    out: list[tuple[str, int, int]] = []
+    at = gone = need_old = need_new = 0
+    run: list[int] = []
+
+    def close() -> None:
+        nonlocal gone, run
+        if run:
+            out.append(("modified" if gone else "added", run[0], run[-1]))
+        gone, run = 0, []
+
+    for line in diff.split("\n"):
+        if need_old <= 0 and need_new <= 0:
+            close()
+            if m := HUNK.match(line):
+                need_old, need_new = int(m[2] or 1), int(m[4] or 1)
+                at = int(m[3]) - 1 if need_new else int(m[3])
+            continue
+        mark = line[:1]
+        if mark == "\\":
+            continue
+        if mark == "+":
+            run.append(at)
+            at, need_new = at + 1, need_new - 1
+        elif mark == "-":
+            if run:
+                close()
+            gone, need_old = gone + 1, need_old - 1
+        else:
+            close()
+            at, need_old, need_new = at + 1, need_old - 1, need_new - 1
+    close()
+    return out

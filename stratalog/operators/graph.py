@@ -57,6 +57,33 @@ def import_edges(chunks: DataFrame) -> DataFrame:
     return _edges(used, files, "imports", F.lit(IMPORTS), 0.8)
 
 
+def test_edges(chunks: DataFrame) -> DataFrame:
+    """(src, dst): a chunk of a test file that names a symbol of a chunk of another kind of file in its snapshot."""
+    tests = F.lower("path").rlike(r"test|spec")
+    named = F.array_distinct(F.regexp_extract_all("content", F.lit(ascii_words(r"\b([A-Za-z_][0-9A-Za-z_]*)\b")), 1))
+    used = chunks.filter(tests).select("snapshot_id", F.col("chunk_id").alias("src"), F.explode(named).alias("name")).withColumn("n", F.lit(1))
+    return _edges(used, _names(chunks.filter(~tests)), "tests", F.lit(0.7), 0.7)
+
+
+def similar_edges(chunks: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(src, dst, strength) of similar chunks of a snapshot, src < dst: 0.3 for the same kind, 0.2 for the same language,
+    0.3 of the Jaccard similarity of symbols and 0.2 of that of words.
+
+    With a threshold over 0.5 and no symbol in common only equal words can reach it, at exactly 0.7; so candidates are
+    the pairs that share a symbol or a set of words, found by equi-joins, never all pairs. ``chunks`` also has kind and lang.
+    """
+    words = F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("content"), F.lit(r"([0-9a-z_]+)"), 1), lambda w: F.length(w) > 2)))
+    c = staged(chunks.select("snapshot_id", "chunk_id", "kind", "lang", F.array_distinct(F.coalesce("symbols", F.array().cast("array<string>"))).alias("symbols"), words.alias("words")))
+    keys = c.select("snapshot_id", "chunk_id", F.explode(F.concat(F.transform("symbols", lambda x: F.xxhash64(F.lit("s"), x)), F.array(F.xxhash64(F.lit("w"), "words")))).alias("k"))
+    pairs = keys.join(keys.select("snapshot_id", F.col("chunk_id").alias("other"), "k"), ["snapshot_id", "k"]).filter("chunk_id < other").select("snapshot_id", "chunk_id", "other").distinct()
+    b = c.select("snapshot_id", F.col("chunk_id").alias("other"), *[F.col(x).alias(f"o_{x}") for x in ("kind", "lang", "symbols", "words")])
+    both = pairs.join(c, ["snapshot_id", "chunk_id"]).join(b, ["snapshot_id", "other"])
+    jaccard = lambda x: F.when(F.size(F.array_union(x, f"o_{x}")) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, f"o_{x}")) / F.size(F.array_union(x, f"o_{x}")))
+    same = lambda x, w: F.when(F.col(x).eqNullSafe(F.col(f"o_{x}")), w).otherwise(0.0)
+    strength = F.round(same("kind", 0.3) + same("lang", 0.2) + jaccard("symbols") * 0.3 + jaccard("words") * 0.2, 9)
+    return both.select(F.col("chunk_id").alias("src"), F.col("other").alias("dst"), strength.alias("strength")).filter(F.col("strength") >= threshold)
+
+
 def file_neighbours(chunks: DataFrame) -> DataFrame:
     """(src, dst): a chunk and the one that follows it in its file, an edge of context."""
     from pyspark.sql import Window
@@ -95,4 +122,4 @@ def reach(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
     return known
 
 
-__all__ = ["call_edges", "calls", "degrees", "file_neighbours", "import_edges", "inherit_edges", "reach", "statistics", "strongest", "use_edges"]
+__all__ = ["call_edges", "calls", "degrees", "file_neighbours", "import_edges", "inherit_edges", "reach", "similar_edges", "statistics", "strongest", "test_edges", "use_edges"]

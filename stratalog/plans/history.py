@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog.functions import patches
 from stratalog.functions.text import binary_name, language
 from stratalog.operators import history as H
+from stratalog.operators.file_states import resolved_entries
 from stratalog.plans import Registry
 from stratalog.session import staged
 from stratalog.sources.tables import clean_path, small, table
@@ -302,3 +307,24 @@ def src7_binary_names(spark: SparkSession, folder: str) -> DataFrame:
 @query(rf"""with p as (select distinct regexp_replace(replace(path, '\', '/'), '^(\./)+', '') path from snapshot_files) select path, {_LANG} lang from p""")
 def c2_languages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "snapshot_files").select(clean_path("path").alias("path")).distinct().select("path", language("path").alias("lang"))
+
+
+@query()
+def d7_whole_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Each live text entry with the digest and size of its whole text, patches applied along its bases."""
+    e = resolved_entries(table(spark, folder, "snapshots"), table(spark, folder, "snapshot_files"))
+    return e.select("snapshot_id", "path", F.md5("content").alias("digest"), F.length("content").cast("long").alias("chars"))
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(s, p, *r) for s, p, d in zip(*[batch.column(c).to_pylist() for c in ("snapshot_id", "path", "diff")], strict=True) for r in patches.ranges(d.replace("\r\n", "\n"))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["snapshot_id", "path", "kind", "first_line", "last_line"])
+
+
+@query()
+def d17_line_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranges of lines that each patch adds or modifies."""
+    e = entries(spark, folder).filter(F.length("diff") > 0).select("snapshot_id", "path", "diff")
+    return e.mapInArrow(_ranges, "snapshot_id string, path string, kind string, first_line long, last_line long")

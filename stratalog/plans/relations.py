@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog.functions.code import semantic_type
 from stratalog.operators import graph as G
 from stratalog.operators import validation as V
 from stratalog.plans import Registry
@@ -49,6 +50,18 @@ def g4_uses(spark: SparkSession, folder: str) -> DataFrame:
     return G.use_edges(chunks(spark, folder)).select("src", "dst", F.round("strength", 6).alias("strength"))
 
 
+@query(rf"""{_N} select distinct u.chunk_id src, d.chunk_id dst from (select snapshot_id, chunk_id, unnest(regexp_extract_all(content, '\b([A-Za-z_][0-9A-Za-z_]*)\b', 1)) name from c where regexp_matches(lower(path), 'test|spec')) u
+  join (select names.* from names join c using (snapshot_id, chunk_id) where not regexp_matches(lower(path), 'test|spec')) d on u.snapshot_id = d.snapshot_id and u.name = d.name and u.chunk_id <> d.chunk_id""")
+def g5_tests(spark: SparkSession, folder: str) -> DataFrame:
+    return G.test_edges(chunks(spark, folder)).select("src", "dst")
+
+
+@query()
+def g13_similar(spark: SparkSession, folder: str) -> DataFrame:
+    c = chunks(spark, folder).withColumn("kind", semantic_type("content", "lang"))
+    return G.similar_edges(c)
+
+
 @query(f"{_C} select src, dst from (select chunk_id src, lead(chunk_id) over (partition by snapshot_id, path order by start_line, chunk_id) dst from c where start_line is not null) where dst is not null")
 def g8_next_in_file(spark: SparkSession, folder: str) -> DataFrame:
     return G.file_neighbours(chunks(spark, folder))
