@@ -88,9 +88,9 @@ def expand_pairs(pairs: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def _ranges(docs: DataFrame) -> int:
-    """Hash ranges: a power of two, so many that one holds the n-grams of about 8 MB of the stored input."""
+    """Hash ranges: a power of two, so many that one holds the n-grams of about 4 MB of the input as estimated."""
     stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return 1 << min(15, max(4, (min(stored, 1 << 60) // 8_000_000).bit_length()))
+    return 1 << min(15, max(4, (min(stored, 1 << 60) // 4_000_000).bit_length()))
 
 
 class _Names(dict):
@@ -144,17 +144,19 @@ def _pack(words: int, min_words: int, ranges: int):
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _Names()
-        held: list[tuple[str, int, str]] = []
+        held: dict[int, tuple[str, int, str]] = {}  # a text that comes again before it is sent is sent once
         size = 0
         for batch in batches:
             for row in zip(batch.column("g").to_pylist(), batch.column("k").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                held.append(row)
+                if row[1] in held:
+                    continue
+                held[row[1]] = row
                 size += len(row[2])
                 if len(held) == BATCH or size > 16_000_000:
-                    yield from flush(held, names)
-                    held, size = [], 0
+                    yield from flush(list(held.values()), names)
+                    held, size = {}, 0
         if held:
-            yield from flush(held, names)
+            yield from flush(list(held.values()), names)
 
     def flush(held: list[tuple[str, int, str]], names: _Names) -> Iterator[pa.RecordBatch]:
         groups, keys, contents = zip(*held, strict=True)
