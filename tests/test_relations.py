@@ -3,6 +3,7 @@
 import difflib
 import random
 
+from stratalog.functions import code as C
 from stratalog.functions import patches
 from stratalog.operators import graph as G
 
@@ -33,3 +34,17 @@ def test_edges(spark):
     assert {(r.src, r.dst, r.strength) for r in G.similar_edges(c).collect()} == {("a", "a2", 1.0)}
     hops = {(r.src, r.dst): r.hops for r in G.reach(spark.createDataFrame([("x", "y"), ("y", "z"), ("z", "w"), ("w", "v"), ("z", "x")], "src string, dst string")).collect()}
     assert hops[("x", "w")] == 3 and ("x", "v") not in hops and hops[("z", "y")] == 2
+
+
+def test_uses_are_not_calls(spark):
+    rows = [("a", "s", "a.py", "x = two; two(1); two", ["one"], None, None, None), ("b", "s", "b.py", "pass", ["two"], None, None, None)]
+    assert [(r.src, r.dst, round(r.strength, 6)) for r in G.use_edges(spark.createDataFrame(rows, CHUNKS)).collect()] == [("a", "b", 0.2)]
+
+
+def test_quality_and_debt(spark):
+    plain, bad = "# says what it does\ndef run(value):\n    return value\n", "var x = eval('1');\n" + "if (a && b) { for (;;) { while (c) { x(); } } }\n" * 60 + 'password = "abc"; // TODO\n'
+    df = spark.createDataFrame([(0, plain, "python"), (1, bad, "javascript"), (2, "", None)], "id int, content string, lang string")
+    got = {r.id: r for r in df.select("id", C.overall_quality("content", "lang").alias("q"), C.security_score("content", "lang").alias("s"), C.quality_complexity("content").alias("c"), C.debt("content", "lang").alias("d")).collect()}
+    assert all(0 <= r.q <= 100 for r in got.values()) and got[0].q > got[1].q + 20
+    assert got[0].s == 100 and got[1].s == 75 and got[0].c == 3 and got[1].c == 100
+    assert got[0].d.hours == 0 and got[0].d.severity == "none" and got[1].d.hours == 3 * 2 + 2 * 4 and got[1].d.severity == "high"
