@@ -36,6 +36,13 @@ _LITERAL = re.compile(_STRING)
 _ASSIGNED = re.compile(rf"""['"\]]?\s*(?::=|===?|!==?|=>|[:=,]|\.equals\()\s*(?:\w+\s*=\s*)?(?P<value>[brfu]?{_STRING}(?:\s*[+.]?\s*{_STRING})*)""")
 _BARE = re.compile(r"""['"]?\s*[:=]\s*(?P<value>[^\s'"`,;(){}\[\]][^\s'"`;,]*)\s*(?:[#;].*)?$""")
 _REMARK = re.compile(r"""^\s*(?:(?:is|was|=|:)\s+)?(?P<value>[^\s'"`]+)\s*(?:\*/|-->)?\s*$""")
+#: Calls and pairs that take a credential without its name. What follows a user in the first kind is one if it could be;
+#: the second takes hosts, roles and names too, so there, and where it comes first, a value must be built as none of those is.
+_CALL = re.compile(r"(?:(?P<login>log_?[io]n|sign_?in|authenticate|(?:basic|digest)_?auth|credentials?)|auth(?:orize)?|connect(?:ion)?)(?:_?(?:as|with\w*|user|client|provider|account|a?sync))?\s*(?:[=:]\s*)?[(\[]", re.I)
+_ARGUMENT = re.compile(rf"""(?:[A-Za-z_]\w*\s*=\s*)?(?:(?P<value>[brfu]?{_STRING}(?:\s*[+.]?\s*{_STRING})*)|[^\s,()\[\]"'`][^,()\[\]"'`\n]*(?:\([^()\n]*\))?)""")
+_GAP = re.compile(r"\s*(?:(?://|#)[^\n]*\s*)*")
+_NEXT = re.compile(rf"{_GAP.pattern},{_GAP.pattern}")
+_PLACE = re.compile(r"[.~]{0,2}/.*|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|[\w-]+(?:\.[\w-]+)*:\d+(?:/.*)?", re.S)
 _COMMENT = re.compile(r"(?<![:\w])(?://|#|/\*|<!--|--\s|\*\s)")
 _CONFIG = re.compile(r"(?:^|/)\.env|\.(?:ini|cfg|conf|config|env|properties|ya?ml|toml|sh|bash|zsh|tf|tfvars|dockerfile|envrc|txt|npmrc|pypirc|netrc)(?:\.[\w-]+)?$|(?:^|/)Dockerfile|(?:^|/)\.(?:npmrc|pypirc|netrc|pgpass)$", re.I)
 _TEMPLATE = re.compile(r"\$\{|\$\(|\{\{|\}\}|<%|%>|#\{|^\$[A-Za-z_]\w*$|^%\(?[A-Za-z_]\w*\)?s?%?$|^@@|^__[A-Z]|^<[^>]*>$|^\[[^\]]*\]$|^\{[^}]*\}$")
@@ -47,7 +54,7 @@ _STAND_IN = re.compile(
 )
 _MASKED = re.compile(r"^(.)\1{2,}$|^[xX*•.#_\-?]+$|\*{3,}|•{2,}|x{6,}|X{6,}|\.\.\.$|…")
 _HEXES = re.compile(r"^[0-9a-f]{32,}$|^[0-9A-F]{32,}$")
-_TRIGGERS = ("pass", "pwd", "token", "secret", "credential", "key", "kennwort", "mdp", "contrase", "clave", "senha", "wachtwoord", "pw", "bearer", "basic ", "authorization", "://", "curl ", "akia", "asia", "ghp_", "gho_", "ghs_", "github_pat", "glpat-", "_live_", "sk-", "xox", "aiza", "npm_", "pypi-", "hf_", "sg.", "eyj", "dop_v1")
+_TRIGGERS = ("pass", "pwd", "token", "secret", "credential", "key", "kennwort", "mdp", "contrase", "clave", "senha", "wachtwoord", "pw", "bearer", "basic ", "authorization", "://", "curl ", "akia", "asia", "ghp_", "gho_", "ghs_", "github_pat", "glpat-", "_live_", "sk-", "xox", "aiza", "npm_", "pypi-", "hf_", "sg.", "eyj", "dop_v1", "login", "logon", "log_in", "log_on", "signin", "sign_in", "auth", "connect")
 PLACEHOLDER_OWNERS, RESCAN_VALUES = 50, 100_000
 MASK = "********"
 
@@ -95,6 +102,29 @@ def _joined(strings: str) -> str:
     return "".join(x[1:-1] for x in _LITERAL.findall(strings))
 
 
+def _built(v: str) -> bool:
+    """Whether a value is built as no host, role, path or name is: letters, digits and a mark, or a token in mixed case."""
+    if len(v) < 6 or not re.search(r"[0-9]", v) or not re.search(r"[A-Za-z]", v):
+        return False
+    if plausible(v, "pass") and re.search(r"[^\w.@:/ -]", v):
+        return True
+    return plausible(v, "token") and bool(re.search(r"[A-Z]", v) and re.search(r"[a-z]", v))
+
+
+def arguments(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """(value, start, end) of the secrets that calls beginning between ``start`` and ``end`` take, on whatever line."""
+    for m in _CALL.finditer(text, start, end):
+        at, n = _GAP.match(text, m.end()).end(), 0
+        while a := _ARGUMENT.match(text, at):
+            if a["value"]:
+                v = _joined(a["value"])
+                if not _PLACE.fullmatch(v) and (_built(v) or (m["login"] and n and (plausible(v, "pass") or plausible(v, "token")))):
+                    yield v, *a.span("value")
+            if not (more := _NEXT.match(text, a.end())):
+                break
+            at, n = more.end(), n + 1
+
+
 def scan_line(line: str, config: bool) -> list[tuple[str, str, int, int]]:
     """(kind, value, start, end) of each plausible secret in a line; start and end enclose the literal or the value."""
     found: list[tuple[str, str, int, int]] = []
@@ -150,6 +180,7 @@ def scan(text: str, path: str, trigger: ahocorasick.Automaton) -> list[tuple[int
         return []
     config = bool(_CONFIG.search(path))
     out: list[tuple[int, str, str, int, int]] = []
+    passed: list[tuple[str, int, int]] = []
     line_no, counted, done, closed = 0, 0, -1, -1
     for at, _ in trigger.iter(low):
         if at <= done:
@@ -172,9 +203,23 @@ def scan(text: str, path: str, trigger: ahocorasick.Automaton) -> list[tuple[int
                 closed = close
                 continue
         out += [(line_no, *x) for x in scan_line(line, config)]
+        passed += arguments(text, start, end)
+    for v, a, b in passed:
+        no, start = text.count("\n", 0, a), text.rfind("\n", 0, a) + 1
+        if "\n" in text[a:b]:  # strings joined over lines: each line holds a part
+            for x in _LITERAL.finditer(text, a, b):
+                no, start = text.count("\n", 0, x.start()), text.rfind("\n", 0, x.start()) + 1
+                _add(out, no, v, x.start() - start, x.end() - start)
+        else:
+            _add(out, no, v, a - start, b - start)
     return out
 
 
+def _add(out: list[tuple[int, str, str, int, int]], no: int, v: str, start: int, end: int) -> None:
+    if not any(n == no and s < end and start < e for n, _, _, s, e in out):
+        out.append((no, "pass", v, start, end))
+
+
 def candidates(snapshots: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(plausible secrets of the entries that count, those entries): the index of literals with their owners.
 
@@ -204,24 +249,26 @@ def confirmed(index: DataFrame, max_owners: int = PLACEHOLDER_OWNERS) -> DataFra
 def find_credentials(snapshots: DataFrame, files: DataFrame, max_owners: int = PLACEHOLDER_OWNERS) -> DataFrame:
     """(snapshot_id, path, line_no, start, end, kind) of each live credential in the texts of entries that count.
 
-    Literals named or shaped like secrets are indexed over all files, those shared by more than ``max_owners`` owners
-    are dropped, and every file is searched again for the values that remain: a secret found once by its name is found
-    wherever else it stands. The automaton holds at most RESCAN_VALUES values; more are searched in as many passes.
+    Values named, shaped or passed like secrets are looked up in all files, so that each has all its places and owners,
+    whether it stands there named or not. Those shared by more than ``max_owners`` owners are dropped; all places of the
+    rest are found. The automaton holds at most RESCAN_VALUES values; more are searched in as many passes.
     Lines count from 0 between ``\\n``; start and end are offsets in the line. A row without text or key is passed over.
     """
     index, counts = candidates(snapshots, files)
-    good = confirmed(index, max_owners)
-    named = index.join(good.select("value"), "value", "left_semi").select("snapshot_id", "path", "line_no", "start", "end", "kind")
-    known = staged(good.filter((F.col("kind") != "block") & (F.length("value") >= 8)).select("value", F.pmod(F.xxhash64("value"), F.lit(1 << 30)).alias("h")))
+    known = staged(index.filter((F.col("kind") != "block") & (F.length("value") >= 8)).select("value").distinct().withColumn("h", F.pmod(F.xxhash64("value"), F.lit(1 << 30))))
     passes = max(1, -(-known.count() // RESCAN_VALUES))
     again = None
     for i in range(passes):
         values = [r.value for r in known.filter(F.pmod("h", F.lit(passes)) == i).select("value").collect()]
         part = _search(spread(texts(files)), values) if values else None
         again = part if again is None else again if part is None else again.unionByName(part)
+    columns = ["snapshot_id", "path", "line_no", "start", "end", "kind"]
     if again is None:
-        return named.distinct()
-    more = again.join(counts, ["snapshot_id", "path", "delivery"], "left_semi").select(named.columns)
+        return index.join(confirmed(index, max_owners).select("value"), "value", "left_semi").select(columns).distinct()
+    places = staged(again.join(counts, ["snapshot_id", "path", "delivery"], "left_semi").join(small(owners(snapshots)), "snapshot_id", "left"))
+    good = staged(confirmed(index.unionByName(places), max_owners).select("value"))
+    named = index.join(good, "value", "left_semi").select(columns)
+    more = places.join(good, "value", "left_semi").select(columns)
     fresh = more.join(named.select("snapshot_id", "path", "line_no").distinct(), ["snapshot_id", "path", "line_no"], "left_anti")
     return named.unionByName(fresh).distinct()
 

@@ -56,6 +56,26 @@ def test_values_that_many_owners_share_are_placeholders(spark):
     assert C.find_credentials(s, f, max_owners=5).count() == 0 and C.find_credentials(s, f, max_owners=6).count() == 6
 
 
+@pytest.mark.parametrize("text", [
+    'viewportOutlet.login("svc_channel", "R2W!Wx7bhstSI7");', "s.authenticate(user, 'ratio-gentle-local-young')", 'auth = ("svc", "v+tigd92G0")', 'db.connect("h.example:5432", "svc", "MkD4#nd2V66")', 'bot.login("MTk4NjIyNDgz.Cl2FMQ.ZnCjm1XVW7vRze4b7Cq4se7kKWs")', 'c.sign_in(\n  "svc", // the user\n  "173LightLantern",\n)',
+])
+def test_credentials_passed_without_a_name(text):
+    found = C.scan(text, "a.ts", C._trigger())
+    assert [x[0] for x in found] == [text.count("\n") and 2]
+    assert not C.scan(C.redact(text, [(n, a, b, k) for n, k, _, a, b in found]), "a.ts", C._trigger())
+
+
+@pytest.mark.parametrize("line", ['s.login("svc_plank", process.env.SVC)', 'db.connect("node-01.internal.example.com:5432", "orders_v2")', 'app.login("svc", "/home/svc9")', 'authorize("admin2", "read:all")', 'login("svc9", "********")', 'connect("https://h9.example/Path")'])
+def test_arguments_that_open_nothing(line):
+    assert C.scan(line, "a.ts", C._trigger()) == []
+
+
+def test_owners_count_wherever_a_value_stands(spark):
+    snaps = [(f"s{i}", f"w{i}") for i in range(6)]
+    s, f = tables(spark, [(f"s{i}", "a.ts", 'x.login("svc", "Sample!Pass2020")' if i else 'show("Sample!Pass2020")', None, None, 1) for i in range(6)], snaps)
+    assert C.find_credentials(s, f, max_owners=5).count() == 0 and C.find_credentials(s, f, max_owners=6).count() == 6
+
+
 def test_repair_counts_rules():
     seqs = [[1, 2, 1, 2, 1, 2, 3], [5, 5, 5, 5], [9], [], [1, 2, 3, 4]]
     flat = np.array([x for s in seqs for x in s], np.uint64)
