@@ -174,7 +174,7 @@ def residue(docs: DataFrame, min_docs: int = 20, min_share: float = 0.2) -> Data
 
     ``docs`` has doc_id, text, source. Lines are counted by host over all texts, exact copies once. A line is boilerplate
     if at least ``min_docs`` texts and ``min_share`` of the texts of its host have it; boilerplate is subtracted, be it
-    navigation or a notice that a site prints on every page. What is left is read line by line and sentence by
+    navigation or a notice that a site prints on every page; only fences of code in it stay. What is left is read line by line and sentence by
     sentence, code blocks, inline code and quotations aside. ``kinds`` are among blank, absent, filler, error, script.
     A sentence that speaks of such things is no evidence. Null, empty and short texts without evidence are not found.
     """
@@ -184,7 +184,9 @@ def residue(docs: DataFrame, min_docs: int = 20, min_share: float = 0.2) -> Data
     words = filler_words(own)
     body = own.join(marks, "doc_id", "left")
     # each line with the hash it was counted under, so that Python subtracts exactly what was counted
-    lines = F.transform(F.split("text", "\n"), lambda x: F.when(F.array_contains("__skip", F.xxhash64(normal_line(x))), F.lit("")).otherwise(x))
+    # and with its fences, so that what was code or prose in the text stays that
+    fences = lambda x: F.array_join(F.regexp_extract_all(x, F.lit(f"({_FENCE.pattern})")), "")
+    lines = F.transform(F.split("text", "\n"), lambda x: F.when(F.array_contains("__skip", F.xxhash64(normal_line(x))), fences(x)).otherwise(x))
     left = body.select("doc_id", F.when(F.col("__skip").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")).alias("text"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -113,3 +113,10 @@ def test_operator(spark):
     got = {r.doc_id: r.kinds for r in residue(docs(spark, rows)).collect()}
     assert set(got) == {4, 5, 6, 200} and got[200] == ["error"]
     assert residue(docs(spark, [])).count() == 0
+
+
+def test_recurrent_fences_still_enclose_code(spark):
+    block = "```py\n{}\n```"
+    rows = [(i, f"Note {'abcdefghijklmnopqrstuvwxyz'[i]} on a topic.\n" + block.format("x = 1").replace("py", "py" if i % 2 else "ts"), "site") for i in range(26)]
+    rows += [(100, f"One.\n{block.format('a()')}\nThis page could not be found.\n{block.format('b()')}\nEnd.", "site"), (101, f"Two.\n{block.format('a()')}\nThen:\n{block.format('Hello {{ name }}')}\nEnd.", "site")]
+    assert {r.doc_id: r.kinds for r in residue(docs(spark, rows)).collect()} == {100: ["error"]}
