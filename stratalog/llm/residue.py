@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.llm.literals import cover
 from stratalog.sources.tables import small, spread
 
 # Wording of notices, by kind. Each is matched in one lower-cased sentence or line of the residual.
@@ -109,18 +110,9 @@ _SPEAKS = re.compile(
     r"\b(?:handler|raised from|moved to|now (?:logs?|shows?)|error pages?|retr(?:y|ies|ied) on|fixed the|removed the|replaced the|documented in|works without|users? reported|reported that|answers? with|is (?:stored|shown|expanded|allowed|replaced) as|is allowed|are (?:shown|stored|treated) as|a test used|used lorem|which hid|the renderer|fills? it|adds? `|list of names|maintenance of the .{1,40} (?:finished|ended)|was never released|for example|e\.g\.|such as|when(?:ever)? the server|test for both)\b",
     re.I,
 )
-#: Stretches of lower-cased text of which every kind of evidence but repetition has at least one; a
-#: line without any is not read further.
-TRIGGERS = (
-    *("not ", "n't ", "error", "fehler", "erreur", "wrong", "oops", "unexpected", "fault", "offline", "answer", "fatal", "traceback", "exception in", "segmentation", "stack trace", "sorry,", "looking for"),
-    *("may be broken", "may be missing", "may have", "has been removed", "no longer", "its name changed", "unable", "home page", "start page", "<title>", "<h1>", "gateway", "forbidden", "unauthorized", "unavailable", "code 4", "code 5", "code: 4", "code: 5", "status 4", "status 5", "status: 4", "status: 5", "http 4", "http 5", "gone", "bad request", '"code"', '"status"', "'code'", "'status'"),
-    *("ray ", "request", "reference", "incident", "trace id", "trace:", "if this ", "quote", "logged in", "signed in", "sign in", "log in", "expired", "timed out", "session has ended", "session ended", "denied", "permission", "you do", "you are not", "too many", "rate limit", "wait ", "maintenance", "be back", "try again", "retry", "reload", "seems to be", "appears to be", "is down", "stopped", "crashed"),
-    *("nicht", "verweigert", "abgelaufen", "anmelden", "angemeldet", "bitte melden", "anfragen", "wartung", "bitte laden", "introuvable", "n'existe", "refusé", "interdit", "expiré", "trop de", "reconnectez", "n'a pas", "no se ", "no encontrada", "denegado", "ha caducado", "ha expirado", "demasiadas", "mantenimiento", "vuelva"),
-    *("javascript", "script", "cookies", "your browser", "skripte"),
-    *("lorem", "placeholder", "dummy", "filler", "goes here", "replace this", "blindtext", "der text", "platzhalter", "beispieltext", "mustertext", "texto de", "texte ", "rempla", "sample copy", "example copy", "sample text", "example text", "sample content"),
-    *("undefined", "null", "none", "nan", "[object"),
-    *("{{", "{%", "<%", "${", "#{", "@@", "$", "%", "__", "[", "tbd", "todo", "xxx", "{0", "{1", "{2", "{3", "{4", "{5", "{6", "{7", "{8", "{9", "<"),
-)
+#: Stretches of lower-cased text of which every match of the patterns above has at least one; a line without any is not
+#: read further.
+TRIGGERS = tuple(sorted(set().union(*(cover(x) for x in (*ERROR, *SCRIPT, *FILLER, *ABSENT, *BLANK)))))
 _FENCE = re.compile(r"```|~~~")
 _INLINE = re.compile(r"`[^`\n]*`")
 _QUOTED = re.compile(r"[\"“”„«»][^\"“”„«»\n]{1,120}[\"“”„«»]")
@@ -205,7 +197,7 @@ def residue(docs: DataFrame, min_docs: int = 20, min_share: float = 0.2) -> Data
 
 def _trigger(latin: frozenset[str]) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for w in (*TRIGGERS, *(x for x in latin if len(x) > 4)):
+    for w in (*TRIGGERS, *latin):
         found.add_word(w, len(w))
     found.make_automaton()
     return found
@@ -221,6 +213,7 @@ def evidence(text: str, latin: frozenset[str] = frozenset(), trigger: ahocorasic
         found.add("filler")
     parts = _FENCE.split(text.replace("\r\n", "\n"))
     prose = "\n".join(parts[::2]) if len(parts) % 2 else "\n".join(parts)  # between a pair of fences lies code
+    prose = _INLINE.sub(" ", prose)  # before triggers are sought: a phrase may close up over it
     low = prose.lower()
     if len(low) != len(prose):  # a few letters change their length with their case
         low = prose = low
@@ -236,12 +229,11 @@ def evidence(text: str, latin: frozenset[str] = frozenset(), trigger: ahocorasic
 
 def _line_evidence(line: str, latin: frozenset[str]) -> set[str]:
     found: set[str] = set()
-    bare = _INLINE.sub(" ", line)
     if latin:
-        words = [w.lower() for w in _WORD.findall(bare)]
+        words = [w.lower() for w in _WORD.findall(line)]
         if len(words) >= FILLER_WORDS and sum(w in latin for w in words) >= FILLER_SHARE * len(words):
             found.add("filler")
-    for sentence in _SENTENCE.split(bare):
+    for sentence in _SENTENCE.split(line):
         if next(_PLAIN.iter(sentence.lower()), None) is None:
             continue
         if _BLANKS.search(sentence):

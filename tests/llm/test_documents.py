@@ -1,11 +1,15 @@
 """Packing, mixing, residue."""
 
 import random
+import re
+from re import _constants as K
+from re import _parser
 
 import pytest
 
 from stratalog.llm.mixing import draw, pivot, shares
 from stratalog.llm.packing import fill_report, pack, pack_histogram
+from stratalog.llm import residue as R
 from stratalog.llm.residue import evidence, residue
 from stratalog.llm.tokens import count, encoder, vocabulary_path
 
@@ -120,3 +124,43 @@ def test_recurrent_fences_still_enclose_code(spark):
     rows = [(i, f"Note {'abcdefghijklmnopqrstuvwxyz'[i]} on a topic.\n" + block.format("x = 1").replace("py", "py" if i % 2 else "ts"), "site") for i in range(26)]
     rows += [(100, f"One.\n{block.format('a()')}\nThis page could not be found.\n{block.format('b()')}\nEnd.", "site"), (101, f"Two.\n{block.format('a()')}\nThen:\n{block.format('Hello {{ name }}')}\nEnd.", "site")]
     assert {r.doc_id: r.kinds for r in residue(docs(spark, rows)).collect()} == {100: ["error"]}
+
+
+def sample(items, rng):
+    """A string that the parsed pattern may match, each alternative by chance."""
+    out = ""
+    for op, arg in items:
+        if op is K.LITERAL:
+            out += chr(arg)
+        elif op is K.BRANCH:
+            out += sample(rng.choice(arg[1]), rng)
+        elif op is K.SUBPATTERN:
+            out += sample(arg[3], rng)
+        elif op in (K.MAX_REPEAT, K.MIN_REPEAT):
+            out += "".join(sample(arg[2], rng) for _ in range(rng.randint(arg[0], max(arg[0], min(arg[1], arg[0] + 1)))))
+        elif op is K.IN:
+            kind, a = rng.choice(arg)
+            out += chr(a if kind is K.LITERAL else rng.randint(*a)) if kind in (K.LITERAL, K.RANGE) else "7" if a is K.CATEGORY_DIGIT else " " if a is K.CATEGORY_SPACE else "7" if kind is K.NEGATE else "q"
+        elif op in (K.ANY, K.NOT_LITERAL):
+            out += rng.choice(" q")
+    return out
+
+
+@pytest.mark.parametrize("pattern", [*R.ERROR, *R.SCRIPT, *R.FILLER, *R.ABSENT, *R.BLANK])
+def test_each_alternative_hits_a_trigger(pattern):
+    rng, trigger, seen = random.Random(3), R._trigger(frozenset()), 0
+    for _ in range(600):
+        if re.search(pattern, text := sample(_parser.parse(pattern), rng)):
+            seen += 1
+            assert next(trigger.iter(text.lower()), None) is not None, text
+    assert seen
+
+
+@pytest.mark.parametrize("text", ["This page failed to load.", "The file failed to open.", "http: 404", "Ray: 0123abcd", "This is example content.", "Faux texte."])
+def test_evidence_that_had_no_trigger(text):
+    assert evidence(text) and evidence("A note on the plank.\n" + text)
+
+
+def test_filler_of_short_words_only():
+    words = frozenset({"amet", "elit", "sed", "quis", "nisi", "enim"})
+    assert evidence("Amet elit sed, quis nisi enim.", words, R._trigger(words)) == {"filler"}
