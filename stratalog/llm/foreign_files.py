@@ -36,8 +36,18 @@ NOTICE_VENDORED = re.compile(
     r"\bvendored from\b|copied (?:unmodified|verbatim|unchanged|as is)? ?from (?:the )?\S+ (?:project|package|library|repository|release|v?\d)|\b\S+ v?\d+\.\d+(?:\.\d+)?\b.{0,40}\|.{0,20}\blicen[cs]e|copyright \(c\) \d{4}.{0,60}\bcontributors\b|(?:bug reports|issues|patches) (?:go|belong) to the upstream|see upstream for (?:changes|history)|\bupstream (?:version|release|commit)[: ]+\S*\d",
     re.I,
 )
-#: A leading remark of this kind is the file's own, whatever words it has.
-NOTICE_OWN = re.compile(r"\b(?:order of these steps|checked by hand|is the source|produced elsewhere|like the rest of it|written by the .{1,40} group|we dropped|writes \S+ files|checks that|shown after each)\b", re.I)
+#: A whole notice: the remark begins by saying of this file that it was made by something, or that and not to edit it.
+NOTICE_WHOLE = re.compile(
+    r"^\W*(?:(?:code|source|output|(?:this|the) (?:file|code|source))\s+)?(?:(?:was|is|has been)\s+)?(?:(?:auto|machine)(?:matically)?[- ]?)?(?:generated|created|produced)\b(?:(?: on .{1,40})? (?:by|from|with|using) (?!hand\b)\w|.*\bdo not (?:edit|modify))"
+    r"|^\W*(?:@generated\b|<auto-?generated|vendored from\b)|^\W*do not (?:edit|modify)\b.*\bgenerated (?:by|from)\b",
+    re.I,
+)
+#: By its grammar a remark on other files, or a denial: the file does something to files, or was not made by a tool.
+NOTICE_OWN = re.compile(
+    r"\b(?:not|never|n't|no longer) (?:\w+ )?(?:auto\w*[- ]?)?(?:generated|created|produced|minified|vendored|copied)\b"
+    r"|^\W*(?:(?:this|the) \w+ |it )?(?:writes|creates|produces|emits|generates|checks|verifies|rejects|detects|finds|skips|deletes|minifies|compresses|manages)\b(?! (?:this|the) file\b)",
+    re.I,
+)
 
 _TOKEN = re.compile(r"""(?P<word>[^\W\d][\w$]*|\$[\w$]+)|(?P<num>\d[\w.]*)|(?P<str>"[^"\n]*"|'[^'\n]*')|(?P<nl>\n)|(?P<mark>[^\s\w])""")
 _KEPT = frozenset("import from return const let var function class def if else for while await async this self new throw export try catch func package range interface public private static void yield raise with pass switch case break continue".split())
@@ -95,7 +105,7 @@ def notice(text: str) -> str | None:
             break
         if not _COMMENT.match(line):
             continue  # a first line such as a package clause
-        if NOTICE_OWN.search(line):
+        if NOTICE_OWN.search(line) and not NOTICE_WHOLE.search(line):
             continue
         if NOTICE_GENERATED.search(line):
             return "generated"

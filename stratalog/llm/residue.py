@@ -104,10 +104,12 @@ BLANK = (
     r"(?<![\w)\]$%'\"])\{\d{1,2}\}(?![\w(\[])",
     r"(?<![\w<>)\]])<(?!(?:a|b|i|p|br|hr|li|ul|ol|td|tr|th|h\d|em|tt|pre|div|img|body|html|head|code|span|table|title|strong|script|style|details|summary>.*</summary|sub|sup|kbd|https?|int|str|string|void|t|k|v)\b)[a-z][a-z_]*(?: [a-z]+){0,3}>(?!\s*[(;{=])",
 )
-#: A sentence that speaks of notices or filler, or reports a change to them: no evidence of those. Blanks and absent
+#: A sentence that by its grammar speaks of notices or filler, or reports a change to them, is no evidence of those: a
+#: change and its object, a condition in front, a report, an example, a rule how a thing is shown. Blanks and absent
 #: values are no words to speak with; where they are examples they stand in code or quotation marks.
 _SPEAKS = re.compile(
-    r"\b(?:handler|raised from|moved to|now (?:logs?|shows?)|error pages?|retr(?:y|ies|ied) on|fixed the|removed the|replaced the|documented in|works without|users? reported|reported that|answers? with|is (?:stored|shown|expanded|allowed|replaced) as|is allowed|are (?:shown|stored|treated) as|a test used|used lorem|which hid|the renderer|fills? it|adds? `|list of names|maintenance of the .{1,40} (?:finished|ended)|was never released|for example|e\.g\.|such as|when(?:ever)? the server|test for both)\b",
+    r"^\W*(?:(?:we|i|they|(?:this|the|a|one) (?:change|commit|patch|release|test|review|user)s?) (?:also |now )?)?(?:fix|remove|replace|add|move|rename|report|raise|update|use|document|improve|handle|test)(?:e?s|e?d)?\s+(?:the|an?|all|some|every|its|lorem|`|\d)"
+    r"|^\W*when(?:ever)?\b|\b(?:users? reported|report(?:s|ed) that|(?:answer|respond)(?:s|ed) with|for example|e\.g\.|such as|(?:is|are) (?:stored|shown|expanded|replaced|treated) as|(?:page|handler)s? now (?:logs?|shows?)|works without|retr(?:y|ies|ied) on \d)\b",
     re.I,
 )
 #: Stretches of lower-cased text of which every match of the patterns above has at least one; a line without any is not

@@ -164,3 +164,8 @@ def test_evidence_that_had_no_trigger(text):
 def test_filler_of_short_words_only():
     words = frozenset({"amet", "elit", "sed", "quis", "nisi", "enim"})
     assert evidence("Amet elit sed, quis nisi enim.", words, R._trigger(words)) == {"filler"}
+
+
+@pytest.mark.parametrize("text", ["Something went wrong in the renderer.", "This page could not be found, for it was never released.", "An error occurred while saving the list of names.", "This page could not be found; it may have moved to another address."])
+def test_phrases_do_not_hide_notices(text):
+    assert evidence(text) == {"error"}

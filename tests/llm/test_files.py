@@ -110,6 +110,14 @@ def test_kinds():
     assert notice("// do not edit the order of these steps\n") is None and notice("# Part of the loop workspace, MIT licensed like the rest of it") is None
 
 
+@pytest.mark.parametrize(("line", "kind"), [
+    ("// Code generated from api.proto, which is the source. DO NOT EDIT.", "generated"), ("# Generated by tabgen, produced elsewhere and checked by hand", "generated"), ("# Vendored from padlib 2.1; we dropped its tests", "vendored"), ("// This file was automatically generated; diffs are shown after each run", "generated"),
+    ("// This script writes tables; do not edit generated files by hand", None), ("# Never auto-generated by a tool", None),
+])
+def test_notices_win_over_phrases(line, kind):
+    assert notice(line + "\n") == kind
+
+
 def test_foreign_files(spark):
     snaps, files = tables(spark, [
         ("s1", "package-lock.json", None, None, None, 1), ("s1", "src\\a.ts", "// @generated by x\nlet a", None, None, 1), ("s1", "b.ts", "// @generated by x\n", None, None, 1), ("s1", "b.ts", "let own = 1\n", None, None, 2),
