@@ -31,6 +31,8 @@ HEADER = re.compile(r"\b(?:Bearer|Basic|Token|ApiKey)[ ]+(?P<value>[A-Za-z0-9._~
 CURL = re.compile(r"\bcurl\b.*?\s(?:-u|--user)[ =]?['\"]?(?P<user>[\w.@-]+):(?P<value>[^\s'\"]+)")
 BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: A line of a key: its base64 in whatever marks of comments and strings, a header, or nothing.
+_MATERIAL = re.compile(r"""[ \t\r"'`+#/*;,.\\-]*(?:(?:(?=[^\n]*\d)[A-Za-z0-9+/]{5,}={0,2}|=?[A-Za-z0-9+/]{4}|[A-Za-z0-9+/]+={1,2})(?:\\[nr])*|(?:Version|Comment|Charset|Hash|MessageID|Proc-Type|DEK-Info):[^\n]*)?[ \t\r"'`+*;,)\\]*""")
 _STRING = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)"""
 _LITERAL = re.compile(_STRING)
 #: After a name: an assignment, comparison, pair or argument, then one string or several joined ones.
@@ -124,6 +126,23 @@ def arguments(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]
             at, n = more.end(), n + 1
 
 
+def block_end(text: str, at: int) -> tuple[int, int]:
+    """(end of the material, end of the block) of a private key whose BEGIN mark ends at ``at``: up to its END mark
+    however far, or where that is missing as far as lines of key material, headers and empty ones follow."""
+    stop, again = BLOCK_END.search(text, at), BLOCK.search(text, at)
+    if stop and not (again and again.start() < stop.start()):
+        return stop.start(), stop.end()
+    end = text.find("\n", at)
+    end = len(text) if end < 0 else end
+    while end < len(text):
+        after = text.find("\n", end + 1)
+        after = len(text) if after < 0 else after
+        if not _MATERIAL.fullmatch(text, end + 1, after):
+            break
+        end = after
+    return end, end
+
+
 def scan_line(line: str, config: bool) -> list[tuple[str, str, int, int]]:
     """(kind, value, start, end) of each plausible secret in a line; start and end enclose the literal or the value."""
     found: list[tuple[str, str, int, int]] = []
@@ -193,9 +212,8 @@ def scan(text: str, path: str, trigger: ahocorasick.Automaton) -> list[tuple[int
         if start < closed:
             continue
         if b := BLOCK.search(line):
-            stop = BLOCK_END.search(text, start + b.end())
-            close = stop.end() if stop and stop.start() - start < 20_000 else end
-            body = re.sub(r"-----[A-Z0-9 ]+-----", "", text[start + b.end() : stop.start() if stop and close == stop.end() else end])
+            until, close = block_end(text, start + b.end())
+            body = text[start + b.end() : until]
             core = re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", body)
             if len(core) >= 24 and len(set(core)) >= 10:
                 out.append((line_no, "block", core[:64], b.start(), len(line)))
@@ -254,7 +272,7 @@ def find_credentials(snapshots: DataFrame, files: DataFrame, max_owners: int = P
     Lines count from 0 between ``\\n``; start and end are offsets in the line. A row without text or key is passed over.
     """
     index, counts = candidates(snapshots, files)
-    known = staged(index.filter((F.col("kind") != "block") & (F.length("value") >= 8)).select("value").distinct().withColumn("h", F.pmod(F.xxhash64("value"), F.lit(1 << 30))))
+    known = staged(index.filter(F.col("kind") != "block").select("value").distinct().withColumn("h", F.pmod(F.xxhash64("value"), F.lit(1 << 30))))
     passes = max(1, -(-known.count() // RESCAN_VALUES))
     again = None
     for i in range(passes):
@@ -273,7 +291,8 @@ def find_credentials(snapshots: DataFrame, files: DataFrame, max_owners: int = P
 
 
 def _search(files: DataFrame, values: list[str]) -> DataFrame:
-    """Where ``values`` (at most RESCAN_VALUES) stand as whole words, by one automaton."""
+    """Where ``values`` (at most RESCAN_VALUES) stand as whole words, by one automaton. One of fewer than 8 characters must
+    stand in a string literal, and if it is one plain word or number that literal must be passed to a call like login."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = ahocorasick.Automaton()
@@ -288,6 +307,8 @@ def _search(files: DataFrame, values: list[str]) -> DataFrame:
                     if (a and (text[a - 1].isalnum() or text[a - 1] in "_-/+")) or (b < len(text) and (text[b].isalnum() or text[b] in "_-/+")):
                         continue
                     start = text.rfind("\n", 0, a) + 1
+                    if len(v) < 8 and not _quoted(text, start, a, b, v):
+                        continue
                     rows.append((sid, path, when, text.count("\n", 0, start), "known", v, a - start, b - start))
             if rows:
                 yield _batch(rows)
@@ -295,6 +316,15 @@ def _search(files: DataFrame, values: list[str]) -> DataFrame:
     return files.mapInArrow(find, _FOUND)
 
 
+def _quoted(text: str, start: int, a: int, b: int, v: str) -> bool:
+    """Whether the short value at ``a``..``b``, in the line from ``start``, stands in a string literal as a secret may."""
+    end = text.find("\n", b)
+    for x in _LITERAL.finditer(text, start, len(text) if end < 0 else end):
+        if x.start() < a and b < x.end():
+            return plausible(v, "pass") or (x.end() - x.start() == len(v) + 2 and any(m["login"] and "," in text[m.end() : a] and ")" not in text[m.end() : a] for m in _CALL.finditer(text, start, a)))
+    return False
+
+
 def redact(text: str, spans: list[tuple[int, int, int, str]]) -> str:
     """``text`` with each (line, start, end, kind) masked and all else as it is: quotes stay, strings that code joins
     stay joined (the first holds the mask), and of a private key the lines between its marks are masked."""
@@ -304,12 +334,10 @@ def redact(text: str, spans: list[tuple[int, int, int, str]]) -> str:
             continue
         line = lines[no]
         if kind == "block":
-            for i in range(no, len(lines)):
-                head = start + BLOCK.match(line, start).end() - start if i == no else 0
-                stop = BLOCK_END.search(lines[i], head)
-                lines[i] = lines[i][:head] + re.sub(r"(?<!\\)[A-Za-z0-9+/=]{8,}", MASK, lines[i][head : stop.start() if stop else None]) + (lines[i][stop.start() :] if stop else "")
-                if stop or (i == no and "\\n" in line[start:]):
-                    break
+            head = start + BLOCK.match(line, start).end() - start
+            rest = "\n".join(lines[no:])
+            until, _ = block_end(rest, head)
+            lines[no:] = (rest[:head] + re.sub(r"(?<!\\)[A-Za-z0-9+/=]{8,}", MASK, rest[head:until]) + rest[until:]).split("\n")
             continue
         part = line[start:end]
         if part[:1] in "\"'`" or (len(part) > 1 and part[1:2] in "\"'"):
