@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
 
@@ -52,6 +53,8 @@ NOTICE_OWN = re.compile(
 _TOKEN = re.compile(r"""(?P<word>[^\W\d][\w$]*|\$[\w$]+)|(?P<num>\d[\w.]*)|(?P<str>"[^"\n]*"|'[^'\n]*')|(?P<nl>\n)|(?P<mark>[^\s\w])""")
 _KEPT = frozenset("import from return const let var function class def if else for while await async this self new throw export try catch func package range interface public private static void yield raise with pass switch case break continue".split())
 _COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|--|<!--|;|%|\"\"\"|''')")
+#: Marks that open a comment of several lines, and those that close it.
+_BLOCKS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
 _CODE = re.compile(r"\.(?:js|mjs|cjs|jsx|ts|tsx|css|scss|less|html?|svg|php|py|go|java|rb|c|cc|h|rs|lua|vue)$", re.I)
 _PROSE = re.compile(r"\.(?:md|markdown|rst|txt|adoc|csv|tsv)$", re.I)
 _SYMBOLS: dict[str, int] = {}
@@ -97,14 +100,22 @@ def _rules(text: str, path: str) -> np.ndarray:
 
 
 def notice(text: str) -> str | None:
-    """generated or vendored, if the comments with which a text begins say so."""
-    for n, line in enumerate(text.lstrip("﻿").split("\n", 40)[:40]):
-        if not line.strip() or line.startswith("#!"):
+    """generated or vendored, if the comments with which a text begins say so, however long they are."""
+    close = None
+    for n, line in enumerate(io.StringIO(text.lstrip("\ufeff"), newline="\n")):
+        bare = line.strip()
+        if not bare or line.startswith("#!"):
             continue
-        if not _COMMENT.match(line) and n:
-            break
-        if not _COMMENT.match(line):
-            continue  # a first line such as a package clause
+        if close is None:
+            if not _COMMENT.match(line):
+                if n:
+                    break
+                continue  # a first line such as a package clause
+            mark = next((x for x in _BLOCKS if bare.startswith(x)), None)
+            if mark and _BLOCKS[mark] not in bare[len(mark) :]:
+                close = _BLOCKS[mark]
+        elif close in bare:
+            close = None
         if NOTICE_OWN.search(line) and not NOTICE_WHOLE.search(line):
             continue
         if NOTICE_GENERATED.search(line):

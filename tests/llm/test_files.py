@@ -133,6 +133,12 @@ def test_notices_win_over_phrases(line, kind):
     assert notice(line + "\n") == kind
 
 
+@pytest.mark.parametrize("text", ["// licence\n" * 60 + "// Code generated by xgen. DO NOT EDIT.\n", "/*\nA licence.\n\nCode generated by xgen. DO NOT EDIT.\n*/\nlet a", "<!--\nCode generated by xgen. DO NOT EDIT.\n-->\n", '"""\nA table.\nCode generated by xgen. DO NOT EDIT.\n"""\n'])
+def test_notice_anywhere_in_the_leading_comments(text):
+    assert notice(text) == "generated"
+    assert notice(text.replace("Code generated by xgen. DO NOT EDIT.", "By hand.") + "\nlet b = 1\n// Code generated by xgen. DO NOT EDIT.\n") is None
+
+
 def test_foreign_files(spark):
     snaps, files = tables(spark, [
         ("s1", "package-lock.json", None, None, None, 1), ("s1", "src\\a.ts", "// @generated by x\nlet a", None, None, 1), ("s1", "b.ts", "// @generated by x\n", None, None, 1), ("s1", "b.ts", "let own = 1\n", None, None, 2),
