@@ -15,7 +15,7 @@ def mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def repair(symbols: np.ndarray, owner: np.ndarray, max_rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Grammars of the sequences that ``symbols`` holds one after the other; ``owner`` (ascending) tells which is whose.
 
     Returns for each sequence 0..max(owner): symbols left in its start rule, its number of rules, and the most uses of
@@ -27,9 +27,7 @@ def repair(symbols: np.ndarray, owner: np.ndarray, max_rounds: int = 40) -> tupl
     left, rules, most = np.bincount(owner, minlength=n).astype(np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     s, f = symbols.astype(np.uint64), owner.astype(np.int64)
     with np.errstate(over="ignore"):
-        for _ in range(max_rounds):
-            if len(s) < 2:
-                break
+        while len(s) >= 2:  # each round shrinks it or is the last
             name = mix(s[:-1], s[1:])
             inside = f[:-1] == f[1:]
             key = mix(name, f[:-1].astype(np.uint64))

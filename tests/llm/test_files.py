@@ -116,6 +116,13 @@ def test_repair_expands_to_the_input_sizes():
         assert 0 < left[0] + 2 * rules[0] <= 3000 + 1
 
 
+def test_repair_runs_until_no_pair_recurs():
+    k = 100  # the prefixes of one sequence: each round finds but one pair
+    s = np.array([x for n in range(2, k + 1) for x in (*range(n), 1000 + n)], np.uint64)
+    left, rules, _ = repair(s, np.zeros(len(s), np.int64))
+    assert left[0] <= 2 * k and rules[0] <= k
+
+
 def test_kinds():
     mini = "".join(f"function a{i}(x,y){{return x.b?y({i}):c(x,\"d\")}}" for i in range(80))
     blob = "X = [\n" + "".join(f"  '{'aZ3kQ9/xW7bT1mN5pL8vR2cY6'[i % 9:]}{i:03d}KpQ7z',\n" for i in range(60)) + "]\n"
