@@ -20,8 +20,9 @@ from stratalog.sources.tables import spread
 
 _WORD = re.compile(r"[a-z0-9_]+")
 _LOW = np.uint64((1 << 48) - 1)
-#: Texts whose n-grams are packed at once, members of a group that one task joins, words kept by name in a task.
-BATCH, BLOCK, CACHE = 4096, 1500, 1_000_000
+#: Texts whose n-grams are packed at once, members of a group that one task joins, words kept by name in a task, copies
+#: of a text that meet in one part.
+BATCH, BLOCK, CACHE, COPIES = 4096, 1500, 1_000_000, 2000
 
 
 def text_key(group: str, text: str):
@@ -45,7 +46,7 @@ def near_pairs(docs: DataFrame, group: str, text: str, words: int = 5, threshold
     4. The texts of a leader are joined in a prefix tree, the frequent n-grams first, so that overlaps shared by many
        texts are counted once; subtrees are left when the lengths that remain can't give the overlap needed.
        Leaders with more than BLOCK texts are split into pairs of blocks.
-    No candidate is dropped on the way. N-grams are known by 48 bits and those of their range.
+    No candidate is dropped on the way. N-grams are known by 48 bits and those of their range, 64 at most.
     """
     ranges = _ranges(docs)
     keyed = docs.filter(F.col(text).isNotNull()).select(F.col(group).alias("g"), text_key(group, text).alias("k"), F.col(text).alias("t"))
@@ -61,10 +62,15 @@ def near_pairs(docs: DataFrame, group: str, text: str, words: int = 5, threshold
     return joined.distinct()
 
 
-def members(docs: DataFrame, ident: str, group: str, text: str) -> DataFrame:
-    """(group, id, k): the documents of each text, without the texts; a null text is one of its own."""
+def long_enough(text: str, min_words: int):
+    """Whether a text has ``min_words`` words, so that it can be in pairs."""
+    return F.regexp_count(F.lower(text), F.lit(_WORD.pattern)) >= min_words
+
+
+def members(docs: DataFrame, ident: str, group: str, text: str, min_words: int = 5) -> DataFrame:
+    """(group, id, k, comparable): the documents of each text, without the texts; a null text is one of its own."""
     key = F.when(F.col(text).isNull(), F.xxhash64(F.lit("null"), F.col(group), F.col(ident))).otherwise(text_key(group, text))
-    return docs.select(F.col(group).alias("group"), F.col(ident).alias("id"), key.alias("k"))
+    return docs.select(F.col(group).alias("group"), F.col(ident).alias("id"), key.alias("k"), F.coalesce(long_enough(text, min_words), F.lit(False)).alias("comparable"))
 
 
 def near_duplicates(docs: DataFrame, member: DataFrame, group: str, text: str, words: int = 5, threshold: float = 0.8, min_words: int = 0) -> DataFrame:
@@ -81,16 +87,29 @@ def near_duplicates(docs: DataFrame, member: DataFrame, group: str, text: str, w
 def expand_pairs(pairs: DataFrame, member: DataFrame) -> DataFrame:
     """(group, id_a, id_b), id_a < id_b: the ``members`` whose texts make the pairs."""
     used = pairs.select(F.col("key_a").alias("k")).unionAll(pairs.select(F.col("key_b").alias("k"))).distinct()
-    own = staged(member.join(used, "k", "left_semi").distinct())
+    own = staged(member.join(used, "k", "left_semi").select("group", "id", "k").distinct())
     a, b = (own.select(F.col("group").alias(f"g_{x}"), F.col("id").alias(x), F.col("k").alias(f"key_{x}")) for x in "ab")
     both = pairs.select("key_a", "key_b").join(a, "key_a").join(b, "key_b")
     return both.filter("a <> b").select(F.col("g_a").alias("group"), F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
 
+def copy_pairs(member: DataFrame) -> DataFrame:
+    """(group, id_a, id_b), id_a < id_b: the ``members`` that have the very same text, if it is long enough to be
+    compared. A text of m members has m (m - 1) / 2 such pairs, so this is for results that must name them all; members
+    meet in parts of COPIES, whatever m is. ``near_duplicates`` gives the same groups in one row for each member."""
+    own = member.filter("comparable").select("group", "id", "k").distinct()
+    parts = own.groupBy("group", "k").agg(F.count("*").alias("n")).filter("n > 1").select("group", "k", F.ceil(F.col("n") / COPIES).cast("int").alias("parts"))
+    own = staged(own.join(parts, ["group", "k"]))
+    a = own.select("group", "k", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("id_a"))
+    b = own.select("group", "k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("id_b"))
+    return a.join(b, ["group", "k", "part"]).filter("id_a < id_b").select("group", "id_a", "id_b")
+
+
 def _ranges(docs: DataFrame) -> int:
-    """Hash ranges: a power of two, so many that one holds the n-grams of about 4 MB of the input as estimated."""
+    """Hash ranges: a power of two, so many that one holds the n-grams of about 4 MB of the input as estimated, or 2**15
+    where the plan has no estimate (an input that is no table)."""
     stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return 1 << min(15, max(4, (min(stored, 1 << 60) // 4_000_000).bit_length()))
+    return 1 << (15 if stored >= 1 << 58 else max(4, (stored // 4_000_000).bit_length()))
 
 
 class _Names(dict):
@@ -223,7 +242,7 @@ def _count(ranges: int):
         df = np.diff(np.r_[first, len(g)])
         shared = np.repeat(df >= 2, df)
         leaders, df = np.repeat(k[first], df)[shared], np.repeat(df, df)[shared].astype(np.int32)
-        g, k, n = g[shared] | np.uint64(part << 48), k[shared], n[shared]
+        g, k, n = g[shared] | np.uint64((part & 0xFFFF) << 48), k[shared], n[shared]
         order = np.argsort(k, kind="stable")
         g, k, n, df, leaders = g[order], k[order], n[order], df[order], leaders[order]
         to = (k.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)

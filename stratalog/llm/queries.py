@@ -9,7 +9,7 @@ from stratalog.llm.credentials import find_credentials, redacted
 from stratalog.llm.entries import counting, owners, texts
 from stratalog.llm.foreign_files import foreign_files
 from stratalog.llm.mixing import draw, shares
-from stratalog.llm.near_duplicates import expand_pairs, members, near_duplicates, near_pairs, text_key
+from stratalog.llm.near_duplicates import copy_pairs, expand_pairs, long_enough, members, near_duplicates, near_pairs, text_key
 from stratalog.llm.packing import fill_report, pack
 from stratalog.llm.residue import residue
 from stratalog.llm.splitting import split_oversized
@@ -29,15 +29,17 @@ def _units(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     chunks = table(spark, folder, "code_chunks").filter("chunk_id is not null").select(F.lit("chunk").alias("unit"), F.col("chunk_id").alias("id"), "content")
     files = table(spark, folder, "snapshot_files")
     whole = texts(files).withColumn("unit", F.lit("file"))
-    entries = whole.select("snapshot_id", "path", "delivery", F.lit("file").alias("group"), F.concat("snapshot_id", F.lit("|"), "path").alias("id"), text_key("unit", "content").alias("k"))
-    entries = entries.join(counting(files).filter("has_text"), ["snapshot_id", "path", "delivery"], "left_semi").select("group", "id", "k")
-    return chunks.select("unit", "content").unionByName(whole.select("unit", "content")), members(chunks, "id", "unit", "content").unionByName(entries)
+    entries = whole.select("snapshot_id", "path", "delivery", F.lit("file").alias("group"), F.concat("snapshot_id", F.lit("|"), "path").alias("id"), text_key("unit", "content").alias("k"), long_enough("content", _EDITED["min_words"]).alias("comparable"))
+    entries = entries.join(counting(files).filter("has_text"), ["snapshot_id", "path", "delivery"], "left_semi").select("group", "id", "k", "comparable")
+    return chunks.select("unit", "content").unionByName(whole.select("unit", "content")), members(chunks, "id", "unit", "content", _EDITED["min_words"]).unionByName(entries)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of chunks, and of full texts of files, that are largely the same."""
+    """Pairs of chunks, and of full texts of files, that are largely the same or copies of one text."""
     docs, member = _units(spark, folder)
-    return expand_pairs(staged(near_pairs(docs, "unit", "content", **_EDITED)), member).withColumnRenamed("group", "unit")
+    member = staged(member.distinct())
+    edited = expand_pairs(staged(near_pairs(docs, "unit", "content", **_EDITED)), member)
+    return edited.unionByName(copy_pairs(member)).withColumnRenamed("group", "unit")
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:

@@ -96,3 +96,16 @@ def test_components(spark):
             root[max(find(a), find(b))] = min(find(a), find(b))
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
+
+
+def test_pairs_of_copies(spark, monkeypatch):
+    import stratalog.llm.near_duplicates as m
+
+    monkeypatch.setattr(m, "COPIES", 4)  # the hot text meets in several parts
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [("file", f"a{i:02d}", text.replace(" ", "\r\n" if i % 2 else "\n")) for i in range(23)] + [("chunk", "c1", text), ("chunk", "c2", text), ("chunk", "c2", text)]
+    rows += [("file", "s1", "too short"), ("file", "s2", "too short"), ("file", "n1", None), ("file", "n2", None), ("file", "e1", ""), ("file", "e2", "")]
+    member = m.members(spark.createDataFrame([(*r, 1, "c", 2) for r in rows], SCHEMA), "id", "unit", "content", 30)
+    got = [(r["group"], r.id_a, r.id_b) for r in m.copy_pairs(member).collect()]
+    assert len(got) == len(set(got)) == 23 * 22 // 2 + 1 and ("chunk", "c1", "c2") in got and all(a < b for _, a, b in got)
+    assert m.copy_pairs(member.limit(0)).count() == 0
