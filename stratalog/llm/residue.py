@@ -7,13 +7,17 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.literals import cover
+from stratalog.session import staged
 from stratalog.sources.tables import small, spread
 
-# Wording of notices, by kind. Each is matched in one lower-cased sentence or line of the residual.
+# The grammar of notices, by kind: who says of itself what it can't do, or tells the reader to. These are
+# the seeds; how the sites of a corpus word the rest of their notices is learnt from its counts (see ``residue``).
+# Each is matched in one lower-cased sentence or line.
 
 #: A page or entry that could not be had. The subject must be the page itself, at the start of the sentence.
 _MISSING = (
@@ -26,32 +30,27 @@ _MISSING = (
 ERROR = (
     _MISSING,
     r"/[\w./-]+ (?:could not|couldn't|cannot|can't|was not|is not able to|is not|wasn't) (?:be )?(?:found|shown|displayed|loaded|opened|reached|available)",
-    r"the (?:page|file|view|resource|url) /?[\w./-]+ (?:could not|cannot|was not|is not) (?:be )?\w+ on this server",
-    r"sorry, this page isn'?t available",
-    r"(?:the )?(?:link|page) may be (?:broken|missing)|the (?:entry|page) may have (?:been )?(?:moved|deleted)",
-    r"the requested (?:document|page|file|resource)\b.*\b(?:has been removed|no longer|its name changed|was moved)",
-    r"we can'?t find what you'?re looking for|we could not find (?:the|that) page",
+    r"(?:the )?(?:link|page|entry|file|address) (?:may|might) (?:be|have been|have) (?:broken|missing|moved|removed|deleted|renamed|expired)",
+    r"the requested (?:document|page|file|resource|url|entry|item|record)\b.*\b(?:has been|was|is) (?:removed|moved|deleted|no longer)",
+    r"(?:can'?t|cannot|could not|couldn't) find (?:what you|the page|that page|the file you)",
     r"(?:please )?(?:go back|return) to the (?:start|home|[\w-]+ home) page",
     r"(?:http )?[45]\d\d:? (?:not found|forbidden|unauthorized|bad (?:request|gateway)|internal server error|gateway time-?out|service unavailable|too many requests|gone|error)\b",
-    r"(?:error|http|code|status)(?: code)?:? [45]\d\d\b(?!.*\b(?:handler|page now|raised|waits)\b)",
+    r"^(?:error|http|code|status)(?: code)?:? [45]\d\d\b",
     r"<title>\s*[45]\d\d\b|<h1>\s*[45]\d\d\b",
     r"""\{\s*["'](?:error|status|code|message)["']\s*:.*["']?(?:code|status|message|error)["']?\s*:""",
     r"(?:oops!? ?)?something went wrong\b(?! when| if)",
-    r"oops[!.]",
     r"an (?:unexpected |internal |unknown )?error (?:has )?occurred",
-    r"the (?:application|service|server|site|program)\b.*\b(?:stopped|failed|closed|crashed|ended|broke off)\b.*\b(?:unexpected|fault|error|before it answered|without an answer)",
-    r"no answer from [\w.-]+ within",
+    r"^(?:the|this) (?:application|service|server|site|program|process)\b.*\b(?:stopped|failed|closed|crashed|ended|terminated)\b.*\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\W*$",
     r"\b(?:the|this) (?:site|server|service) (?:seems|appears) to be (?:offline|down|unavailable)",
-    r"if this (?:goes on|persists|continues|keeps happening),? (?:quote|contact|give|mention|report)",
-    r"^(?:ray|request|reference|incident|trace)(?: id)?:? \(?[0-9a-f]{8,}\)?\.?$",
     r"(?:the )?(?:\w+ )?service did not (?:answer|respond)",
+    r"^(?:ray|request|reference|incident|trace)(?: id)?:? \(?[0-9a-f]{8,}\)?\.?$",
     r"fatal error: uncaught|^traceback \(most recent call last\)|exception in thread |^segmentation fault|stack trace:$",
     r"(?:you|users) must be (?:logged|signed) in to|(?:please )?(?:sign|log) in (?:again )?to (?:open|see|view|continue)|you (?:need|have) to (?:sign|log) in",
     r"your session (?:has |is )?(?:expired|timed out|ended)|^session expired",
-    r"^access (?:is |was )?(?:denied|forbidden)|you do not have (?:permission|access) to|you don'?t have (?:permission|access) to|you are not (?:allowed|authorized|authorised) to",
+    r"^access (?:is |was )?(?:denied|forbidden)|you (?:do not|don'?t) have (?:permission|access) to|you are not (?:allowed|authorized|authorised) to",
     r"^too many requests|rate limit (?:exceeded|reached)\.?$|^you have (?:made|sent) too many requests|wait \d+ seconds and (?:reload|retry|try)",
     r"\bwe are down for maintenance|(?:site|server|service|page) is (?:down|closed|offline|unavailable) for maintenance|under maintenance[.,;!]|will be back (?:soon|shortly|in \d)",
-    r"^(?:try again (?:later|in)|go back or try again)|please try again (?:later|in \d)|\band reload\.?$",
+    r"^(?:try again (?:later|in)|go back or try again)|please try again (?:later|in \d)",
     r"es ist ein (?:\w+ )?fehler aufgetreten|seite (?:wurde )?nicht gefunden|die adresse /?\S+ existiert nicht|zugriff verweigert|ihre sitzung ist abgelaufen|sie sind (?:für .* )?nicht angemeldet|bitte melden sie sich|zu viele anfragen|wegen wartung|interner serverfehler|bitte laden sie \S+ neu",
     r"une erreur (?:\w+ )?(?:est survenue|s'est produite)|page introuvable|n'existe pas sur ce serveur|accès (?:refusé|interdit)|votre session a expiré|trop de requêtes|en maintenance|erreur interne du serveur|reconnectez-vous|n'a pas pu être (?:chargée?|affichée?|trouvée?)",
     r"no se encontró la página|página no encontrada|ha ocurrido un error|se ha producido un error|se produjo un error|acceso denegado|su sesión ha (?:caducado|expirado)|demasiadas solicitudes|error interno del servidor|en mantenimiento|vuelva al inicio|no se pudo (?:cargar|mostrar|abrir)",
@@ -61,9 +60,8 @@ SCRIPT = (
     r"(?:please )?(?:enable|activate|allow|turn on|switch on|use)\b.{0,30}\b(?:javascript|scripts?|scripting|cookies)\b.{0,40}\b(?:to|and|before|in your browser|reload|continue)\b",
     r"you (?:need|have) to (?:turn on|enable|allow|activate|switch on) (?:javascript|scripts|scripting)",
     r"(?:this|our|the) (?:application|site|page|app|website) (?:requires|needs|does not work without|doesn't work without) (?:javascript|scripts)",
-    r"your browser (?:is not supported|does not support|has scripting|has javascript)|scripting disabled;|javascript (?:is|seems|appears) (?:to be )?(?:disabled|switched off|turned off|blocked)",
-    r"it looks like it is switched off for|if nothing happens, scripts may be blocked|scripts may be blocked",
-    r"checking your browser before|allow cookies and scripts",
+    r"your browser (?:is not supported|does not support|(?:or )?has (?:javascript|scripts|scripting) (?:disabled|switched off|turned off))|(?:javascript|scripts|scripting) (?:is|are|may be|seems|appears) (?:to be )?(?:disabled|switched off|turned off|blocked)",
+    r"checking your browser before",
     r"(?:bitte )?(?:aktivieren|schalten) sie (?:bitte )?(?:javascript|skripte)|javascript (?:muss|ist) (?:aktiviert|erforderlich|deaktiviert)",
     r"(?:veuillez )?(?:activer|activez) (?:le )?javascript|javascript (?:est|doit être) (?:désactivé|activé|requis)",
     r"(?:active|habilite|activar|habilitar) (?:el )?javascript|javascript (?:está|debe estar) (?:desactivado|activado|habilitado)",
@@ -120,11 +118,14 @@ _INLINE = re.compile(r"`[^`\n]*`")
 _QUOTED = re.compile(r"[\"“”„«»][^\"“”„«»\n]{1,120}[\"“”„«»]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\s])")
 _WORD = re.compile(r"[^\W\d_]+")
+_DIGITS = re.compile(r"\d+")
 _KINDS = {"error": re.compile("|".join(f"(?:{x})" for x in ERROR)), "script": re.compile("|".join(f"(?:{x})" for x in SCRIPT)), "filler": re.compile("|".join(f"(?:{x})" for x in FILLER)), "absent": re.compile("|".join(f"(?:{x})" for x in ABSENT))}
 _BLANKS = re.compile("|".join(f"(?:{x})" for x in BLANK))
-#: Words of the Latin-like filler that the known opening words lead into are learnt from the corpus; of these words a
-#: text must have so many, making up so much of a line, to be filler without the opening.
-_OPENING, FILLER_WORDS, FILLER_SHARE = "lorem ipsum dolor", 6, 0.8
+#: Words of the Latin-like filler that the known opening words lead into are learnt from the corpus (at most FILLER_MOST,
+#: those of most texts); of these words a text must have so many, making up so much of a line, to be filler without the opening.
+_OPENING, FILLER_WORDS, FILLER_SHARE, FILLER_MOST = "lorem ipsum dolor", 6, 0.8, 5000
+#: Words to an end of a sentence; texts and hosts with evidence that have a learnt end, and their share of all texts that have it.
+END, LEARN_TEXTS, LEARN_HOSTS, LEARN_SHARE = 5, 5, 3, 0.9
 
 
 def host(source: Column) -> Column:
@@ -132,69 +133,109 @@ def host(source: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(source)), "-", "_")
 
 
-def normal_line(line: Column) -> Column:
+def normal_line(line: str) -> str:
     """A line as it is counted: lower case, one blank between words, digits alike, outer blanks off."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\d+", "0"), r"\s+", " "))
+    return " ".join(_DIGITS.sub("0", line.lower()).split())
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    lines = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), normal_line), lambda x: x != ""))
-    return docs.select("doc_id", "__host", F.explode(lines).alias("__line")).select("doc_id", "__host", F.xxhash64("__line").alias("__line"))
+def _named(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def recurrent_lines(docs: DataFrame, min_docs: int, min_share: float) -> DataFrame:
-    """(host, line hash) of lines in at least ``min_docs`` different texts and ``min_share`` of the texts of a host."""
-    texts = docs.dropDuplicates(["__host", "__text"])
-    sizes = texts.groupBy("__host").agg(F.count("*").alias("__texts"))
-    counts = _lines(texts).groupBy("__host", "__line").agg(F.count("*").alias("__n")).filter(F.col("__n") >= min_docs)
-    return counts.join(small(sizes), "__host").filter(F.col("__n") >= min_share * F.col("__texts")).select("__host", "__line")
+def ends(prose: str) -> list[int]:
+    """Names of the first and last END words of each sentence of a line, or of the whole sentence if it has no more.
+    What is no plain word (numbers, paths, names of hosts) is alike; sentences of fewer than three words tell nothing."""
+    out = []
+    for sentence in _SENTENCE.split(_QUOTED.sub(" ", prose.lower())):
+        words = [w if w.isalpha() else "#" for w in (x.strip(".,;:!?()[]'*>-") for x in sentence.split()) if w]
+        if len(words) > END:
+            out += [_named(" ".join(["<", *words[:END]])), _named(" ".join([*words[-END:], ">"]))]
+        elif len(words) >= 3:
+            out.append(_named(" ".join(words)))
+    return out
 
 
-def filler_words(docs: DataFrame, min_docs: int = 3, min_lift: float = 20.0) -> list[str]:
+def filler_words(docs: DataFrame, min_docs: int = 3, min_lift: float = 20.0, most: int = FILLER_MOST) -> list[str]:
     """Words that texts with the known opening of filler have and the rest of the corpus hardly has: those in at least
-    ``min_docs`` such texts whose share of such texts is ``min_lift`` times their share of the others. The list is
-    bounded by the vocabulary of the filler (a few dozen words of one invented language)."""
-    texts = docs.select(F.lower("text").alias("t")).distinct().withColumn("opened", F.contains("t", F.lit(_OPENING)))
-    totals = texts.groupBy().agg(F.count_if("opened").alias("a"), F.count_if(~F.col("opened")).alias("b"))
-    opened = texts.filter("opened").select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"\p{L}{2,}"), 0))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    others = texts.filter("not opened").select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"\p{L}{2,}"), 0))).alias("w")).join(small(opened.select("w")), "w").groupBy("w").agg(F.count("*").alias("m"))
-    both = opened.join(others, "w", "left").crossJoin(totals)
-    kept = both.filter(F.col("n") / F.col("a") >= min_lift * F.coalesce("m", F.lit(0)) / F.greatest("b", F.lit(1)))
-    return [r.w for r in kept.select("w").orderBy("w").collect()]
-
-
-def residue(docs: DataFrame, min_docs: int = 20, min_share: float = 0.2) -> DataFrame:
+    ``min_docs`` such texts whose share of such texts is ``min_lift`` times their share of the others. The list is a
+    model of at most ``most`` words, those of most texts."""
+    texts = docs.select(F.lower("text").alias("t")).withColumn("opened", F.contains("t", F.lit(_OPENING)))
+    words = F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"\p{L}{2,}"), 0))).alias("w")
+    opened = staged(texts.filter("opened").select("t").distinct().select(words).groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs))
+    if opened.isEmpty():
+        return []
+    a, b = texts.agg(F.count_if("opened"), F.count_if(~F.col("opened"))).first()
+    others = texts.filter("not opened").select(words).join(small(opened.select("w")), "w").groupBy("w").agg(F.count("*").alias("m"))
+    kept = opened.join(others, "w", "left").filter(F.col("n") / a >= min_lift * F.coalesce("m", F.lit(0)) / max(b, 1))
+    return [r.w for r in kept.orderBy(F.col("n").desc(), "w").limit(most).collect()]
+
+
+def residue(docs: DataFrame, min_docs: int = 20, min_share: float = 0.2, learn: bool = True) -> DataFrame:
     """(doc_id, kinds) of the records whose text, less the recurrent lines of their host, holds evidence of residue.
 
-    ``docs`` has doc_id, text, source. Lines are counted by host over all texts, exact copies once. A line is boilerplate
-    if at least ``min_docs`` texts and ``min_share`` of the texts of its host have it; boilerplate is subtracted, be it
-    navigation or a notice that a site prints on every page; only fences of code in it stay. What is left is read line by line and sentence by
-    sentence, code blocks, inline code and quotations aside. ``kinds`` are among blank, absent, filler, error, script.
+    ``docs`` has doc_id, text, source. ``kinds`` are among blank, absent, filler, error, script.
+
+    1. Every text is read once where it lies, line by line and sentence by sentence, code blocks, inline code and
+       quotations aside; a row for each line has its name, the seeds of evidence in it and, if its text has any, the
+       ends of its sentences. Texts are never shuffled.
+    2. Lines are counted by host, over different texts. One in at least ``min_docs`` texts and ``min_share`` of the texts
+       of its host is boilerplate and subtracted with its evidence, be it navigation or a notice on every page.
+    3. In what is left the ends of sentences are counted by host too. An end that LEARN_TEXTS texts with evidence in
+       LEARN_HOSTS hosts have, and few others (LEARN_SHARE), is the wording of a notice: texts that have it are found as
+       well, by the kind most of those texts are of. ``learn`` turns this off.
+
     A sentence that speaks of such things is no evidence. Null, empty and short texts without evidence are not found.
     """
-    own = spread(docs.select("doc_id", "text", host(F.coalesce("source", F.lit(""))).alias("__host")).filter("text is not null"))
-    keyed = own.withColumn("__text", F.xxhash64("text"))
-    marks = _lines(own).join(small(recurrent_lines(keyed, min_docs, min_share)), ["__host", "__line"]).groupBy("doc_id").agg(F.collect_set("__line").alias("__skip"))
+    own = spread(docs.select("doc_id", "text", host(F.coalesce("source", F.lit(""))).alias("host")).filter("text is not null")).withColumn("key", F.xxhash64("text"))
     words = filler_words(own)
-    body = own.join(marks, "doc_id", "left")
-    # each line with the hash it was counted under, so that Python subtracts exactly what was counted
-    # and with its fences, so that what was code or prose in the text stays that
-    fences = lambda x: F.array_join(F.regexp_extract_all(x, F.lit(f"({_FENCE.pattern})")), "")
-    lines = F.transform(F.split("text", "\n"), lambda x: F.when(F.array_contains("__skip", F.xxhash64(normal_line(x))), fences(x)).otherwise(x))
-    left = body.select("doc_id", F.when(F.col("__skip").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")).alias("text"))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frozenset(words)
-        trigger = _trigger(known)
+    lines = staged(own.mapInArrow(_lines(frozenset(words)), "doc_id long, host string, key long, line long, kinds array<string>, ends array<long>"))
+    texts = small(lines.select("host", "key").distinct().groupBy("host").agg(F.count("*").alias("texts")))
+    counts = lines.select("host", "line", "key").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
+    boilerplate = staged(counts.join(texts, "host").filter(F.col("n") >= min_share * F.col("texts")).select("host", "line"))
+    less = lambda rows: rows.join(small(boilerplate), ["host", "line"], "left_anti")
+    seeds = less(lines.filter("size(kinds) > 0")).select("doc_id", F.explode("kinds").alias("kind")).distinct()
+    if not learn:
+        return seeds.groupBy("doc_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+    seeds = staged(seeds)
+    near = less(lines.filter("size(ends) > 0")).select("doc_id", "host", "key", F.explode("ends").alias("end")).distinct().join(seeds, "doc_id")
+    near = near.groupBy("end", "kind").agg(F.count_distinct("key").alias("n"), F.collect_set("host").alias("hosts"))
+    near = near.groupBy("end").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"), F.max("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("hosts")))).alias("hosts"))
+    near = staged(near.filter((F.col("n") >= LEARN_TEXTS) & (F.col("hosts") >= LEARN_HOSTS)).select("end", "kind", "n"))
+    found = own.mapInArrow(_ends, "doc_id long, host string, key long, line long, end long").join(small(near.select("end")), "end")
+    found = staged(less(found).select("doc_id", "key", "end").distinct())
+    learnt = found.groupBy("end").agg(F.count_distinct("key").alias("all")).join(near, "end").filter(F.col("n") >= LEARN_SHARE * F.col("all")).select("end", "kind")
+    more = found.join(small(learnt), "end").select("doc_id", "kind")
+    return seeds.unionByName(more).groupBy("doc_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+
+
+def _lines(latin: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trigger = _trigger(latin)
         for batch in batches:
-            ids, kinds = [], []
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if found := evidence(text, known, trigger):
-                    ids.append(i)
-                    kinds.append(sorted(found))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.list_(pa.string()))], ["doc_id", "kinds"])
-
-    return left.mapInArrow(judge, "doc_id long, kinds array<string>")
+            rows = []
+            for i, text, h, key in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "host", "key")], strict=True):
+                kinds, prose = by_line(text, latin, trigger)
+                for n, line in enumerate(text.replace("\r\n", "\n").split("\n")):
+                    if line and (name := normal_line(line)):
+                        rows.append((i, h, key, _named(name), sorted(kinds.get(n, ())), ends(prose[n]) if kinds else []))
+            if rows:
+                types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "host", "key", "line", "kinds", "ends"])
+
+    return run
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for i, text, h, key in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "host", "key")], strict=True):
+            for line, prose in zip(text.replace("\r\n", "\n").split("\n"), prose_lines(text), strict=True):
+                if prose and (found := ends(prose)):
+                    name = _named(normal_line(line))
+                    rows += [(i, h, key, name, x) for x in found]
+        if rows:
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "host", "key", "line", "end"])
 
 
 def _trigger(latin: frozenset[str]) -> ahocorasick.Automaton:
@@ -208,25 +249,30 @@ def _trigger(latin: frozenset[str]) -> ahocorasick.Automaton:
 _PLAIN = _trigger(frozenset())
 
 
-def evidence(text: str, latin: frozenset[str] = frozenset(), trigger: ahocorasick.Automaton = _PLAIN) -> set[str]:
-    """Kinds of evidence in ``text``; ``latin``: words of filler in an invented language, known to ``trigger``."""
-    found: set[str] = set()
-    if any(map(_mashed, text.split("\n"))):
-        found.add("filler")
+def prose_lines(text: str) -> list[str]:
+    """The lines of a text less what lies between fences of code or in inline code."""
     parts = _FENCE.split(text.replace("\r\n", "\n"))
-    prose = "\n".join(parts[::2]) if len(parts) % 2 else "\n".join(parts)  # between a pair of fences lies code
-    prose = _INLINE.sub(" ", prose)  # before triggers are sought: a phrase may close up over it
-    low = prose.lower()
-    if len(low) != len(prose):  # a few letters change their length with their case
-        low = prose = low
-    done = -1
-    for at, _ in trigger.iter(low):
-        if at <= done:
-            continue
-        start, end = low.rfind("\n", 0, at + 1) + 1, low.find("\n", at + 1)
-        done = end if end >= 0 else len(low)
-        found |= _line_evidence(prose[start:done], latin)
-    return found
+    if len(parts) % 2:  # between a pair of fences lies code
+        parts = [x if n % 2 == 0 else "\n" * x.count("\n") for n, x in enumerate(parts)]
+    return _INLINE.sub(" ", "".join(parts)).split("\n")
+
+
+def by_line(text: str, latin: frozenset[str] = frozenset(), trigger: ahocorasick.Automaton = _PLAIN) -> tuple[dict[int, set[str]], list[str]]:
+    """(kinds of evidence of each line that has any, prose of all lines)."""
+    found: dict[int, set[str]] = {}
+    for n, line in enumerate(text.replace("\r\n", "\n").split("\n")):
+        if _mashed(line):
+            found.setdefault(n, set()).add("filler")
+    lines = prose_lines(text)
+    for n, line in enumerate(lines):
+        if line and next(trigger.iter(line.lower()), None) is not None and (kinds := _line_evidence(line, latin)):
+            found.setdefault(n, set()).update(kinds)
+    return found, lines
+
+
+def evidence(text: str, latin: frozenset[str] = frozenset(), trigger: ahocorasick.Automaton = _PLAIN) -> set[str]:
+    """Kinds of the seeds of evidence in ``text``; ``latin``: words of filler in an invented language, known to ``trigger``."""
+    return set().union(*by_line(text, latin, trigger)[0].values())
 
 
 def _line_evidence(line: str, latin: frozenset[str]) -> set[str]:

@@ -169,3 +169,28 @@ def test_filler_of_short_words_only():
 @pytest.mark.parametrize("text", ["Something went wrong in the renderer.", "This page could not be found, for it was never released.", "An error occurred while saving the list of names.", "This page could not be found; it may have moved to another address."])
 def test_phrases_do_not_hide_notices(text):
     assert evidence(text) == {"error"}
+
+
+def test_wording_is_learnt_where_it_recurs(spark):
+    """A notice of unseen wording, on error pages of many hosts, is evidence where it stands alone; prose beside it is not."""
+    odd = "The gremlins ate this bit of the internet again."
+    rows = [(i, f"A note on the tunnel, number {i}, in some words of its own.\n404 Not Found\n{odd}\nIt is kept with the others of the week.", f"host{i % 4}") for i in range(12)]
+    rows += [(100 + i, f"Another note about topic {i}.\nIt is kept with the others of the week.", f"host{i % 4}") for i in range(8)]
+    rows += [(200, f"Some heading\n{odd}", "host9"), (201, f"Some heading, and `{odd}`", "host9"), (202, f"```\n{odd}\n```", "host9")]
+    assert {r.doc_id for r in residue(docs(spark, rows)).collect()} == {*range(12), 200}
+    assert {r.doc_id for r in residue(docs(spark, rows), learn=False).collect()} == set(range(12))
+
+
+def test_recurrent_lines_are_counted_by_host(spark):
+    foot = "Please enable JavaScript to view comments."
+    rows = [(i, f"A real note, number {i}.\n\n{foot}", "a") for i in range(30)] + [(100 + i, f"Other {i}\n{foot}", f"b{i}") for i in range(3)] + [(200 + i, "Twice the same.\n" + foot, "c") for i in range(40)]
+    assert {r.doc_id for r in residue(docs(spark, rows)).collect()} == {100, 101, 102, *range(200, 240)}  # copies count once
+    assert len(residue(docs(spark, rows), min_docs=10**6).collect()) == 73
+
+
+@pytest.mark.parametrize(("text", "kind"), [  # wordings found in no table
+    ("That document isn't available any more.", "error"), ("HTTP 502 Bad Gateway", "error"), ("The server crashed, incident 83fa20c1.", "error"), ("An unknown error occurred.", "error"), ("You don't have access to this area.", "error"),
+    ("Our website needs JavaScript.", "script"), ("Scripting is turned off.", "script"), ("[insert your address here]", "blank"), ("Dummy text goes here until launch", "filler"), ("Hi null, thanks for your order.", "absent"),
+])
+def test_other_wordings(text, kind):
+    assert kind in evidence(text)
