@@ -25,27 +25,41 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or where that is unset (tests) one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``, or where that is unset (tests) one of our own, which
+    only a local master may use: executors on other machines would not see it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    known = spark.sparkContext.getCheckpointDir()
-    if not known:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stratalog-"))
-        known = spark.sparkContext.getCheckpointDir()
-    return known
+    master = spark.sparkContext.master
+    if not master.split("[")[0] == "local":
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share: a folder of this machine does not do for {master}")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stratalog-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut, and what is read twice is computed once.
 
-    The table lives until the driver ends; losing an executor loses nothing of it.
+    Losing an executor loses nothing of the table. It lives until the driver ends, or ``dropped`` lets it go.
     """
+    path = staged_path(df)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged_path(df: DataFrame, *partitions: str) -> str:
+    """The path of ``df`` written to the shared folder, for tasks that read it themselves."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stratalog-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*partitions) if partitions else df.write).parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def dropped(df: DataFrame) -> None:
+    """Remove the tables that ``df``, the result of ``staged``, is read from; nothing may read them any more."""
+    for path in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        if "/stratalog-" in path:
+            _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
