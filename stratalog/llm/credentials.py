@@ -1,4 +1,5 @@
-"""Live credentials in source files: found by name and shape, weighed by owners, searched again everywhere, masked."""
+"""Live credentials in source files: all literals indexed with their owners, rare structured ones confirmed, searched
+again everywhere by an automaton, masked."""
 
 from __future__ import annotations
 
@@ -9,12 +10,14 @@ from math import log2
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.dataset as ds
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.entries import counting, owners, texts
 from stratalog.llm.literals import cover
-from stratalog.session import staged
+from stratalog.session import staged, staged_path
 from stratalog.sources.tables import clean_path, newest, small, spread
 
 # How secrets are named, and how tokens of public services begin.
@@ -46,20 +49,21 @@ _ARGUMENT = re.compile(rf"""(?:[A-Za-z_]\w*\s*=\s*)?(?:(?P<value>[brfu]?{_STRING
 _GAP = re.compile(r"\s*(?:(?://|#)[^\n]*\s*)*")
 _NEXT = re.compile(rf"{_GAP.pattern},{_GAP.pattern}")
 _PLACE = re.compile(r"[.~]{0,2}/.*|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|[\w-]+(?:\.[\w-]+)*:\d+(?:/.*)?", re.S)
+#: What a configuration sets, and a run of one character.
+_SETTING = re.compile(r"""^\s*[\w.-]+['"]?\s*[:=]\s*([^\s'"`,;][^\n'"`,;]*?)\s*$""", re.M)
+_RUN = re.compile(r"(.)\1{2,}", re.S)
 _COMMENT = re.compile(r"(?<![:\w])(?://|#|/\*|<!--|--\s|\*\s)")
 _CONFIG = re.compile(r"(?:^|/)\.env|\.(?:ini|cfg|conf|config|env|properties|ya?ml|toml|sh|bash|zsh|tf|tfvars|dockerfile|envrc|txt|npmrc|pypirc|netrc)(?:\.[\w-]+)?$|(?:^|/)Dockerfile|(?:^|/)\.(?:npmrc|pypirc|netrc|pgpass)$", re.I)
 _TEMPLATE = re.compile(r"\$\{|\$\(|\{\{|\}\}|<%|%>|#\{|^\$[A-Za-z_]\w*$|^%\(?[A-Za-z_]\w*\)?s?%?$|^@@|^__[A-Z]|^<[^>]*>$|^\[[^\]]*\]$|^\{[^}]*\}$")
 #: Names under which programs look a value up.
 _LOOKUP = re.compile(r"^(?:process\.env|import\.meta\.env|os\.(?:environ|getenv)|System\.getenv|ENV|env|config|settings|secrets?|vars?|local|data|module|self|this|cfg|options|params|args)\b[.\[(]", re.I)
-_STAND_IN = re.compile(
-    r"^(?:change[_-]?(?:me|it|this)?|replace[_-]?(?:me|this)|your[_-].*|my[_-]?(?:password|secret|token|key)|.*[_-]here|example.*|sample|dummy.*|placeholder.*|fake.*|test(?:ing)?|none|null|nil|undefined|true|false|todo.*|tbd|n/?a|redacted|removed|hidden|masked|secret|password|passwd|token|key|apikey|default|required|optional|string|text|bearer|basic|env|vault|prompt|admin|root|user|empty|unset|insert.*|enter.*|set[_-].*)$",
-    re.I,
-)
 _MASKED = re.compile(r"^(.)\1{2,}$|^[xX*•.#_\-?]+$|\*{3,}|•{2,}|x{6,}|X{6,}|\.\.\.$|…")
 _HEXES = re.compile(r"^[0-9a-f]{32,}$|^[0-9A-F]{32,}$")
 #: Lower-cased strings of which every line with a candidate has one: a shortcut that loses nothing.
 _TRIGGERS = tuple(sorted(set().union(*(cover(x.pattern) for x in (PREFIXED, NAME, URL, HEADER, CURL, BLOCK, _CALL)))))
-PLACEHOLDER_OWNERS, RESCAN_VALUES = 50, 100_000
+#: Owners beyond which a value is a placeholder; values in one automaton; characters of texts that a task holds while it
+#: runs the automata over them.
+PLACEHOLDER_OWNERS, RESCAN_VALUES, HELD = 50, 100_000, 32_000_000
 MASK = "********"
 
 
@@ -79,7 +83,7 @@ def _entropy(v: str) -> float:
 def plausible(value: str, kind: str) -> bool:
     """Whether ``value`` has the shape of a live secret: of a ``pass`` word (people choose them), or of a ``token``."""
     v = value.strip()
-    if len(v) < 5 or " " in v or _TEMPLATE.search(v) or _MASKED.search(v) or _STAND_IN.match(v) or _LOOKUP.match(v) or re.match(r"^[a-z]+://[^@]*$", v):
+    if len(v) < 5 or " " in v or _TEMPLATE.search(v) or _MASKED.search(v) or _LOOKUP.match(v) or re.match(r"^[a-z]+://[^@]*$", v):
         return False
     if PREFIXED.search(v):
         return True
@@ -153,7 +157,7 @@ def scan_line(line: str, config: bool) -> list[tuple[str, str, int, int]]:
 
     for m in URL.finditer(line):
         v = m["value"]
-        if not _TEMPLATE.search(v) and not _MASKED.search(v) and not _STAND_IN.match(v) and "(" not in v and len(v) >= 4:
+        if not _TEMPLATE.search(v) and not _MASKED.search(v) and "(" not in v and len(v) >= 4:
             add("url", v, *m.span("value"))
     if m := CURL.search(line):
         if plausible(m["value"], "pass") or plausible(m["value"], "token"):
@@ -216,7 +220,7 @@ def scan(text: str, path: str, trigger: ahocorasick.Automaton) -> list[tuple[int
             body = text[start + b.end() : until]
             core = re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", body)
             if len(core) >= 24 and len(set(core)) >= 10:
-                out.append((line_no, "block", core[:64], b.start(), len(line)))
+                out.append((line_no, "block", xxhash.xxh3_128_hexdigest(core), b.start(), len(line)))
                 closed = close
                 continue
         out += [(line_no, *x) for x in scan_line(line, config)]
@@ -237,83 +241,131 @@ def _add(out: list[tuple[int, str, str, int, int]], no: int, v: str, start: int,
         out.append((no, "pass", v, start, end))
 
 
-def candidates(snapshots: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(plausible secrets of the entries that count, those entries): the index of literals with their owners.
+def literals(text: str, config: bool) -> set[int]:
+    """Names of all literals of a text: its strings, what stands after ``=`` or ``:`` in a configuration, and the parts
+    of addresses between ``:`` and ``@``. Runs of one character are as one, so that masks of any length are one literal."""
+    found = {x[0][1:-1] for x in _LITERAL.finditer(text)}
+    found.update(m["value"] for m in URL.finditer(text))
+    if config:
+        found.update(m[1] for m in _SETTING.finditer(text))
+    return {named(x) for x in found if x}
+
+
+def named(value: str) -> int:
+    return xxhash.xxh3_64_intdigest(_RUN.sub(r"\1\1", value)) - (1 << 63)
+
+
+def candidates(snapshots: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(plausible secrets of the entries that count, owners of every literal as (name, owners), those entries).
 
-    The scan runs where the files lie; only its finds and the keys of entries are shuffled, texts are not.
+    The scan runs where the files lie; only its finds, names of literals and keys of entries are shuffled, texts are not.
     """
     counts = counting(files).filter("has_text").drop("has_text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trigger = _trigger()
         for batch in batches:
-            rows = [(sid, path, when, *x) for sid, path, text, when in zip(*[batch.column(c).to_pylist() for c in ("snapshot_id", "path", "content", "delivery")], strict=True) for x in scan(text, path, trigger)]
-            if rows:
-                yield _batch(rows)
+            rows, index = [], []
+            for sid, path, text, when in zip(*[batch.column(c).to_pylist() for c in ("snapshot_id", "path", "content", "delivery")], strict=True):
+                index.append((sid, path, when, list(literals(text, bool(_CONFIG.search(path))))))
+                rows += [(sid, path, when, *x, named(x[2])) for x in scan(text, path, trigger)]
+            yield _batch(rows, index)
 
-    found = spread(texts(files)).mapInArrow(find, _FOUND)
-    index = staged(found.join(counts, ["snapshot_id", "path", "delivery"], "left_semi").join(small(owners(snapshots)), "snapshot_id", "left"))
-    return index, counts
+    read = staged(spread(texts(files)).mapInArrow(find, f"{_FOUND}, name long, names array<long>").join(counts, ["snapshot_id", "path", "delivery"], "left_semi").join(small(owners(snapshots)), "snapshot_id", "left"))
+    index = read.filter("names is not null").select("owner", F.explode("names").alias("name")).distinct().groupBy("name").agg(F.count("*").alias("owners"))
+    return read.filter("names is null").drop("names"), index, counts
 
 
-def confirmed(index: DataFrame, max_owners: int = PLACEHOLDER_OWNERS) -> DataFrame:
-    """(kind, value) of the secrets that at most ``max_owners`` owners hold. What many unrelated owners share is a
-    placeholder of a manual or a template. A block counts by its key material."""
-    by_owner = index.groupBy("value", "owner").agg(F.first("kind").alias("kind"))
-    return by_owner.groupBy("value").agg(F.min("kind").alias("kind"), F.count("*").alias("owners")).filter(F.col("owners") <= max_owners).select("kind", "value")
+def confirmed(found: DataFrame, index: DataFrame, max_owners: int = PLACEHOLDER_OWNERS) -> DataFrame:
+    """(kind, value) of the plausible secrets that are rare: of no more than ``max_owners`` owners, be it as secrets, or as
+    literals of whatever use. What many unrelated owners share is a placeholder of a manual or a template."""
+    by_owner = found.groupBy("value", "name", "owner").agg(F.min("kind").alias("kind"))
+    rare = by_owner.groupBy("value", "name").agg(F.min("kind").alias("kind"), F.count("*").alias("owners")).filter(F.col("owners") <= max_owners)
+    return rare.join(index.filter(F.col("owners") > max_owners).select("name"), "name", "left_anti").select("kind", "value")
 
 
-def find_credentials(snapshots: DataFrame, files: DataFrame, max_owners: int = PLACEHOLDER_OWNERS) -> DataFrame:
+def find_credentials(snapshots: DataFrame, files: DataFrame, max_owners: int = PLACEHOLDER_OWNERS, again: bool = True) -> DataFrame:
     """(snapshot_id, path, line_no, start, end, kind) of each live credential in the texts of entries that count.
 
-    Values named, shaped or passed like secrets are looked up in all files, so that each has all its places and owners,
-    whether it stands there named or not. Those shared by more than ``max_owners`` owners are dropped; all places of the
-    rest are found. The automaton holds at most RESCAN_VALUES values; more are searched in as many passes.
+    1. Every literal of every text is indexed with its owners; those named, built or passed like secrets are candidates.
+    2. Candidates that more than ``max_owners`` owners have are placeholders; the rest, being structured and rare, are confirmed.
+    3. All texts are searched again for the confirmed values, whether they stand there named or not, by automata of
+       RESCAN_VALUES values; the texts are read once, however many values there are. ``again`` turns this off.
+       A value that by these places has more than ``max_owners`` owners is dropped after all.
+
     Lines count from 0 between ``\\n``; start and end are offsets in the line. A row without text or key is passed over.
     """
-    index, counts = candidates(snapshots, files)
-    known = staged(index.filter(F.col("kind") != "block").select("value").distinct().withColumn("h", F.pmod(F.xxhash64("value"), F.lit(1 << 30))))
-    passes = max(1, -(-known.count() // RESCAN_VALUES))
-    again = None
-    for i in range(passes):
-        values = [r.value for r in known.filter(F.pmod("h", F.lit(passes)) == i).select("value").collect()]
-        part = _search(spread(texts(files)), values) if values else None
-        again = part if again is None else again if part is None else again.unionByName(part)
+    found, index, counts = candidates(snapshots, files)
+    good = staged(confirmed(found, index, max_owners))
     columns = ["snapshot_id", "path", "line_no", "start", "end", "kind"]
-    if again is None:
-        return index.join(confirmed(index, max_owners).select("value"), "value", "left_semi").select(columns).distinct()
-    places = staged(again.join(counts, ["snapshot_id", "path", "delivery"], "left_semi").join(small(owners(snapshots)), "snapshot_id", "left"))
-    good = staged(confirmed(index.unionByName(places), max_owners).select("value"))
-    named = index.join(good, "value", "left_semi").select(columns)
-    more = places.join(good, "value", "left_semi").select(columns)
-    fresh = more.join(named.select("snapshot_id", "path", "line_no").distinct(), ["snapshot_id", "path", "line_no"], "left_anti")
-    return named.unionByName(fresh).distinct()
-
-
-def _search(files: DataFrame, values: list[str]) -> DataFrame:
-    """Where ``values`` (at most RESCAN_VALUES) stand as whole words, by one automaton. One of fewer than 8 characters must
-    stand in a string literal, and if it is one plain word or number that literal must be passed to a call like login."""
+    named_ = found.join(good.select("value"), "value", "left_semi")
+    if not again:
+        return named_.select(columns).distinct()
+    values = good.filter(F.col("kind") != "block").select("value").distinct()
+    shards = max(1, -(-values.count() // RESCAN_VALUES))
+    path = staged_path(values.withColumn("shard", F.pmod(F.xxhash64("value"), F.lit(shards)).cast("int")), "shard")
+    places = spread(texts(files)).mapInArrow(_search(path, shards), _FOUND).join(counts, ["snapshot_id", "path", "delivery"], "left_semi").join(small(owners(snapshots)), "snapshot_id", "left")
+    places = staged(places)
+    wide = found.select("value", "owner").unionByName(places.select("value", "owner")).distinct().groupBy("value").agg(F.count("*").alias("owners")).filter(F.col("owners") > max_owners)
+    wide = small(wide.select("value"))
+    first = named_.join(wide, "value", "left_anti").select(columns)
+    fresh = places.join(wide, "value", "left_anti").select(columns).join(first.select("snapshot_id", "path", "line_no").distinct(), ["snapshot_id", "path", "line_no"], "left_anti")
+    return first.unionByName(fresh).distinct()
+
+
+def _search(path: str, shards: int):
+    """Where the values of the table at ``path`` stand as whole words. One of fewer than 8 characters must stand in a
+    string literal, and if it is one plain word or number that literal must be passed to a call like login. A task holds
+    some texts at a time and runs one automaton after the other over them."""
+
+    def machine(shard: int) -> ahocorasick.Automaton | None:
+        out = ahocorasick.Automaton()
+        for v in ds.dataset(f"{path}/shard={shard}", format="parquet").to_table(columns=["value"]).column(0).to_pylist():
+            out.add_word(v, v)
+        out.make_automaton()
+        return out if len(out) else None
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = ahocorasick.Automaton()
-        for v in values:
-            machine.add_word(v, v)
-        machine.make_automaton()
+        only = None
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
-            rows = []
-            for sid, path, text, when in zip(*[batch.column(c).to_pylist() for c in ("snapshot_id", "path", "content", "delivery")], strict=True):
-                for at, v in machine.iter(text):
-                    a, b = at - len(v) + 1, at + 1
-                    if (a and (text[a - 1].isalnum() or text[a - 1] in "_-/+")) or (b < len(text) and (text[b].isalnum() or text[b] in "_-/+")):
-                        continue
-                    start = text.rfind("\n", 0, a) + 1
-                    if len(v) < 8 and not _quoted(text, start, a, b, v):
-                        continue
-                    rows.append((sid, path, when, text.count("\n", 0, start), "known", v, a - start, b - start))
+            for row in zip(*[batch.column(c).to_pylist() for c in ("snapshot_id", "path", "content", "delivery")], strict=True):
+                held.append(row)
+                size += len(row[2])
+            if size >= HELD or shards == 1:
+                if shards == 1 and only is None:
+                    only = [_machine(machine, 0)]
+                yield from search(held, only)
+                held, size = [], 0
+        if held:
+            yield from search(held, None)
+
+    def search(held: list[tuple], only: list | None) -> Iterator[pa.RecordBatch]:
+        for auto in only or (_machine(machine, n) for n in range(shards)):
+            rows = [] if auto is None else [(sid, p, when, *x) for sid, p, text, when in held for x in _places(text, auto)]
             if rows:
                 yield _batch(rows)
 
-    return files.mapInArrow(find, _FOUND)
+    return find
+
+
+def _machine(make, shard: int):
+    try:
+        return make(shard)
+    except FileNotFoundError:  # a shard without values has no folder
+        return None
+
+
+def _places(text: str, machine: ahocorasick.Automaton) -> Iterator[tuple]:
+    for at, v in machine.iter(text):
+        a, b = at - len(v) + 1, at + 1
+        if (a and (text[a - 1].isalnum() or text[a - 1] in "_-/+")) or (b < len(text) and (text[b].isalnum() or text[b] in "_-/+")):
+            continue
+        start = text.rfind("\n", 0, a) + 1
+        if len(v) < 8 and not _quoted(text, start, a, b, v):
+            continue
+        yield text.count("\n", 0, start), "known", v, a - start, b - start
 
 
 def _quoted(text: str, start: int, a: int, b: int, v: str) -> bool:
@@ -372,7 +424,9 @@ def redacted(snapshots: DataFrame, files: DataFrame) -> DataFrame:
 _FOUND = "snapshot_id string, path string, delivery long, line_no long, kind string, value string, start int, end int"
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
-    names = ("snapshot_id", "path", "delivery", "line_no", "kind", "value", "start", "end")
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
+def _batch(rows: list[tuple], index: list[tuple] | None = None) -> pa.RecordBatch:
+    types, names = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()], ["snapshot_id", "path", "delivery", "line_no", "kind", "value", "start", "end"]
+    if index is not None:  # finds, and a row for each text with the names of its literals
+        types, names = [*types, pa.int64(), pa.list_(pa.int64())], [*names, "name", "names"]
+        rows = [(*r, None) for r in rows] + [(sid, path, when, *[None] * 6, found) for sid, path, when, found in index]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names)
