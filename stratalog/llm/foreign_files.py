@@ -57,11 +57,13 @@ _COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|--|<!--|;|%|\"\"\"|''')")
 _BLOCKS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
 _CODE = re.compile(r"\.(?:js|mjs|cjs|jsx|ts|tsx|css|scss|less|html?|svg|php|py|go|java|rb|c|cc|h|rs|lua|vue)$", re.I)
 _PROSE = re.compile(r"\.(?:md|markdown|rst|txt|adoc|csv|tsv)$", re.I)
+_DIGIT = re.compile(r"\d")
 _SYMBOLS: dict[str, int] = {}
 
-#: Thresholds: least tokens for a grammar to tell; share of tokens the grammar saves; characters to a line of minified
-#: code; share of a file's characters in literals of a blob; owners (and their share) and share of rules of a vendored text.
-LEAST, REUSE, LONG_LINE, BLOB, TABLE_REUSE, OWNERS, OWNER_SHARE, SHARED = 40, 0.6, 200, 0.5, 0.9, 20, 0.01, 0.9
+#: Thresholds: least tokens for a grammar of tokens to tell; share of tokens it saves; characters to a line of minified
+#: code; share of a file's characters in literals of a blob; bits that the grammar of literals takes to those of their
+#: characters by frequency alone; owners (and their share), share of rules and least rules of a vendored text.
+LEAST, REUSE, LONG_LINE, BLOB, DENSE, TABLE_REUSE, OWNERS, OWNER_SHARE, SHARED, LEAST_RULES = 40, 0.6, 200, 0.4, 0.9, 0.9, 20, 0.01, 0.9, 5
 
 
 def _name(kind: str, text: str) -> int:
@@ -72,27 +74,44 @@ def _name(kind: str, text: str) -> int:
     return got
 
 
-def _symbols(text: str) -> tuple[np.ndarray, int]:
-    """Token symbols of a text (names, numbers and strings by kind), and the characters in its incompressible literals."""
-    out, literal = [], 0
+def _symbols(text: str) -> tuple[np.ndarray, list[str]]:
+    """Token symbols of a text (names, numbers and strings by kind), and the literals that may be data: all its numbers
+    as one, and strings of 24 characters or more, of 14 kinds or more with digits among them and no blank."""
+    out, numbers, literals = [], [], []
     for m in _TOKEN.finditer(text):
         kind = m.lastgroup
         out.append(_name(kind, m[0]))
         if kind == "num":
-            literal += m.end() - m.start()
-        elif kind == "str" and m.end() - m.start() >= 26 and " " not in m[0]:
-            literal += _dense(m[0])
-    return np.array(out, np.uint64), literal
-
-
-def _dense(literal: str) -> int:
-    """Characters of a literal if its letters are spread as by chance (nothing to replace by rules), else 0."""
-    kinds = len(set(literal))
-    return len(literal) if kinds >= 14 and re.search(r"\d", literal) else 0
+            numbers.append(m[0])
+        elif kind == "str" and m.end() - m.start() >= 26 and " " not in m[0] and len(set(m[0])) > 14 and _DIGIT.search(m[0]):
+            literals.append(m[0][1:-1])
+    return np.array(out, np.uint64), [*literals, "".join(numbers)]
+
+
+def density(literals: list[str]) -> np.ndarray:
+    """Of each string the bits that its Re-Pair grammar over characters takes, to those that its characters take by
+    their frequency alone: 1 or more where rules save nothing (random data at any length), little where parts recur;
+    0 for a string of fewer than two kinds of characters."""
+    sizes = np.array([len(x) for x in literals], np.int64)
+    out = np.zeros(len(literals))
+    if not sizes.sum():
+        return out
+    symbols = np.frombuffer("".join(literals).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(literals)), sizes)
+    left, rules, _ = repair(symbols, owner)
+    left, rules = np.pad(left, (0, len(literals) - len(left))), np.pad(rules, (0, len(literals) - len(rules)))
+    for i, x in enumerate(literals):
+        if x:
+            counts = np.unique(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)[1]
+            alone = -(counts * np.log2(counts / len(x))).sum()
+            if alone > 0:
+                out[i] = (left[i] + 2 * rules[i]) * np.log2(len(counts) + rules[i]) / alone
+    return out
 
 
 def _rules(text: str, path: str) -> np.ndarray:
-    """Names of the top rules of a text: pairs of neighbouring lines that hold something, by their own words."""
+    """Names of the pairs of neighbouring lines of a text that hold something. Over all texts a pair that recurs is a
+    rule of the first round of Re-Pair with lines as symbols; who shares it is counted in ``_shared``."""
     lines = [x for x in (line.strip() for line in text.split("\n")) if len(x) > 3]
     names = [xxhash.xxh3_64_intdigest(x) for x in lines]
     pairs = {(a * 0x9E3779B97F4A7C15 ^ b) & 0x7FFFFFFFFFFFFFFF for a, b in zip(names, names[1:], strict=False)}
@@ -125,13 +144,13 @@ def notice(text: str) -> str | None:
     return None
 
 
-def shape(path: str, text: str, tokens: int, left: int, rules: int, literal: int) -> str | None:
-    """minified, data or generated by the grammar of the text: a text of ``tokens`` tokens whose grammar has ``left``
-    symbols in its start rule and ``rules`` rules of two symbols."""
+def shape(path: str, text: str, tokens: int, left: int, rules: int, dense: int) -> str | None:
+    """minified, data or generated by the grammars of the text: one of ``tokens`` tokens with ``left`` symbols in its start
+    rule and ``rules`` rules of two symbols, and those of its literals, of which ``dense`` characters can't be shrunk."""
     size = len(text)
     if not size:
         return None
-    if _CODE.search(path) and size >= 400 and literal >= BLOB * size * (0.75 if tokens > 800 else 1):
+    if _CODE.search(path) and dense >= BLOB * size:
         return "data"
     if tokens < LEAST:
         return None
@@ -141,13 +160,13 @@ def shape(path: str, text: str, tokens: int, left: int, rules: int, literal: int
         long = sum(len(x) for x in text.split("\n") if len(x) >= LONG_LINE)
         if long >= 0.6 * size:
             return "minified"
-    if _CODE.search(path) and not re.search(r"\.(?:css|scss|less|html?|svg)$", path) and reuse >= TABLE_REUSE and literal >= 0.2 * size:
+    if _CODE.search(path) and not re.search(r"\.(?:css|scss|less|html?|svg)$", path) and reuse >= TABLE_REUSE and dense >= 0.2 * size:
         return "generated"
     return None
 
 
 def judge(paths: list[str], contents: list[str]) -> list[str | None]:
-    """The kind of each text by its notice and its grammar; grammars of all texts of the batch are inferred at once."""
+    """The kind of each text by its notice and its grammars; grammars of all texts of the batch are inferred at once."""
     found = [notice(t) for t in contents]
     open_ = [i for i, k in enumerate(found) if k is None]
     parts = [_symbols(contents[i]) for i in open_]
@@ -156,8 +175,13 @@ def judge(paths: list[str], contents: list[str]) -> list[str | None]:
         owner = np.repeat(np.arange(len(parts)), sizes)
         left, rules, _ = repair(np.concatenate([a for a, _ in parts]), owner)
         left, rules = np.pad(left, (0, len(parts) - len(left))), np.pad(rules, (0, len(parts) - len(rules)))
+        # grammars of literals, where they make up enough of the text
+        literals = [(n, x) for n, (i, (_, own)) in enumerate(zip(open_, parts, strict=True)) if _CODE.search(paths[i]) and sum(map(len, own)) >= 0.2 * len(contents[i]) for x in own]
+        dense = np.zeros(len(parts), np.int64)
+        for (n, x), d in zip(literals, density([x for _, x in literals]), strict=True):
+            dense[n] += len(x) * (d >= DENSE)
         for j, i in enumerate(open_):
-            found[i] = shape(paths[i], contents[i], int(sizes[j]), int(left[j]), int(rules[j]), parts[j][1])
+            found[i] = shape(paths[i], contents[i], int(sizes[j]), int(left[j]), int(rules[j]), int(dense[j]))
     return found
 
 
@@ -178,9 +202,10 @@ def foreign_files(snapshots: DataFrame, files: DataFrame) -> DataFrame:
 
     kinds: ``generated`` (a notice of a tool, a path of one, or a table that a few rules of the grammar produce),
     ``minified`` (long lines of code that the grammar shrinks well), ``vendored`` (a notice or path of a package,
-    or a text nearly all of whose rules more than OWNERS owners and OWNER_SHARE of all owners share), ``data`` (mostly incompressible
-    literals). A Re-Pair grammar over token kinds is inferred for every text where it lies; only the names of its
-    rules are shuffled. Copies of a project's own files are shared by a few owners, so sharing by few does not tell.
+    or a text nearly all of whose rules more than OWNERS owners and OWNER_SHARE of all owners share), ``data`` (a good part
+    of it are literals that their grammar can't shrink). Re-Pair grammars over token kinds, and over the characters of literals,
+    are inferred for every text where it lies; only names of rules are shuffled. Copies of a project's own files are
+    shared by a few owners, so sharing by few does not tell.
     Entries that are binary, gone, without a path or superseded are left out; an empty text has no kind.
     """
     keys = counting(files)
@@ -198,5 +223,5 @@ def _shared(judged: DataFrame, owner: DataFrame) -> DataFrame:
     least = owner.agg(F.greatest(F.lit(OWNERS), F.ceil(F.count_distinct("owner") * OWNER_SHARE)).alias("least"))
     pairs = judged.select("owner", F.explode("rules").alias("rule")).distinct()
     wide = pairs.groupBy("rule").agg(F.count("*").alias("owners")).filter(F.col("owners") > OWNERS).join(F.broadcast(least)).filter("owners > least").select("rule")
-    hits = judged.filter(F.size("rules") >= 5).select("owner", "path", "snapshot_id", "delivery", F.size("rules").alias("n"), F.explode("rules").alias("rule")).join(small(wide), "rule")
+    hits = judged.filter(F.size("rules") >= LEAST_RULES).select("owner", "path", "snapshot_id", "delivery", F.size("rules").alias("n"), F.explode("rules").alias("rule")).join(small(wide), "rule")
     return hits.groupBy("owner", "path", "snapshot_id", "delivery", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= SHARED * F.col("n")).select("owner", "path", F.lit("vendored").alias("kind"))
