@@ -13,8 +13,8 @@ from stratalog.llm.residue import host
 from stratalog.llm.tokens import token_counts
 from stratalog.session import staged
 
-#: Nodes that one task of the reduction tree combines.
-FAN = 64
+#: Texts of a source in one leaf of the reduction tree, and nodes that one inner node combines.
+LEAF, FAN = 4096, 64
 _STATE = "mix_id string, source string, ident long, n_tokens int, base int, share double, part int, copies int"
 
 
@@ -57,10 +57,35 @@ def combine(items: Iterator[tuple[int, int, int, float]], mix: str, seed: int) -
         yield *held, None
 
 
+def settle(items: list[tuple[int, int, int, float]], mix: str, seed: int) -> Iterator[tuple[int, int, int, float, int | None]]:
+    """As ``combine``, for a leaf whose items all have one fraction and come the large first. Each is paired with all that
+    follow as one: mass moves between it and their common fraction until the one or the other is integral, most often
+    the one, as the rest is larger. So what is left in the end is one of the last, smallest items."""
+    total, q = sum(x[1] for x in items), items[0][3]
+    if q <= 0.0:
+        yield from ((*x[:3], 0.0, x[2]) for x in items)
+        return
+    for n, (ident, size, base, _) in enumerate(items):
+        total -= size
+        if not total:
+            yield ident, size, base, q, None
+            return
+        p, q = pivot(q, size, q, total, _chance(seed, mix, ident, -2))
+        if 0.0 < p < 1.0:  # the rest is integral
+            yield ident, size, base, p, None
+            yield from ((*x[:3], 0.0, x[2] + int(q)) for x in items[n + 1 :])
+            return
+        yield ident, size, base, 0.0, base + int(p)
+        if q in (0.0, 1.0):
+            yield from ((*x[:3], 0.0, x[2] + int(q)) for x in items[n + 1 :])
+            return
+
+
 def budgets(counted: DataFrame, targets: DataFrame, total_tokens: int | None) -> list[tuple[str, str, float, int]]:
-    """(mix, source, copies of each text expected, most copies). The total of a mix is ``total_tokens``, else the
+    """(mix, source, copies of each text expected, leaves). The total of a mix is ``total_tokens``, else the
     largest at which every source that has tokens can give its share without passing its cap."""
-    sums = {r.source: r.tokens for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).collect()}  # one row a named source
+    known = {r.source: r for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count_if(F.col("n_tokens") > 0).alias("texts")).collect()}  # one row a named source
+    sums = {s: r.tokens for s, r in known.items()}
     rows = targets.collect()
     out = []
     for mix in sorted({r.mix_id for r in rows}):
@@ -68,7 +93,7 @@ def budgets(counted: DataFrame, targets: DataFrame, total_tokens: int | None) ->
         able = [(s, w, cap, t) for s, w, cap, t in own if w > 0 and cap > 0 and t > 0]
         if able:
             total = total_tokens if total_tokens is not None else min(cap * t / w for _, w, cap, t in able)
-            out += [(mix, s, min(float(cap), total * w / t), cap) for s, w, cap, t in able]
+            out += [(mix, s, min(float(cap), total * w / t), -(-known[s].texts // LEAF)) for s, w, cap, t in able]
     return out
 
 
@@ -82,9 +107,10 @@ def draw(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     """(mix_id, source, ident, n_tokens, copies) of the texts that each mix draws, copies between 1 and its cap.
 
     Every text of a source is expected the same number of copies; the whole part is given, the fraction is rounded by
-    the pivotal method, weighted by size: within each task, then what is left of the tasks in a tree, FAN nodes to a
-    task. At each step the tokens of a source stay what they are, so its total differs from its share by less than
-    one text. Without ``total_tokens`` every source with tokens reaches its share and one without is left out; with
+    the pivotal method, weighted by size: in leaves of about LEAF texts, dealt by a hash of their ids, then what is left
+    of the leaves in a tree, FAN nodes to one. At each step the tokens of a source stay what they are, so its total
+    differs from its share by less than one text, and as in a leaf the large texts settle first against all the
+    smaller ones, by a small one. The draw depends on the texts and the seed alone, not on tasks or cores. Without ``total_tokens`` every source with tokens reaches its share and one without is left out; with
     it a source that its cap holds back gives what it can. Texts without tokens, of no source, or of a source that no mix
     names are never drawn. A null ``max_repeats`` is one.
     """
@@ -96,55 +122,48 @@ def draw(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     plan = budgets(counted, goals, total_tokens)
     if not plan:
         return spark.createDataFrame([], f"mix_id string, source string, {ident} long, n_tokens int, copies int")
-    per = F.broadcast(spark.createDataFrame(plan, "mix_id string, source string, expected double, cap int"))
-    wanted = counted.filter("n_tokens > 0").join(per, "source").select("mix_id", "source", "ident", "n_tokens", F.floor("expected").cast("int").alias("base"), (F.col("expected") - F.floor("expected")).alias("share"), "part", F.lit(None).cast("int").alias("copies"))
-    now = staged(wanted.mapInArrow(_round(seed, None), _STATE))
-    settled = now.filter("copies is not null")
-    tasks = (now.agg(F.max("part").alias("m")).first().m or 0) + 1
+    per = F.broadcast(spark.createDataFrame(plan, "mix_id string, source string, expected double, leaves int"))  # a row for each target
+    leaf = F.pmod(F.xxhash64(F.lit(seed), "ident"), F.col("leaves")).cast("int")
+    rest = counted.filter("n_tokens > 0").join(per, "source").select("mix_id", "source", "ident", "n_tokens", F.floor("expected").cast("int").alias("base"), (F.col("expected") - F.floor("expected")).alias("share"), leaf.alias("part"), F.lit(None).cast("int").alias("copies"))
+    nodes, settled, leaves = max(n for *_, n in plan), None, True
     while True:
-        rest = now.filter("copies is null")
-        top = tasks == 1
-        rest = rest.withColumn("part", F.expr(f"part div {FAN}").cast("int")).repartition("mix_id", "source", "part").sortWithinPartitions("mix_id", "source", "part", F.col("n_tokens").desc(), "ident")
-        tasks = -(-tasks // FAN)
-        now = staged(rest.mapInArrow(_round(seed, top), _STATE))
-        settled = settled.unionByName(now.filter("copies is not null"))
-        if top:
+        rest = rest.repartition("mix_id", "source", "part").sortWithinPartitions("mix_id", "source", "part", F.col("n_tokens").desc(), "ident")
+        now = staged(rest.mapInArrow(_round(seed, leaves, nodes == 1), _STATE))
+        done = now.filter("copies is not null")
+        settled = done if settled is None else settled.unionByName(done)
+        if nodes == 1:
             break
+        nodes, leaves = -(-nodes // FAN), False
+        rest = now.filter("copies is null").withColumn("part", F.expr(f"part div {FAN}").cast("int"))
     return settled.filter("copies > 0").select("mix_id", "source", F.col("ident").alias(ident), "n_tokens", "copies")
 
 
-def _round(seed: int, top: bool | None):
-    """Round the items of each (mix, source, part). Over the input (top None) part is the task; in the tree rows come
-    sorted, and at its top the one item left is decided by its chance."""
+def _round(seed: int, leaves: bool, top: bool):
+    """Round the items of each (mix, source, part), which come sorted and fit a task; at the top of the tree the one item
+    left of each is decided by its chance."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def done(key: tuple, items: list[tuple[int, int, int, float]]) -> Iterator[tuple]:
+        mix, source, part = key
+        for ident, size, base, share, copies in (settle(items, mix, seed) if leaves else combine(iter(items), mix, seed)):
+            if copies is None and top:
+                copies = base + int(_chance(seed, mix, ident, -1) < share)
+            yield mix, source, ident, size, base, share, part, copies
 
-        me = TaskContext.get().partitionId()
-        left: dict[tuple, tuple[int, int, int, float]] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        items: list[tuple[int, int, int, float]] = []
         for batch in batches:
-            rows = []
-            groups: dict[tuple, list] = {}
+            rows: list[tuple] = []
             for mix, source, ident, size, base, share, part, _ in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
-                groups.setdefault((mix, source, me if top is None else part), []).append((ident, size, base, share))
-            for key, items in groups.items():
-                if key in left:
-                    items.append(left.pop(key))
-                # the large first: they settle against many small ones, and what is left in the end is small
-                items.sort(key=lambda x: (-x[1], x[0]))
-                for ident, size, base, share, copies in combine(iter(items), key[0], seed):
-                    if copies is None:
-                        left[key] = (ident, size, base, share)
-                    else:
-                        rows.append((key[0], key[1], ident, size, base, 0.0, key[2], copies))
+                if (mix, source, part) != key:
+                    if items:
+                        rows += done(key, items)
+                    key, items = (mix, source, part), []
+                items.append((ident, size, base, share))
             if rows:
                 yield _batch(rows)
-        if left:
-            last = []
-            for (mix, source, part), (ident, size, base, share) in left.items():
-                copies = base + int(_chance(seed, mix, ident, -1) < share) if top else None
-                last.append((mix, source, ident, size, base, share, part, copies))
-            yield _batch(last)
+        if items:
+            yield _batch(list(done(key, items)))
 
     return run
 

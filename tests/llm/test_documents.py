@@ -194,3 +194,16 @@ def test_recurrent_lines_are_counted_by_host(spark):
 ])
 def test_other_wordings(text, kind):
     assert kind in evidence(text)
+
+
+def test_draws_do_not_depend_on_tasks(spark, monkeypatch):
+    import stratalog.llm.mixing as m
+
+    monkeypatch.setattr(m, "LEAF", 50)
+    monkeypatch.setattr(m, "FAN", 3)
+    rng = random.Random(5)
+    rows = [(i, " ".join(["word"] * (900 if i % 97 == 0 else rng.randrange(1, 60))), "a" if i % 3 else "b") for i in range(900)]
+    goals = spark.createDataFrame([("m", "a", 0.5, 1), ("m", "b", 0.5, 2)], "mix_id string, source string, target_share double, max_repeats int")
+    one, two = ({(r.doc_id, r.copies) for r in draw(docs(spark, rows).repartition(n), goals, total_tokens=20_000).collect()} for n in (1, 7))
+    assert one == two
+    assert all(abs(r.actual_share - 0.5) < 0.02 for r in shares(draw(docs(spark, rows), goals, total_tokens=20_000), goals).collect())
