@@ -16,8 +16,8 @@ def snapshot_changes(snapshots: DataFrame, files: DataFrame) -> DataFrame:
     A full snapshot without an entry for a path removes it; a selective one looks at ``selected_files`` only. Binary
     files that stay are not changed; a file that turns from text into binary or back is. See ``file_states`` for texts.
     """
-    states = file_states(snapshots, files).withColumn("ord", F.explode(F.sequence(F.col("first_ord"), F.col("end_ord") - 1)))
-    return merkle_changes(states, ["workspace"], "ord", "path", "digest", "last_ord")
+    states = file_states(snapshots, files).withColumnRenamed("first_ord", "ord")
+    return merkle_changes(states, ["workspace"], "ord", "path", "digest", "last_ord", end="end_ord")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

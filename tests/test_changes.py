@@ -86,3 +86,23 @@ def test_merkle_equals_brute_force(spark):
     for bits in ((0, 3, 6), (0,), (0, 4, 8, 12)):
         got = merkle_changes(states, ["scope"], "v", "key", "d", "last", bits).collect()
         assert {(r.v, r.key, r.change_kind) for r in got} == want and len(got) == len(want)
+
+
+def test_merkle_over_ranges(spark):
+    rng = random.Random(11)
+    rows, want = [], set()
+    for k in range(300):
+        v, before = 1, None
+        while v <= 9:
+            until = min(10, v + rng.randrange(1, 4))
+            d = rng.choice([None, 0, 1, 2])  # None: absent
+            if d is not None:
+                rows.append(("t" if k % 2 else None, v, until, f"k{k}", d, 9))
+            if v > 1 and d != before:
+                want.add(("t" if k % 2 else None, v, f"k{k}", "removed" if d is None else "added" if before is None else "changed"))
+            v, before = until, d
+    states = spark.createDataFrame(rows, "scope string, v int, stop int, key string, d int, last int")
+    for bits in (None, (0,), (0, 2, 5)):
+        got = [tuple(r) for r in merkle_changes(states, ["scope"], "v", "key", "d", "last", bits, "stop").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert merkle_changes(states.limit(0), ["scope"], "v", "key", "d", "last", None, "stop").count() == 0
