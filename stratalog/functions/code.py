@@ -214,3 +214,50 @@ def debt(content: Column | str, lang: Column | str) -> Column:
 def symbols(content: Column | str) -> Column:
     """Distinct names that a text declares."""
     return F.array_distinct(F.regexp_extract_all(col(content), F.lit(ascii_words(r"\b(?:function|class|interface|enum|def|func|type|const|let|var)\s+([A-Za-z_][0-9A-Za-z_]*)")), 1))
+
+
+def node_complexity(content: Column | str) -> Column:
+    """One more than the branching words, whatever the language."""
+    return (hits(content, BRANCHES) + 1).cast("long")
+
+
+def result_maintainability(content: Column | str) -> Column:
+    """0..100: less two for each branch and a tenth for each line, plus a tenth of the percentage of comment marks."""
+    n = F.size(lines(content))
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - node_complexity(content) * 2 - n * 0.1 + F.regexp_count(col(content), F.lit(r"//|/\*")) / n * 10))
+
+
+def coverage(content: Column | str, path: Column | str, symbols: Column | str) -> Column:
+    """Null where nothing is defined, 1 for tests, else a fifth for each word of tests."""
+    low = F.lower(col(content))
+    tests = has_any(F.lower(col(path)), ("test", "spec")) | has_any(low, ("describe(", "it("))
+    words = sum((F.contains(low, F.lit(w)).cast("int") for w in ("test(", "expect(", "assert", "should")), F.lit(0))
+    return F.when(F.coalesce(F.size(col(symbols)), F.lit(0)) <= 0, F.lit(None).cast("double")).when(tests, 1.0).otherwise(F.least(F.lit(1.0), words * 0.2))
+
+
+def complexity_level(score: Column) -> Column:
+    """A word for a readability of 0..1."""
+    return named_when((("simple", score > 0.8), ("moderate", score > 0.6), ("complex", score > 0.4)), "very_complex")
+
+
+def highlighted(content: Column | str, query: Column | str) -> Column:
+    """``content`` escaped for HTML, the words of ``query`` of three letters or more marked, in any letter case."""
+    text = F.coalesce(col(content), F.lit(""))
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    words = F.filter(F.split(F.lower(col(query)), r"\s+"), lambda x: F.length(x) > 2)
+    terms = F.array_sort(F.array_distinct(F.transform(words, lambda x: F.regexp_replace(x, r"([.*+?^${}()|\[\]\\])", r"\\$1"))))
+    pattern = F.concat(F.lit("(?i)("), F.array_join(terms, "|"), F.lit(")"))
+    return F.when(F.coalesce(F.size(terms), F.lit(0)) <= 0, text).otherwise(F.regexp_replace(text, pattern, F.lit("<mark>$1</mark>")))
+
+
+def enriched(chunks):
+    """``chunks`` with kind, maintainability, readability, patterns, smells, concerns, frameworks, layer, complexity,
+    and as ``dependencies`` the imports of all chunks of the same file."""
+    c = chunks.withColumns({
+        "kind": semantic_type("content", "lang"), "maintainability": maintainability("content"), "readability": readability("content"), "patterns": design_patterns("content"), "smells": code_smells("content"),
+        "concerns": security_concerns("content"), "frameworks": frameworks("content"), "layer": layer("path"), "complexity": complexity("content", "lang"),
+    })
+    named = chunks.select("snapshot_id", "path", F.explode("imports").alias("i")).filter("i is not null")
+    files = named.groupBy("snapshot_id", "path").agg(F.array_sort(F.collect_set("i")).alias("dependencies"))
+    return c.join(files, ["snapshot_id", "path"], "left").withColumn("dependencies", F.coalesce("dependencies", F.array().cast("array<string>")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratalog.functions import code as C
 from stratalog.functions.text import base_name, hits, js_round, lines, trimmed
 from stratalog.plans import Registry
-from stratalog.sources.tables import clean_path, table
+from stratalog.sources.tables import clean_path, newest, small, table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -248,9 +248,56 @@ def f29_symbols(spark: SparkSession, folder: str) -> DataFrame:
 select hit_id, query_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(q, '\s+'), lambda w: length(w) > 3 and contains(content, w)))), '|'), '') matched from h join q using (query_id)""")
 def f32_matched_concepts(spark: SparkSession, folder: str) -> DataFrame:
     """Words of a query, over three letters, that stand in a hit."""
-    from stratalog.sources.tables import small
-
     h = table(spark, folder, "search_results").filter("content is not null").select("query_id", "hit_id", F.lower("content").alias("content")).distinct()
     q = table(spark, folder, "search_queries").filter("original_query is not null").select("query_id", F.lower("original_query").alias("q")).distinct()
     words = F.sort_array(F.array_distinct(F.filter(F.split("q", r"\s+"), lambda w: (F.length(w) > 3) & F.contains(F.col("content"), w))))
     return h.join(small(q), "query_id").select("hit_id", "query_id", F.array_join(words, "|").alias("matched"))
+
+
+_NODE = r"(len(regexp_extract_all(content, '\b(if|for|while|switch|case|catch|&&|\|\|)\b')) + 1)"
+
+
+@query(f"{_C} select chunk_id, {_NODE}::bigint complexity from c")
+def f5_node_complexity(spark: SparkSession, folder: str) -> DataFrame:
+    """Branching words of whatever language."""
+    return chunks(spark, folder).select("chunk_id", C.node_complexity("content").alias("complexity"))
+
+
+@query(rf"""{_C} select chunk_id, round(greatest(0.0, least(100.0, 100 - {_NODE} * 2 - len({_L}) * 0.1::double + len(regexp_extract_all(content, '//|/\*')) / len({_L}) * 10)), 6)::double maintainability from c""")
+def f9_result_maintainability(spark: SparkSession, folder: str) -> DataFrame:
+    """Of a search result: less for branches and lines, more for comments."""
+    return chunks(spark, folder).select("chunk_id", F.round(C.result_maintainability("content"), 6).alias("maintainability"))
+
+
+@query(rf"""{_C} select chunk_id, case when coalesce(len(symbols), 0) = 0 then null when contains(lower(path), 'test') or contains(lower(path), 'spec') or contains(lower(content), 'describe(') or contains(lower(content), 'it(') then 1.0::double
+  else round(least(1.0, (contains(lower(content), 'test(')::int + contains(lower(content), 'expect(')::int + contains(lower(content), 'assert')::int + contains(lower(content), 'should')::int) * 0.2), 6)::double end coverage from c""")
+def f17_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """A rough estimate of test coverage; none where nothing is defined."""
+    return chunks(spark, folder).select("chunk_id", F.round(C.coverage("content", "path", "symbols"), 6).alias("coverage"))
+
+
+@query("with r as (" + SQL["f12_readability"] + ") select chunk_id, case when readability / 100 > 0.8 then 'simple' when readability / 100 > 0.6 then 'moderate' when readability / 100 > 0.4 then 'complex' else 'very_complex' end complexity_level from r")
+def f34_complexity_level(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks(spark, folder).select("chunk_id", C.complexity_level(C.readability("content") / 100).alias("complexity_level"))
+
+
+_ESCAPED = "replace(replace(replace(replace(replace(coalesce(content, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+@query(rf"""with h as (select hit_id, query_id, content, row_number() over (partition by hit_id order by received_at desc nulls last) d from search_results), q as (select query_id, min(original_query) q from search_queries group by 1),
+  t as (select query_id, list_distinct(list_transform(list_filter(regexp_split_to_array(lower(q), '\s+'), lambda x: length(x) > 2), lambda x: regexp_replace(x, '([.*+?^${{}}()|\[\]\\])', '\\\1', 'g'))) terms from q)
+select hit_id, case when coalesce(len(terms), 0) = 0 then {_ESCAPED} else regexp_replace({_ESCAPED}, '(' || array_to_string(list_sort(terms), '|') || ')', '<mark>\1</mark>', 'gi') end marked from h left join t using (query_id) where d = 1""")
+def f36_highlighted(spark: SparkSession, folder: str) -> DataFrame:
+    """The text of each hit, escaped, with the words of its query marked; words of three letters or more."""
+    h = newest(table(spark, folder, "search_results"), ["hit_id"]).select("hit_id", "query_id", "content")
+    q = table(spark, folder, "search_queries").groupBy("query_id").agg(F.min("original_query").alias("q"))
+    return h.join(small(q), "query_id", "left").select("hit_id", C.highlighted("content", "q").alias("marked"))
+
+
+@query("with " + ", ".join(f"x{i} as ({SQL[n]})" for i, n in enumerate(("f24_semantic_type", "f10_maintainability", "f12_readability", "f21_design_patterns", "f22_code_smells", "f23_security", "f26_frameworks"))) + rf""",
+  c as (select distinct chunk_id, snapshot_id, regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '') path, metadata.imports imports from code_chunks where content is not null),
+  f as (select snapshot_id, path, list_sort(list_distinct(flatten(list(imports)))) all_imports from (select snapshot_id, path, list_filter(coalesce(imports, []), lambda x: x is not null) imports from c) group by 1, 2)
+select c.chunk_id, kind, maintainability, readability, patterns, smells, concerns, frameworks, array_to_string(all_imports, '|') dependencies from c join f using (snapshot_id, path) """ + " ".join(f"join x{i} using (chunk_id)" for i in range(7)))
+def c15_enriched(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks with all that is known of them, and the imports of their whole file."""
+    return C.enriched(chunks(spark, folder)).select("chunk_id", "kind", "maintainability", "readability", text("patterns").alias("patterns"), text("smells").alias("smells"), text("concerns").alias("concerns"), text("frameworks").alias("frameworks"), text("dependencies").alias("dependencies"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from stratalog.functions.code import semantic_type
 from stratalog.operators import graph as G
+from stratalog.operators import links as K
 from stratalog.operators import validation as V
 from stratalog.plans import Registry
+from stratalog.plans.features import SQL as FEATURES
 from stratalog.plans.features import _C, _L, chunks
 
 query = Registry()
@@ -111,3 +113,55 @@ def val1_validated(spark: SparkSession, folder: str) -> DataFrame:
 def val2_frequent_codes(spark: SparkSession, folder: str) -> DataFrame:
     """The five codes found most often; the limit is the feature."""
     return V.frequent(V.validated(chunks(spark, folder)))
+
+
+# The second analyser: what the texts themselves define, and paths that imports resolve to.
+_STEM = r"regexp_replace({}, '\.[A-Za-z0-9]+$', '')"
+_RESOLVED = r"""case when regexp_matches(i, '^\.\.?/') then regexp_replace(array_to_string(list_concat(d[1:greatest(len(d) - length(regexp_extract(i, '^((?:\.\./)*)', 1)) // 3, 0)], [regexp_replace(i, '^(?:\./|(?:\.\./)+)', '')]), '/'), '\.[A-Za-z0-9]+$', '')
+  when coalesce(lang = 'python', false) and not contains(i, '/') then replace(i, '.', '/') else regexp_replace(i, '\.[A-Za-z0-9]+$', '') end"""
+_IMPORTED = rf"""select distinct u.chunk_id src, f.chunk_id dst from (select snapshot_id, chunk_id, {_RESOLVED} t from (select snapshot_id, chunk_id, lang, list_filter(string_split(regexp_replace(path, '/?[^/]*$', ''), '/'), lambda x: x <> '') d, unnest(imports) i from c) where i <> '') u
+  join (select snapshot_id, chunk_id, {_STEM.format('path')} f from c) f on u.snapshot_id = f.snapshot_id and u.chunk_id <> f.chunk_id and regexp_extract(u.t, '([^/]*)$', 1) <> '' and (u.t = f.f or ends_with(u.t, '/' || f.f) or ends_with(f.f, '/' || u.t))"""
+_NAMED = "select distinct u.chunk_id src, d.chunk_id dst from ({}) u join ({}) d on u.snapshot_id = d.snapshot_id and u.name = d.name and u.chunk_id <> d.chunk_id"
+_CALLED = _NAMED.format(r"select distinct snapshot_id, chunk_id, unnest(regexp_extract_all(content, '\b([A-Za-z_][0-9A-Za-z_]*)\s*\(', 1)) name from c", r"select distinct snapshot_id, chunk_id, unnest(list_concat(coalesce(symbols, []), regexp_extract_all(content, '(?:function|def)\s+([A-Za-z_][0-9A-Za-z_]*)', 1))) name from c")
+_USES = _NAMED.format(r"select distinct snapshot_id, chunk_id, unnest(list_concat(regexp_extract_all(content, '\bnew\s+([A-Za-z_][0-9A-Za-z_]*)', 1), regexp_extract_all(content, '\b([A-Za-z_][0-9A-Za-z_]*)\.', 1))) name from c", r"select distinct snapshot_id, chunk_id, unnest(list_concat(coalesce(symbols, []), regexp_extract_all(content, 'class\s+([A-Za-z_][0-9A-Za-z_]*)', 1))) name from c")
+_KIND = f"({FEATURES['f24_semantic_type']})"
+_PARENTS = _NAMED.format(r"select distinct snapshot_id, chunk_id, unnest(list_concat(regexp_extract_all(content, '\bextends\s+([A-Za-z_][0-9A-Za-z_]*)', 1), regexp_extract_all(content, '\bclass\s+[0-9A-Za-z_]+\(([A-Za-z_][0-9A-Za-z_]*)\)', 1))) name from c", rf"select distinct snapshot_id, chunk_id, unnest(list_concat(coalesce(symbols, []), regexp_extract_all(content, 'class\s+([A-Za-z_][0-9A-Za-z_]*)', 1))) name from c join {_KIND} using (chunk_id) where kind = 'class'")
+_FACES = _NAMED.format(r"select distinct snapshot_id, chunk_id, unnest(regexp_extract_all(content, '\bimplements\s+([A-Za-z_][0-9A-Za-z_]*)', 1)) name from c", rf"select distinct snapshot_id, chunk_id, unnest(list_concat(coalesce(symbols, []), regexp_extract_all(content, 'interface\s+([A-Za-z_][0-9A-Za-z_]*)', 1))) name from c join {_KIND} using (chunk_id) where kind = 'interface'")
+
+
+@query(f"{_C} select src, dst, 0.8::double strength, 0.9::double confidence from ({_IMPORTED})")
+def g9_resolved_imports(spark: SparkSession, folder: str) -> DataFrame:
+    return K.imported(chunks(spark, folder)).drop("rel")
+
+
+@query(f"{_C} select src, dst, 0.7::double strength, 0.7::double confidence from ({_CALLED})")
+def g10_defined_calls(spark: SparkSession, folder: str) -> DataFrame:
+    return K.called(chunks(spark, folder)).drop("rel")
+
+
+@query(f"{_C} select src, dst, 'extends' rel from ({_PARENTS}) union all select src, dst, 'implements' from ({_FACES})")
+def g11_parents(spark: SparkSession, folder: str) -> DataFrame:
+    """Empty where no chunk extends another; see the tests for rows."""
+    return K.inherited(chunks(spark, folder).withColumn("kind", semantic_type("content", "lang"))).select("src", "dst", "rel")
+
+
+@query(f"{_C} select src, dst, 0.5::double strength, 0.6::double confidence from ({_USES})")
+def g12_used_symbols(spark: SparkSession, folder: str) -> DataFrame:
+    return K.instantiated(chunks(spark, folder)).drop("rel")
+
+
+@query(f"{_C}, e as (select 'imports' rel, 0.9::double c from ({_IMPORTED}) union all select 'calls', 0.7 from ({_CALLED}) union all select 'extends', 0.85 from ({_PARENTS}) union all select 'implements', 0.8 from ({_FACES}) union all select 'uses', 0.6 from ({_USES})) select rel, count(*) edges, round(avg(c), 6) confidence from e where c >= 0.65 group by 1")
+def g14_confident(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges of some confidence, by kind."""
+    found = K.linked(chunks(spark, folder).withColumn("kind", semantic_type("content", "lang")), 0.65)
+    return found.groupBy("rel").agg(F.count("*").alias("edges"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+@query(rf"""{_C}, n as (select snapshot_id, path, chunk_id, start_line, list_filter(symbols, lambda x: x <> '')[1] name, coalesce(imports, []) imports, content, regexp_extract_all(content, '\b([A-Za-z_][0-9A-Za-z_]*)\b', 1) words, regexp_extract_all(content, '\b([A-Za-z_][0-9A-Za-z_]*)\s*\(', 1) made, regexp_extract_all(content, '(?:extends|implements) ([A-Za-z_][0-9A-Za-z_]*)', 1) parents from c where start_line is not null),
+  p as (select a.chunk_id src, b.chunk_id dst, b.name, a.imports, a.parents, list_contains(a.words, b.name)::int referred, len(list_filter(a.made, lambda x: x = b.name)) calls, len(list_intersect(list_distinct(a.imports), list_distinct(b.imports))) common, abs(a.start_line - b.start_line) far
+    from n a join n b on a.snapshot_id = b.snapshot_id and a.path = b.path and a.chunk_id <> b.chunk_id and a.name <> b.name),
+  w as (select *, round(least(1.0, referred * 0.5::double + common * 0.1::double + greatest(0, 100 - far) / 100 * 0.2::double + least(0.4::double, calls * 0.1::double)), 9) strength from p)
+select src, dst, case when calls > 0 then 'calls' when len(list_filter(imports, lambda x: contains(x, name))) > 0 then 'imports' when list_contains(parents, name) then 'extends' else 'uses' end rel, strength from w where strength > 0.1""")
+def g7_file_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Dependencies between the chunks of one file, weighed."""
+    return K.file_graph(chunks(spark, folder))

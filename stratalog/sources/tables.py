@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratalog.session import staged
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -23,12 +25,13 @@ def newest(df: DataFrame, keys: list[str | Column], received: str = "received_at
     return df.withColumn("__rank", F.row_number().over(rank)).filter("__rank = 1").drop("__rank")
 
 
-def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else ``df`` as it is (joined by shuffle).
+def small(df: DataFrame, max_bytes: int = 8_000_000) -> DataFrame:
+    """``df``, staged, and marked for broadcast if it takes at most ``max_bytes`` as written (joined by shuffle beyond).
 
-    The count stops at the bound, so the check costs little on a large table.
+    It is computed once: what is measured is what is joined.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    written = staged(df)
+    return F.broadcast(written) if int(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= max_bytes else written
 
 
 def spread(df: DataFrame) -> DataFrame:
