@@ -120,3 +120,46 @@ def threshold(named: Column | str, given: float) -> Column:
     """The score that hits must reach, shifted by intent."""
     at_least = {"find_examples": max(0.7, given), "debug_issue": max(0.6, given - 0.1), "find_similar": max(0.75, given + 0.1), "analyze_quality": max(0.8, given + 0.15)}
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in at_least.items() for x in kv]), col(named)), F.lit(given))
+
+
+# Keywords of the context that each wording of an intent adds, and what short queries are searched with.
+KEYWORDS = {
+    "find_examples": ("examples", "tutorials", "samples"),
+    "debug_issue": ("debugging", "error_handling", "troubleshooting"),
+    "find_patterns": ("patterns", "architecture", "design"),
+    "find_usage": ("usage", "dependencies", "references"),
+    "find_similar": ("similarity", "alternatives", "equivalents"),
+    "analyze_quality": ("quality", "performance", "optimization"),
+    "understand_behavior": ("behavior", "functionality", "logic"),
+}
+ABOUT_TESTS = ("testing", "quality_assurance", "verification")
+SUFFIXES = (
+    ("error handling code", ("error", "exception", "bug", "fix", "catch", "try")),
+    ("service implementation", ("api", "endpoint", "service", "client", "request", "response", "fetch", "http")),
+    ("test implementation", ("test", "spec", "assert", "mock", "stub", "verify")),
+    ("authentication code", ("auth", "login", "permission", "access", "token", "jwt", "authenticate")),
+    ("data storage code", ("data", "store", "database", "db", "persist", "save", "load", "query")),
+    ("interface code", ("ui", "interface", "display", "render", "component", "view", "screen")),
+    ("algorithm implementation", ("algorithm", "sort", "search", "tree", "graph", "compute")),
+    ("data transformation code", ("parse", "format", "convert", "transform")),
+    ("configuration code", ("config", "setting", "option", "parameter", "env")),
+    ("utility function", ("util", "helper", "common")),
+)
+SUFFIX, DETAILED, SHORT = "implementation code", 100, 70
+
+
+def context_keywords(query: Column | str) -> Column:
+    """The keywords of each wording found, so those of an intent may come twice."""
+    low, none = F.lower(col(query)), F.array().cast("array<string>")
+    words = lambda p, given: F.when(low.rlike(ascii_words(p)), F.lit(list(given))).otherwise(none)
+    return F.concat(*[words(p, KEYWORDS[name]) for name, (_, patterns) in INTENTS.items() for p in patterns], words(TESTING, ABOUT_TESTS))
+
+
+def search_text(query: Column | str, lang: Column | str) -> Column:
+    """A query as it is searched: a detailed one as it is, else with its one language if it lacks that, and a short one
+    with the first suffix one of whose words it has."""
+    q, low = col(query), F.lower(col(query))
+    bare = F.regexp_replace(q, r"^\s+|\s+$", "")
+    named = F.when(col(lang).isNotNull() & ~F.contains(F.lower(bare), col(lang)), F.concat(col(lang), F.lit(" "), bare)).otherwise(bare)
+    suffix = named_when(((s, low.rlike(ascii_words(rf"\b({'|'.join(words)})\b"))) for s, words in SUFFIXES), SUFFIX)
+    return F.when(F.length(q) > DETAILED, q).when(F.length(q) >= SHORT, named).otherwise(F.concat(named, F.lit(" "), suffix))

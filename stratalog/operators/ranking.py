@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.functions.text import col, has_any, named_when
+from stratalog.functions.code import layer
+from stratalog.functions.text import col, has_any, named_when, path_matches
+from stratalog.session import staged
+from stratalog.sources.tables import small
 
 # Weights of the criteria by strategy, recency by age in days, ideal complexity by intent.
 CRITERIA = ("relevance", "quality", "recency", "usage", "complexity", "documentation")
@@ -63,19 +67,77 @@ def adjusted(score: Column, intent: Column | str, path: Column | str, content: C
 
 
 def normalised(df: DataFrame, group: list[str], score: str) -> DataFrame:
-    """Scores stretched to 0..1 within a group, as they are where all are equal; below LEAST cut."""
-    w = Window.partitionBy(*group)
-    lo, hi = F.min(score).over(w), F.max(score).over(w)
-    return df.withColumn(score, F.when(hi > lo, (F.col(score) - lo) / (hi - lo)).otherwise(F.col(score))).filter(F.col(score) >= LEAST)
+    """Scores stretched to 0..1 within a group, as they are where all are equal; below LEAST cut. The ends of a group are
+    found by partial aggregation, so that a group of any size is spread over tasks."""
+    own = staged(df)
+    ends = own.groupBy(*group).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
+    both = own.join(small(ends), group)
+    stretched = F.when(F.col("__hi") > F.col("__lo"), (F.col(score) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(F.col(score))
+    return both.withColumn(score, stretched).filter(F.round(score, 9) >= LEAST).drop("__lo", "__hi")
 
 
 def temporal(df: DataFrame, group: list[str], ts: str, order: list) -> DataFrame:
     """Of each quarter the first max(1, hits // quarters) hits of a group, in the given order."""
-    quarter = F.year(ts) * 4 + F.quarter(ts)
-    w = Window.partitionBy(*group)
-    sized = df.withColumn("__q", quarter).withColumn("__all", F.count("*").over(w)).withColumn("__quarters", F.size(F.collect_set("__q").over(w)) + F.max(F.col("__q").isNull().cast("int")).over(w))
-    ranked = sized.withColumn("__n", F.row_number().over(Window.partitionBy(*group, "__q").orderBy(*order)))
-    return ranked.filter(F.col("__n") <= F.greatest(F.lit(1), F.expr("__all div __quarters"))).drop("__q", "__all", "__quarters", "__n")
+    own = staged(df.withColumn("__q", F.year(ts) * 4 + F.quarter(ts)))
+    quarters = own.groupBy(*group, "__q").agg(F.count("*").alias("__n"))
+    most = quarters.groupBy(*group).agg(F.sum("__n").alias("__all"), F.count("*").alias("__quarters")).select(*group, F.greatest(F.lit(1), F.expr("__all div __quarters")).alias("__most"))
+    ranked = own.withColumn("__n", F.row_number().over(Window.partitionBy(*group, "__q").orderBy(*order)))
+    return ranked.join(small(most), group).filter(F.col("__n") <= F.col("__most")).drop("__q", "__most", "__n")
+
+
+def selected(hits: DataFrame, least: float = 0.6, quality: float | None = None, complexity: tuple[int, int] | None = None, types: list[str] | None = None, patterns: list[str] | None = None, without_smells: list[str] | None = None, layers: list[str] | None = None, include: list[str] | None = None, exclude: list[str] | None = None, since=None, until=None, coverage: float | None = None) -> DataFrame:
+    """Hits that pass all filters given: readability (0..1) of at least ``quality``, cyclomatic complexity within two
+    bounds, one of the types, any of the patterns, none of the smells, one of the layers, a path that matches any of
+    ``include`` and none of ``exclude``, changed between two times, an estimated test coverage; then a score of at least
+    ``least``. ``hits`` has score, file_path, hit_ts and what is asked for among readability, cyclomatic, kind, patterns,
+    smells, coverage; what is null passes no filter on it."""
+    keep = [F.col("score") >= least]
+    some = lambda given: F.lit(list(given))
+    if quality is not None:
+        keep.append(F.col("readability") >= quality)
+    if complexity is not None:
+        keep.append(F.col("cyclomatic").between(*complexity))
+    if types:
+        keep.append(F.col("kind").isin(*types))
+    if patterns:
+        keep.append(F.arrays_overlap("patterns", some(patterns)))
+    if without_smells:
+        keep.append(~F.arrays_overlap("smells", some(without_smells)))
+    if layers:
+        keep.append(layer("file_path").isin(*layers))
+    any_path = lambda given: functools.reduce(Column.__or__, [path_matches("file_path", p, substring=True) for p in given])
+    if include:
+        keep.append(any_path(include))
+    if exclude:
+        keep.append(~any_path(exclude))
+    if since is not None:
+        keep.append(F.col("hit_ts") >= F.lit(since))
+    if until is not None:
+        keep.append(F.col("hit_ts") <= F.lit(until))
+    if coverage is not None:
+        keep.append(F.col("coverage") >= coverage)
+    return hits.filter(functools.reduce(Column.__and__, keep))
+
+
+def alternatives(top: DataFrame, group: list[str], most: int = 3, low: float = 0.6, high: float = 0.9) -> DataFrame:
+    """(group.., hit_id, other, similarity, other_files, other_type, prefer) for each of the ``top`` hits of a group the
+    first ``most`` others, in their order, that do alike in another way: a similarity between ``low`` and ``high``.
+
+    Similarity adds 0.45 for the same file or 0.15 for the same folder, 0.3 for the same type and up to 0.45 for scores
+    within 0.3. ``top`` has hit_id, place, file_path, kind, score, readability (0..1), and is bounded by its limit of
+    hits to a group, so pairs are few."""
+    cols = ("hit_id", "place", "file_path", "kind", "score", "readability")
+    a = top.select(*group, *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = top.select(*group, *[F.col(c).alias(f"b_{c}") for c in cols])
+    folder = lambda c: F.regexp_replace(c, r"/?[^/]*$", "")
+    same = F.col("a_file_path") == F.col("b_file_path")
+    near = F.when(same, 0.45).when(folder("a_file_path") == folder("b_file_path"), 0.15).otherwise(0.0)
+    score = near + F.when(F.col("a_kind") == F.col("b_kind"), 0.3).otherwise(0.0) + F.greatest(F.lit(0.0), 0.3 - F.abs(F.col("a_score") - F.col("b_score"))) * 1.5
+    both = a.join(b, group).filter("a_hit_id <> b_hit_id").withColumn("similarity", F.round(score, 6)).filter((F.col("similarity") > low) & (F.col("similarity") < high))
+    ranked = both.withColumn("__n", F.row_number().over(Window.partitionBy(*group, "a_hit_id").orderBy("b_place"))).filter(F.col("__n") <= most)
+    better = F.col("b_readability") - F.col("a_readability")
+    prefer = named_when((("quality", better > 0.1), ("simplicity", better < -0.1)), "another approach")
+    return ranked.select(*group, F.col("a_hit_id").alias("hit_id"), F.col("b_hit_id").alias("other"), "similarity", (~same).alias("other_files"), (F.col("a_kind") != F.col("b_kind")).alias("other_type"), prefer.alias("prefer"))
 
 
 def greedy(hits: DataFrame, limit: int = 20, per_file: int = 3, per_function: int = 2, patterns: int = 5, per_layer: int = 3, layers_after: int = 8) -> DataFrame:

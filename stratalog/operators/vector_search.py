@@ -80,8 +80,10 @@ def two_rounds(hits: DataFrame, group: list[str], file: list[str], score: str, t
     in_file = hits.withColumn("__in_file", F.row_number().over(Window.partitionBy(*group, *file).orderBy(*order)))
     if most_per_file:
         in_file = in_file.filter(F.col("__in_file") <= most_per_file)
-    head = F.col("__in_file") == 1
-    ranked = in_file.withColumn("__file", F.when(head, F.row_number().over(Window.partitionBy(*group, head).orderBy(*order))))
-    first = F.coalesce(head & (F.col("__file") <= (limit + 1) // 2), F.lit(False))
-    kept = ranked.withColumn("__first", first).withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy(F.col("__first").desc(), *order))).filter(F.col("__n") <= limit)
-    return kept.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).drop("__in_file", "__file", "__first", "__n")
+    # whatever is kept is among the best files or the best hits; both are cut in each task before they are shuffled
+    by_group = Window.partitionBy(*group)
+    heads = in_file.filter("__in_file = 1").withColumn("__n", F.row_number().over(by_group.orderBy(*order))).filter(F.col("__n") <= (limit + 1) // 2).withColumn("__first", F.lit(True))
+    best = in_file.withColumn("__n", F.row_number().over(by_group.orderBy(*order))).filter(F.col("__n") <= limit).withColumn("__first", F.lit(False))
+    both = heads.unionByName(best).withColumn("__once", F.row_number().over(Window.partitionBy(*group, *file, "__in_file").orderBy(F.col("__first").desc()))).filter("__once = 1")
+    kept = both.withColumn("__n", F.row_number().over(by_group.orderBy(F.col("__first").desc(), *order))).filter(F.col("__n") <= limit)
+    return kept.withColumn("place", F.row_number().over(by_group.orderBy(*order))).drop("__in_file", "__first", "__n", "__once")

@@ -110,3 +110,29 @@ def retryable(message):
 def b4_error_codes(spark: SparkSession, folder: str) -> DataFrame:
     """Every document read as an error message."""
     return table(spark, folder, "documents").filter("text is not null").select("doc_id", error_code(F.col("text")).alias("code"), retryable(F.col("text")).alias("again"))
+
+
+_KEYWORDS = {  # by intent: the keywords that each wording of it found adds
+    "find_examples": "['examples', 'tutorials', 'samples']", "debug_issue": "['debugging', 'error_handling', 'troubleshooting']", "find_patterns": "['patterns', 'architecture', 'design']", "find_usage": "['usage', 'dependencies', 'references']",
+    "find_similar": "['similarity', 'alternatives', 'equivalents']", "analyze_quality": "['quality', 'performance', 'optimization']", "understand_behavior": "['behavior', 'functionality', 'logic']",
+}
+_ADD = [f"case when regexp_matches(lower(q), '{p}') then {_KEYWORDS[n]} else [] end" for n, (_, ps) in sorted(Q.INTENTS.items()) for p in ps] + [f"case when regexp_matches(lower(q), '{Q.TESTING}') then ['testing', 'quality_assurance', 'verification'] else [] end"]
+
+
+@query(f"{_A} select distinct query_id, array_to_string(list_sort(flatten([{', '.join(_ADD)}])), '|') keywords from a")
+def q3_context_keywords(spark: SparkSession, folder: str) -> DataFrame:
+    """Keywords of a query's context, each as often as a wording asks for it, in the order of letters."""
+    return asked(spark, folder).select("query_id", F.array_join(F.array_sort(Q.context_keywords("q")), "|").alias("keywords")).distinct()
+
+
+@query(rf"""{_A}, l as (select query_id, min(lower(metadata.lang)) lang from (select distinct query_id, snapshot_id from search_results) join code_chunks using (snapshot_id) group by 1 having count(distinct lower(metadata.lang)) = 1),
+  t as (select distinct a.query_id, q, regexp_replace(q, '^\s+|\s+$', '', 'g') q0, lang from a left join l using (query_id)), b as (select *, case when lang is not null and not contains(lower(q0), lang) then lang || ' ' || q0 else q0 end q1 from t)
+select query_id, case when length(q) > 100 then q when length(q) >= 70 then q1 when regexp_matches(lower(q), '\b(error|exception|bug|fix|catch|try)\b') then q1 || ' error handling code' when regexp_matches(lower(q), '\b(api|endpoint|service|client|request|response|fetch|http)\b') then q1 || ' service implementation'
+  when regexp_matches(lower(q), '\b(test|spec|assert|mock|stub|verify)\b') then q1 || ' test implementation' when regexp_matches(lower(q), '\b(auth|login|permission|access|token|jwt|authenticate)\b') then q1 || ' authentication code' when regexp_matches(lower(q), '\b(data|store|database|db|persist|save|load|query)\b') then q1 || ' data storage code'
+  when regexp_matches(lower(q), '\b(ui|interface|display|render|component|view|screen)\b') then q1 || ' interface code' when regexp_matches(lower(q), '\b(algorithm|sort|search|tree|graph|compute)\b') then q1 || ' algorithm implementation' when regexp_matches(lower(q), '\b(parse|format|convert|transform)\b') then q1 || ' data transformation code'
+  when regexp_matches(lower(q), '\b(config|setting|option|parameter|env)\b') then q1 || ' configuration code' when regexp_matches(lower(q), '\b(util|helper|common)\b') then q1 || ' utility function' else q1 || ' implementation code' end search_text from b""")
+def q10_search_text(spark: SparkSession, folder: str) -> DataFrame:
+    """What is searched for a query: its language where its hits have but one, and what its words suggest."""
+    seen = table(spark, folder, "search_results").select("query_id", "snapshot_id").distinct().join(table(spark, folder, "code_chunks").select("snapshot_id", F.lower("metadata.lang").alias("lang")).distinct(), "snapshot_id")
+    langs = seen.groupBy("query_id").agg(F.count_distinct("lang").alias("n"), F.min("lang").alias("lang")).filter("n = 1").drop("n")
+    return asked(spark, folder).select("query_id", "q").distinct().join(langs, "query_id", "left").select("query_id", Q.search_text("q", "lang").alias("search_text"))

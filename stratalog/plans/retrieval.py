@@ -126,10 +126,8 @@ _NORM = f"{_ADJ}, x as (select *, min(adj) over (partition by query_id) lo, max(
 
 @query(f"{_NORM} select query_id, hit_id, round(norm, 6) score from y where round(norm, 9) >= 0.1")
 def v18_normalised(spark: SparkSession, folder: str) -> DataFrame:
-    w = Window.partitionBy("query_id")
-    lo, hi = F.min("adj").over(w), F.max("adj").over(w)
-    n = _adjusted(spark, folder).withColumn("norm", F.when(hi > lo, (F.col("adj") - lo) / (hi - lo)).otherwise(F.col("adj")))
-    return n.filter(F.round("norm", 9) >= R.LEAST).select("query_id", "hit_id", F.round("norm", 6).alias("score"))
+    n = R.normalised(_adjusted(spark, folder).select("query_id", "hit_id", "adj"), ["query_id"], "adj")
+    return n.select("query_id", "hit_id", F.round("adj", 6).alias("score"))
 
 
 @query()
@@ -165,3 +163,36 @@ def v23_suggestions(spark: SparkSession, folder: str) -> DataFrame:
     c = F.coalesce("content", F.lit(""))
     found = F.array_compact(F.array(F.when((F.length(c) > 120) & (F.size(lines(c)) < 3), "split long lines"), F.when(~F.contains(F.lower(c), F.lit("test")), "add tests"), F.when(~c.rlike(r"(?m)^\s*(//|#|/\*|\*)"), "add comments")))
     return hits(spark, folder).select("hit_id", F.array_join(found, "|").alias("suggestions"))
+
+
+_TYPE = "case when contains(coalesce(content, ''), 'class ') then 'class' when contains(coalesce(content, ''), 'function ') or contains(coalesce(content, ''), '=>') or contains(coalesce(content, ''), 'def ') then 'function' else 'module' end"
+_LONG = "len(list_filter(string_split(coalesce(content, ''), chr(10)), lambda x: length(x) > 120))"
+
+
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits with the type, complexity and readability of their text."""
+    c = F.coalesce("content", F.lit(""))
+    kind = F.when(F.contains(c, F.lit("class ")), "class").when(F.contains(c, F.lit("function ")) | F.contains(c, F.lit("=>")) | F.contains(c, F.lit("def ")), "function").otherwise("module")
+    long = F.size(F.filter(lines(c), lambda x: F.length(x) > 120))
+    return hits(spark, folder).select("query_id", "hit_id", "snapshot_id", "file_path", "score", "hit_ts", kind.alias("kind"), C.node_complexity(c).alias("cyclomatic"), F.greatest(F.lit(0.0), F.lit(1.0) - long * 0.05).alias("readability"))
+
+
+@query(rf"""{_H}, j as (select *, {_TYPE} kind, len(regexp_extract_all(coalesce(content, ''), '\b(if|for|while|case|catch|&&|\|\||switch)\b')) + 1 cc, greatest(0.0, 1.0 - {_LONG} * 0.05::double) readable from h)
+select query_id, hit_id, kind from j where score >= 0.6 and readable >= 0.9 and cc between 1 and 4 and kind in ('function', 'class') and starts_with(file_path, 'src/') and not contains(lower(file_path), 'test') and hit_ts >= timestamp '2024-03-01'""")
+def v11_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits by quality, complexity, type, path and time."""
+    found = R.selected(_judged(spark, folder), 0.6, 0.9, (1, 4), ["function", "class"], include=["src/**"], since="2024-03-01 00:00:00")
+    return found.filter(~F.contains(F.lower("file_path"), F.lit("test"))).select("query_id", "hit_id", "kind")
+
+
+@query(rf"""with top as ({SQL["v5_search"]}), r as (select hit_id, query_id, regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '') file_path, score, content, row_number() over (partition by hit_id order by received_at desc nulls last) d from search_results),
+  t as (select top.query_id, top.hit_id, place, file_path, score, {_TYPE} kind, greatest(0.0, 1.0 - {_LONG} * 0.05::double) readable from top join r on r.hit_id = top.hit_id and d = 1),
+  p as (select a.query_id, a.hit_id, b.hit_id other, b.place, a.file_path <> b.file_path other_files, a.kind <> b.kind other_type, b.readable - a.readable better, round(case when a.file_path = b.file_path then 0.45::double when regexp_replace(a.file_path, '/?[^/]*$', '') = regexp_replace(b.file_path, '/?[^/]*$', '') then 0.15::double else 0 end
+    + case when a.kind = b.kind then 0.3::double else 0 end + greatest(0.0::double, 0.3::double - abs(a.score - b.score)) * 1.5::double, 6) similarity from t a join t b on a.query_id is not distinct from b.query_id and a.query_id is not null and a.hit_id <> b.hit_id),
+  k as (select *, row_number() over (partition by query_id, hit_id order by place) n from p where similarity > 0.6 and similarity < 0.9)
+select query_id, hit_id, other, similarity, other_files, other_type, case when better > 0.1 then 'quality' when better < -0.1 then 'simplicity' else 'another approach' end prefer from k where n <= 3""")
+def v24_alternatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Other hits among the twenty of a query that do alike in another way, three to a hit."""
+    judged = _judged(spark, folder)
+    top = two_rounds(judged, ["query_id"], ["snapshot_id", "file_path"], "score", ["hit_id"], 20, 3)
+    return R.alternatives(top, ["query_id"])
