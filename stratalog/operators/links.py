@@ -83,12 +83,11 @@ def linked(chunks: DataFrame, least: float = CONFIDENT) -> DataFrame:
 
 
 def nested(pieces: DataFrame) -> DataFrame:
-    """(snapshot_id, path, src, dst, rel, strength) between pieces of a file (start_line, end_line, level) and the piece
-    of the level above that holds them: 'extends' up, 'uses' down; a piece is named start-end."""
-    name = lambda a, b: F.concat(F.col(a).cast("string"), F.lit("-"), F.col(b).cast("string"))
-    own = pieces.select("snapshot_id", "path", "level", "start_line", "end_line").distinct()
-    above = own.select("snapshot_id", "path", (F.col("level") + 1).alias("level"), F.col("start_line").alias("a"), F.col("end_line").alias("b"))
-    both = own.join(above, ["snapshot_id", "path", "level"]).filter("a <= start_line and end_line <= b").select("snapshot_id", "path", name("start_line", "end_line").alias("child"), name("a", "b").alias("parent")).filter("child <> parent").distinct()
+    """(snapshot_id, path, src, dst, rel, strength) between pieces of a file (ordinal, start_line, end_line) and the one
+    that holds them (parent, an ordinal): 'extends' up, 'uses' down; a piece is named start-end."""
+    name = F.concat(F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
+    below = pieces.filter("parent is not null").select("snapshot_id", "path", F.col("parent").alias("ordinal"), name.alias("child"))
+    both = below.join(pieces.select("snapshot_id", "path", "ordinal", name.alias("parent")), ["snapshot_id", "path", "ordinal"])
     edge = lambda a, b, rel, w: both.select("snapshot_id", "path", F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(rel).alias("rel"), F.lit(w).alias("strength"))
     return edge("child", "parent", "extends", 0.9).unionByName(edge("parent", "child", "uses", 0.8))
 

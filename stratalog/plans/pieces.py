@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions.text import language, lines
 from stratalog.operators import chunking as K
+from stratalog.operators.file_states import resolved_entries
 from stratalog.operators.history import entries_of
 from stratalog.plans import Registry
 from stratalog.plans.features import _C, _L, chunks
@@ -18,24 +19,46 @@ QUERIES, SQL = query.queries, query.sql
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole texts of the entries that count."""
-    e = entries_of(table(spark, folder, "snapshot_files")).filter("content is not null and marker <> 'deleted'")
+    """Whole texts of all live text entries that count, patches applied along their bases."""
+    e = resolved_entries(table(spark, folder, "snapshots"), table(spark, folder, "snapshot_files")).filter("content is not null")
     return e.select("snapshot_id", "path", language("path", "content").alias("lang"), "content")
 
 
-@query(f"""{_F[2:].join(['with ', ''])}, l as (select snapshot_id, path, {_L} l from f where content is not null and marker <> 'deleted'), b as (select snapshot_id, path, l, unnest(generate_series(0, greatest(len(l) - 1, 0), 30)) s from l)
-select snapshot_id, path, s::int start_line, (least(s + 40, len(l)) - 1)::int end_line, array_to_string(l[s + 1 : s + 40], chr(10)) content from b where s = 0 or s + 10 < len(l)""")
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts that entries store whole; chunks are pieces of these."""
+    e = entries_of(table(spark, folder, "snapshot_files")).filter("content is not null and marker <> 'deleted'")
+    return e.select("snapshot_id", "path", "content")
+
+
+def notes(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of documents, as files by their id."""
+    return table(spark, folder, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("snapshot_id"), F.lit("text").alias("path"), F.col("text").alias("content"))
+
+
+@query()
 def c7_fixed(spark: SparkSession, folder: str) -> DataFrame:
-    """Blocks of forty lines that share ten."""
+    """Blocks of forty lines that share ten, of every file."""
     return K.fixed(files(spark, folder), 40, 10)
 
 
-@query(f"""{_F[2:].join(['with ', ''])}, l as (select snapshot_id, path, {_L} l from f where content is not null and marker <> 'deleted') select snapshot_id, path, s::int start_line, (least(s + 50, len(l)) - 1)::int end_line from (select snapshot_id, path, l, unnest(generate_series(0, greatest(len(l) - 1, 0), 50)) s from l)""")
+@query("with l as (select doc_id, string_split(text, chr(10)) l from documents where text is not null), b as (select doc_id, l, unnest(generate_series(0, greatest(len(l) - 1, 0), 30)) s from l) select doc_id, s::int start_line, (least(s + 40, len(l)) - 1)::int end_line, array_to_string(l[s + 1 : s + 40], chr(10)) content from b where s = 0 or s + 10 < len(l)")
+def c7_fixed_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of every document."""
+    return K.fixed(notes(spark, folder), 40, 10).select(F.col("snapshot_id").cast("long").alias("doc_id"), "start_line", "end_line", "content")
+
+
+@query()
 def c14_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Blocks of fifty lines, as where nothing is recognised."""
+    """Blocks of fifty lines, as where nothing is recognised, of every file."""
     return K.fixed(files(spark, folder), K.BLOCK_SEMANTIC, 0).drop("content")
 
 
+@query("with l as (select doc_id, string_split(text, chr(10)) l from documents where text is not null) select doc_id, s::int start_line, (least(s + 50, len(l)) - 1)::int end_line from (select doc_id, l, unnest(generate_series(0, greatest(len(l) - 1, 0), 50)) s from l)")
+def c14_blocks_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of every document."""
+    return K.fixed(notes(spark, folder), K.BLOCK_SEMANTIC, 0).select(F.col("snapshot_id").cast("long").alias("doc_id"), "start_line", "end_line")
+
+
 @query()
 def c5_base(spark: SparkSession, folder: str) -> DataFrame:
     return K.chunked(files(spark, folder), "base", 60, 10)
@@ -78,7 +101,7 @@ def c18_list(spark: SparkSession, folder: str) -> DataFrame:
 from c join f on c.snapshot_id = f.snapshot_id and c.path = f.path and f.content is not null and f.marker <> 'deleted' where c.start_line >= 0 and c.end_line >= c.start_line""")
 def c19_context(spark: SparkSession, folder: str) -> DataFrame:
     """Three lines on either side of each chunk in its file."""
-    f = files(spark, folder).select("snapshot_id", "path", F.split(F.replace("content", F.lit("\r\n"), F.lit("\n")), "\n").alias("l"))
+    f = stored(spark, folder).select("snapshot_id", "path", F.split(F.replace("content", F.lit("\r\n"), F.lit("\n")), "\n").alias("l"))
     c = chunks(spark, folder).filter("start_line >= 0 and end_line >= start_line").select("chunk_id", "snapshot_id", "path", "start_line", "end_line").join(f, ["snapshot_id", "path"])
     first = F.greatest(F.col("start_line") - 3, F.lit(0))
     return c.select("chunk_id", F.array_join(F.slice("l", first + 1, F.col("start_line") - first), "\n").alias("before"), F.array_join(F.slice("l", F.col("end_line") + 2, F.lit(3)), "\n").alias("after"))

@@ -9,9 +9,11 @@ from stratalog.functions.code import semantic_type
 from stratalog.operators import graph as G
 from stratalog.operators import links as K
 from stratalog.operators import validation as V
+from stratalog.operators.chunking import chunked
 from stratalog.plans import Registry
 from stratalog.plans.features import SQL as FEATURES
 from stratalog.plans.features import _C, _L, chunks
+from stratalog.plans.pieces import files
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -165,3 +167,9 @@ select src, dst, case when calls > 0 then 'calls' when len(list_filter(imports,
 def g7_file_graph(spark: SparkSession, folder: str) -> DataFrame:
     """Dependencies between the chunks of one file, weighed."""
     return K.file_graph(chunks(spark, folder))
+
+
+@query()
+def g6_nesting(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges between declarations and those that hold them, in every file."""
+    return K.nested(chunked(files(spark, folder), "hierarchical"))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog.session import staged
+from stratalog.sources.tables import spread
 from stratalog.functions.text import binary_name, glob_regex
 
 # What is always left out, the files that hold ignore rules (the first that exists counts alone), and
@@ -73,21 +75,39 @@ def _read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["path", "content", "is_binary", "bytes", "modified"])
 
 
+def _listing(root: str, skipped: set[str]):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for at in part["path"]:
+                try:
+                    with os.scandir(os.path.join(root, at)) as names:
+                        rows += [(f"{at}/{x.name}" if at else x.name, x.is_dir(follow_symlinks=False)) for x in names if not (x.is_dir() and (x.is_symlink() or x.name in skipped))]
+                except OSError:  # gone or unreadable since it was listed
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "folder"])
+
+    return run
+
+
 def scan(spark: SparkSession, folder: str, sniff: bool = True) -> DataFrame:
     """(path, content, is_binary, bytes, modified) of the files below a folder, one that all executors see, which its
     rules do not leave out; files with a leading point too, which Spark's own readers pass over.
 
-    Names are listed on the driver, folders left out entirely are not entered; texts are read by the tasks. A file is binary by its name, or, with
+    Tasks list folders, level by level, and read the texts; folders left out entirely are not entered. A file is binary by its name, or, with
     ``sniff``, by its size of over 1 MiB or its first bytes; it has no content, nor has one with a NUL.
     """
     root = str(Path(folder).resolve())
     out, back = ignore_rules(root)
     skipped = {g.removeprefix("**/").removesuffix("/**") for g in map(to_glob, ALWAYS)}
-    names = []
-    for at, folders, files in os.walk(root):
-        folders[:] = sorted(f for f in folders if f not in skipped)
-        names += [os.path.relpath(os.path.join(at, f), root).replace(os.sep, "/") for f in sorted(files)]
-    listed = spark.createDataFrame([(x,) for x in names], "path string")
+    level, listed = spark.createDataFrame([("",)], "path string"), spark.createDataFrame([], "path string")
+    while True:
+        found = staged(level.mapInPandas(_listing(root, skipped), "path string, folder boolean"))
+        listed = listed.unionByName(found.filter("not folder").select("path"))
+        level = found.filter("folder").select("path")
+        if level.isEmpty():
+            break
+        level = spread(level)
     kept = listed.filter(~any_glob(F.col("path"), out) | any_glob(F.col("path"), back))
     flagged = kept.select(F.lit(root).alias("root"), "path", binary_name("path").alias("named"), F.lit(sniff).alias("sniff"))
     return flagged.mapInPandas(_read, "path string, content string, is_binary boolean, bytes long, modified timestamp")
@@ -106,17 +126,35 @@ def project_folder(start: str) -> str | None:
 
 
 def apply_actions(actions: DataFrame, folder: str) -> int:
-    """Write and delete the files of an action table (path, action, content) below ``folder``, streamed to the driver
-    row by row. Paths that lead out of the folder are refused. Returns the number of actions."""
-    root, n = Path(folder).resolve(), 0
-    for r in actions.toLocalIterator():
-        target = (root / r.path).resolve()
-        if not target.is_relative_to(root):
-            raise ValueError(f"{r.path} leads out of {root}")
-        if r.action == "delete":
-            target.unlink(missing_ok=True)
-        else:
-            os.makedirs(target.parent, exist_ok=True)
-            target.write_text(r.content or "", newline="")
-        n += 1
-    return n
+    """Write and delete the files of an action table (path, action, content) below ``folder``, one that all executors
+    see, in the tasks; to do so again changes nothing. If a path leads out of the folder, nothing is done at all.
+    Returns the number of actions."""
+    root = str(Path(folder).resolve())
+    own = staged(actions.select("path", "action", "content"))
+    bad = own.select("path").mapInPandas(_outside(root), "path string").first()
+    if bad:
+        raise ValueError(f"{bad.path} leads out of {root}")
+    return own.mapInPandas(_applied(root), "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _outside(root: str):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part[[not (Path(root) / p).resolve().is_relative_to(root) for p in part["path"]]]
+
+    return run
+
+
+def _applied(root: str):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path, action, content in part[["path", "action", "content"]].itertuples(index=False):
+                target = (Path(root) / path).resolve()
+                if action == "delete":
+                    target.unlink(missing_ok=True)
+                else:
+                    os.makedirs(target.parent, exist_ok=True)
+                    target.write_text(content or "", newline="")
+            yield pd.DataFrame({"n": [len(part)]})
+
+    return run
