@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from stratalog.functions import code, questions
 from stratalog.functions.text import language
-from stratalog.operators import chunking, graph, history, validation
+from stratalog.operators import chunking, graph, history, ranking, validation
 from stratalog.operators.file_states import resolved_entries
 from stratalog.operators.vector_search import cosine_top_k, two_rounds
 from stratalog.plans.asked import error_code, retryable
 from stratalog.sources.store import hashed_embedding
 
 #: Presets of searches: limit, least score.
+_BINARY = "\0binary"
 PRESETS = {"query": (20, 0.65), "behavioral": (20, 0.6), "pattern": (15, 0.7)}
 
 
@@ -43,6 +44,50 @@ def criteria(**given) -> dict:
     return out
 
 
+class Filters:
+    """Filters of the list of snapshots, as a client sets, clears and flips them: any_tags, all_tags, since, until,
+    favorite, pattern."""
+
+    NAMES = ("any_tags", "all_tags", "since", "until", "favorite", "pattern")
+
+    def __init__(self, **given) -> None:
+        self.given: dict = {}
+        for k, v in given.items():
+            self.set(k, v)
+
+    def set(self, name: str, value) -> Filters:
+        """None, an empty list and an empty text are no filter."""
+        if name not in self.NAMES:
+            raise KeyError(name)
+        if value is None or value == [] or value == "":
+            self.given.pop(name, None)
+        else:
+            self.given[name] = value
+        return self
+
+    def clear(self, name: str | None = None) -> Filters:
+        self.given = {} if name is None else {k: v for k, v in self.given.items() if k != name}
+        return self
+
+    def toggle_favorite(self) -> Filters:
+        return self.set("favorite", None if self.given.get("favorite") else True)
+
+    def count(self) -> int:
+        """Filters that hold; two bounds of time are one."""
+        return len(set(self.given) - {"since", "until"}) + bool({"since", "until"} & set(self.given))
+
+    def description(self) -> str:
+        g, out = self.given, []
+        if "since" in g or "until" in g:
+            out.append(f"{g.get('since', '')} to {g.get('until', '')}".strip())
+        out += [f"{k.replace('_', ' ')}: {', '.join(g[k])}" for k in ("any_tags", "all_tags") if k in g]
+        if "favorite" in g:
+            out.append("favorites" if g["favorite"] else "no favorites")
+        if "pattern" in g:
+            out.append(f"files: {g['pattern']}")
+        return "; ".join(out)
+
+
 def retried(work: Callable[[], object], attempts: int = 3, pause: float = 1.0) -> object:
     """Run ``work``, again after 1, 2, 4.. pauses where its error says it may help; an answer with success=False fails."""
     for n in range(attempts):
@@ -111,15 +156,21 @@ class Service:
         action = F.when(F.col("change") == "D", "delete").when(F.col("change") == "A", "write").otherwise("overwrite")
         return plan.join(target, "path", "left").select("path", action.alias("action"), "content")
 
-    def take_snapshot(self, current: DataFrame, base: str, selected: Iterable[str] | None = None) -> DataFrame:
+    def take_snapshot(self, current: DataFrame, base: str, selected: Iterable[str] | None = None, automatic: bool = False) -> DataFrame:
         """(path, change, content) of files (path, content, is_binary) against a base: only of ``selected`` if given,
-        which then bounds what can be gone, too. An automatic snapshot without a row other than U is none."""
-        before = self.contents().filter(F.col("snapshot_id") == base).select("path", "content")
-        now = current.filter(~F.coalesce("is_binary", F.lit(False))).select("path", "content")
+        which then bounds what can be gone, too. A binary file has no content; one that was a text, or turns into one,
+        has changed. An automatic snapshot that would hold no change is none: it has no rows."""
+        entry = F.col("snapshot_id") == base
+        binary = self.entries.filter(entry & (F.col("marker") == "binary")).select("path", F.lit(_BINARY).alias("state"))
+        before = self.contents().filter(entry).select("path", F.col("content").alias("state")).unionByName(binary)
+        own = current.select("path", F.when(~F.coalesce("is_binary", F.lit(False)), F.col("content")).alias("content"), F.when(F.coalesce("is_binary", F.lit(False)), _BINARY).otherwise(F.col("content")).alias("state"))
         if selected is not None:
             chosen = F.col("path").isin(list(selected))
-            before, now = before.filter(chosen), now.filter(chosen)
-        return history.classify(now, before, ["path"], "content").join(now, "path", "left")
+            before, own = before.filter(chosen), own.filter(chosen)
+        found = history.classify(own, before, ["path"], "state")
+        if automatic and found.filter("change <> 'U'").isEmpty():
+            found = found.limit(0)
+        return found.join(own.select("path", "content"), "path", "left")
 
     def get_workspace_info(self) -> DataFrame:
         return self.cat.groupBy("workspace").agg(F.count("*").alias("snapshots"), F.max("ts").alias("last_ts"))
@@ -140,13 +191,30 @@ class Service:
     def search_snapshots(self, text: str, preset: str = "query", limit: int | None = None, least: float | None = None) -> DataFrame:
         return self.enhanced_search(text, limit or PRESETS[preset][0], PRESETS[preset][1] if least is None else least)
 
-    def enhanced_search(self, text: str, limit: int = 20, least: float = 0.65) -> DataFrame:
-        """Chunks nearest to a question, spread over files."""
-        asked = self.spark.createDataFrame([(0, text)], "vec_id long, q string").withColumn("embedding", hashed_embedding(F.col("q")))
+    def enhanced_search(self, text: str, limit: int = 20, least: float = 0.65, filters: dict | None = None) -> DataFrame:
+        """Chunks nearest to a question, spread over files; with ``filters`` (see ``criteria``) only those that pass them."""
+        return self._searched([text], limit, least, filters).drop("text")
+
+    def _searched(self, texts: list[str], limit: int = 20, least: float = 0.65, filters: dict | None = None) -> DataFrame:
+        """The answers to all questions by one pass over the vectors."""
+        asked = self.spark.createDataFrame(list(enumerate(texts)), "vec_id long, text string").withColumn("embedding", hashed_embedding(F.col("text")))
         ids = self._vectors.select(F.xxhash64("chunk_id").alias("vec_id"), "chunk_id", "embedding")
+        own = self._chunks
+        if filters:
+            own = self._passing(filters)
+            ids = ids.join(own.select("chunk_id"), "chunk_id", "left_semi")
         near = cosine_top_k(ids, asked, min(100, 3 * limit), least).join(ids.select("vec_id", "chunk_id"), "vec_id").drop("place")
-        both = near.join(self._chunks.select("chunk_id", "snapshot_id", "path", "start_line", "end_line", "content"), "chunk_id")
-        return two_rounds(both, ["query"], ["snapshot_id", "path"], "score", ["vec_id"], limit)
+        both = near.join(own.select("chunk_id", "snapshot_id", "path", "start_line", "end_line", "content"), "chunk_id")
+        found = two_rounds(both, ["query"], ["snapshot_id", "path"], "score", ["vec_id"], limit)
+        return found.join(asked.select(F.col("vec_id").alias("query"), "text"), "query")
+
+    def _passing(self, filters: dict) -> DataFrame:
+        """Chunks that pass the filters, judged by their whole text."""
+        c = self._chunks.withColumns({
+            "score": F.lit(1.0), "file_path": F.col("path"), "readability": code.readability("content") / 100, "cyclomatic": code.cyclomatic("content", "lang"), "kind": code.semantic_type("content", "lang"),
+            "patterns": code.design_patterns("content"), "smells": code.code_smells("content"),
+        })
+        return ranking.selected(c, 0.0, filters.get("quality"), filters.get("complexity"), filters.get("types"), filters.get("patterns"), filters.get("smells"), layers=filters.get("layers"), include=filters.get("include"), exclude=filters.get("exclude"))
 
     def process_query(self, text: str) -> dict:
         row = self.spark.createDataFrame([(text,)], "q string").select(questions.intent("q").alias("intent"), questions.complexity("q").alias("complexity"), questions.issues("q").alias("issues"), questions.parts("q").alias("parts"), questions.added_terms("q", questions.intent("q")).alias("terms")).first()
@@ -154,11 +222,7 @@ class Service:
 
     def batch_search(self, texts: Iterable[str], **options) -> DataFrame:
         """Answers to several questions, equal ones asked once; ``text`` names the question."""
-        out = None
-        for t in dict.fromkeys(texts):
-            one = self.enhanced_search(t, **options).withColumn("text", F.lit(t))
-            out = one if out is None else out.unionByName(one)
-        return out
+        return self._searched(list(dict.fromkeys(texts)), **options)
 
     def index_snapshots(self, ids: Iterable[str] | None = None) -> DataFrame:
         """Vectors of the chunks not indexed yet."""

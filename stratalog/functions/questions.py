@@ -22,25 +22,39 @@ DEFAULT, BASE = "find_implementation", 0.7
 MODES = {"find_patterns": "behavioral", "understand_behavior": "behavioral", "find_usage": "hybrid", "find_similar": "hybrid", "debug_issue": "syntactic"}
 RANKINGS = {"analyze_quality": "quality", "find_examples": "usage", "debug_issue": "recency"}
 TERMS = {
-    "find_implementation": "implementation code function method class", "find_examples": "example sample demo tutorial usage", "debug_issue": "error handling,exception,debugging,troubleshooting",
-    "find_patterns": "design pattern,architecture,structure,organization", "find_usage": "usage reference dependency import call", "find_similar": "similar alternative equivalent comparable",
-    "analyze_quality": "quality metrics performance maintainability", "understand_behavior": "behavior functionality logic algorithm",
-}
-CONTEXTS = {"api": "endpoint service client request response", "database": "query schema model repository orm", "auth": "authentication authorization token session login", "ui": "component interface view render display", "test": "unit test,integration test,mock,assert,verify", "config": "configuration settings environment parameter"}
+    "find_implementation": ("implementation", "code", "function", "method", "class"),
+    "find_examples": ("example", "sample", "demo", "tutorial", "usage"),
+    "debug_issue": ("error handling", "exception", "debugging", "troubleshooting"),
+    "find_patterns": ("design pattern", "architecture", "structure", "organization"),
+    "find_usage": ("usage", "reference", "dependency", "import", "call"),
+    "find_similar": ("similar", "alternative", "equivalent", "comparable"),
+    "analyze_quality": ("quality", "metrics", "performance", "maintainability"),
+    "understand_behavior": ("behavior", "functionality", "logic", "algorithm"),
+}
+CONTEXTS = {
+    "api": ("endpoint", "service", "client", "request", "response"),
+    "database": ("query", "schema", "model", "repository", "orm"),
+    "auth": ("authentication", "authorization", "token", "session", "login"),
+    "ui": ("component", "interface", "view", "render", "display"),
+    "test": ("unit test", "integration test", "mock", "assert", "verify"),
+    "config": ("configuration", "settings", "environment", "parameter"),
+}
 EXPECTED = {
-    "find_implementation": "function class method", "find_examples": "example tutorial demo", "debug_issue": "error_handling exception debugging", "find_patterns": "pattern architecture design", "find_usage": "usage reference call",
-    "find_similar": "similar alternative", "analyze_quality": "quality_metrics performance", "understand_behavior": "behavior logic algorithm",
-}
+    "find_implementation": ("function", "class", "method"),
+    "find_examples": ("example", "tutorial", "demo"),
+    "debug_issue": ("error_handling", "exception", "debugging"),
+    "find_patterns": ("pattern", "architecture", "design"),
+    "find_usage": ("usage", "reference", "call"),
+    "find_similar": ("similar", "alternative"),
+    "analyze_quality": ("quality_metrics", "performance"),
+    "understand_behavior": ("behavior", "logic", "algorithm"),
+}
 LANGUAGE_NAMES = ("javascript", "typescript", "python", "java", "c#", "c++", "go", "rust", "php", "ruby")
 TECHNICAL = ("function", "method", "class", "interface", "api", "database", "service", "component", "module", "library", "framework", "algorithm", "pattern", "authentication", "authorization", "validation", "configuration")
 AMBIGUOUS = ("it", "this", "that", "thing", "stuff", "code")
 CONJUNCTIONS, SEPARATORS = r"\b(and|or|but|also|plus)\b", r"\b(and|or|also|plus|additionally|furthermore|moreover)\b"
 
 
-def word_list(text: str) -> list[str]:
-    return text.split(",") if "," in text else text.split()
-
-
 def intent(query: Column | str) -> Column:
     """The intent of most confidence; of several as sure the first in order."""
     low = F.lower(col(query))
@@ -97,8 +111,8 @@ def added_terms(query: Column | str, named: Column | str) -> Column:
     none = F.array().cast("array<string>")
     own = none
     for name, words in TERMS.items():
-        own = F.when(col(named) == name, absent(word_list(words), 2)).otherwise(own)
-    return F.concat(own, *[F.when(F.contains(low, F.lit(k)), absent(word_list(w), 1)).otherwise(none) for k, w in CONTEXTS.items()])
+        own = F.when(col(named) == name, absent(list(words), 2)).otherwise(own)
+    return F.concat(own, *[F.when(F.contains(low, F.lit(k)), absent(list(w), 1)).otherwise(none) for k, w in CONTEXTS.items()])
 
 
 def issues(query: Column | str) -> Column:

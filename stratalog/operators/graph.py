@@ -111,7 +111,8 @@ def strongest(edges: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(src, dst, hops): what each chunk depends on in at most ``depth`` steps, by the fewest. Pairs known are not
-    followed again; each step is staged."""
+    followed again; each step is staged. A chunk that a part of all use or that uses a part of all makes pairs of its
+    own, which are the answer, not candidates."""
     pairs = staged(edges.select("src", "dst").distinct())
     known = pairs.withColumn("hops", F.lit(1))
     front = known

@@ -126,6 +126,12 @@ def dangling(entries: DataFrame, kept: DataFrame) -> DataFrame:
     return own.join(held, ["base_snapshot_id", "path"], "left_anti").select("snapshot_id", "path", "base_snapshot_id")
 
 
+def snapshot_id(ts: Column | str, workspace: Column | str) -> Column:
+    """The id of a new snapshot: its time in milliseconds and eight hex digits, the same for the same time and workspace."""
+    mark = F.substring(F.lower(F.hex(F.xxhash64(col(ts), col(workspace)))), 1, 8)
+    return F.concat(F.lit("snapshot-"), F.unix_millis(col(ts).cast("timestamp")).cast("string"), F.lit("-"), F.lpad(mark, 8, "0"))
+
+
 def classify(current: DataFrame, base: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Capture or comparison of two states: keys.., change (A added, D deleted, M changed, U same), by a full outer
     join; nulls are values."""

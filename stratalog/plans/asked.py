@@ -32,7 +32,7 @@ def q2_intent(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _ABSENT = lambda words, n: "list_filter([" + ", ".join(f"'{w}'" for w in words) + f"], lambda w: not contains(lower(q), w))[1:{n}]"
-_ADDED = "list_concat(case intent " + " ".join(f"when '{k}' then {_ABSENT(Q.word_list(w), 2)}" for k, w in Q.TERMS.items()) + " end, list_concat(" + ", ".join(f"case when contains(lower(q), '{k}') then {_ABSENT(Q.word_list(w), 1)} else [] end" for k, w in Q.CONTEXTS.items()) + "))"
+_ADDED = "list_concat(case intent " + " ".join(f"when '{k}' then {_ABSENT(w, 2)}" for k, w in Q.TERMS.items()) + " end, list_concat(" + ", ".join(f"case when contains(lower(q), '{k}') then {_ABSENT(w, 1)} else [] end" for k, w in Q.CONTEXTS.items()) + "))"
 
 
 @query(f"""{_B}, t as (select query_id, q, {_ADDED} terms from b), e as (select *, trim(q || ' ' || array_to_string(terms, ' ')) enhanced from t)
@@ -62,9 +62,9 @@ def q7_validity(spark: SparkSession, folder: str) -> DataFrame:
     return asked(spark, folder).select("query_id", F.array_join(Q.issues("q"), "|").alias("issues"), (F.length("q") >= 3).alias("valid"), F.round(Q.expected_quality("q"), 6).alias("quality"))
 
 
-@query(f"{_B} select query_id, {_map(Q.MODES, 'semantic')} mode, {_map(Q.RANKINGS, 'relevance')} ranking, {_map({k: v.replace(' ', '|') for k, v in Q.EXPECTED.items()}, 'code')} expected, case intent when 'understand_behavior' then 10 else 5 end radius from b")
+@query(f"{_B} select query_id, {_map(Q.MODES, 'semantic')} mode, {_map(Q.RANKINGS, 'relevance')} ranking, {_map({k: '|'.join(v) for k, v in Q.EXPECTED.items()}, 'code')} expected, case intent when 'understand_behavior' then 10 else 5 end radius from b")
 def q8_strategy(spark: SparkSession, folder: str) -> DataFrame:
-    return asked(spark, folder).select("query_id", Q.by_intent("intent", Q.MODES, "semantic").alias("mode"), Q.by_intent("intent", Q.RANKINGS, "relevance").alias("ranking"), Q.by_intent("intent", {k: v.replace(" ", "|") for k, v in Q.EXPECTED.items()}, "code").alias("expected"), F.when(F.col("intent") == "understand_behavior", 10).otherwise(5).alias("radius"))
+    return asked(spark, folder).select("query_id", Q.by_intent("intent", Q.MODES, "semantic").alias("mode"), Q.by_intent("intent", Q.RANKINGS, "relevance").alias("ranking"), Q.by_intent("intent", {k: "|".join(v) for k, v in Q.EXPECTED.items()}, "code").alias("expected"), F.when(F.col("intent") == "understand_behavior", 10).otherwise(5).alias("radius"))
 
 
 _TECH = " + ".join(f"contains(lower(q), '{t}')::int" for t in Q.TECHNICAL)

@@ -203,3 +203,45 @@ def test_small_parsers():
     assert api.retried(work, pause=0.001) == "ok" and len(calls) == 3
     with pytest.raises(RuntimeError, match="permission"):
         api.retried(lambda: {"success": False, "error": "no permission"}, pause=0.001)
+
+
+def test_snapshots_taken(spark):
+    snaps = spark.createDataFrame([("s1", "w", NOW, NOW, None, None, None, None, None)], "snapshot_id string, workspace string, ts timestamp, received_at timestamp, tags array<string>, description string, is_favorite boolean, is_selective boolean, selected_files array<string>")
+    files = spark.createDataFrame([("s1", "a", "1", None, None, None, None, NOW), ("s1", "bin", None, None, None, None, True, NOW)], "snapshot_id string, path string, content string, diff string, base_snapshot_id string, deleted boolean, is_binary boolean, received_at timestamp")
+    s = api.Service(spark, snaps, files)
+    now = lambda *rows: spark.createDataFrame(list(rows), "path string, content string, is_binary boolean")
+    same = now(("a", "1", False), ("bin", None, True))
+    assert {(r.path, r.change) for r in s.take_snapshot(same, "s1").collect()} == {("a", "U"), ("bin", "U")} and s.take_snapshot(same, "s1", automatic=True).count() == 0
+    turned = now(("a", None, True), ("bin", "text", None), ("c", "", False))
+    assert {(r.path, r.change, r.content) for r in s.take_snapshot(turned, "s1", automatic=True).collect()} == {("a", "M", None), ("bin", "M", "text"), ("c", "A", "")}
+
+
+def test_filters_are_counted_and_described():
+    f = api.Filters(any_tags=["x"], since="2024-01-01", until="2024-02-01", pattern="")
+    assert f.count() == 2 and f.toggle_favorite().count() == 3 and f.toggle_favorite().count() == 2
+    assert f.description() == "2024-01-01 to 2024-02-01; any tags: x" and f.clear("any_tags").count() == 1 and f.clear().count() == 0
+    with pytest.raises(KeyError):
+        f.set("other", 1)
+
+
+def test_filtered_hits_and_alternatives(spark):
+    from stratalog.operators import ranking as R
+
+    rows = [(1, "q", 1, "src/a.ts", "function", 0.9, 0.9, 3, ["Factory"], ["Dead Code"]), (2, "q", 2, "src/a.ts", "function", 0.85, 0.7, 9, [], []), (3, "q", 3, "lib/b.ts", "class", 0.2, 0.9, 1, None, None), (4, "q", 4, "src/c.ts", "function", 0.8, None, 2, [], [])]
+    h = spark.createDataFrame(rows, "hit_id long, query_id string, place int, file_path string, kind string, score double, readability double, cyclomatic int, patterns array<string>, smells array<string>").withColumn("hit_ts", X.F.lit(NOW))
+    ids = lambda **k: {r.hit_id for r in R.selected(h, **k).collect()}
+    assert ids() == {1, 2, 4} and ids(quality=0.8) == {1} and ids(complexity=(2, 3)) == {1, 4} and ids(least=0, types=["class"]) == {3} and ids(patterns=["Factory"]) == {1}
+    assert ids(without_smells=["Dead Code"]) == {2, 4} and ids(include=["src/*.ts"], exclude=["**/c.ts"]) == {1, 2} and ids(until="2000-01-01") == set()
+    got = {(r.hit_id, r.other): (r.similarity, r.prefer) for r in R.alternatives(h, ["query_id"]).collect()}
+    assert got[(1, 4)][0] == 0.75 and (1, 2) not in got and (1, 3) not in got  # the last are too far, the others the same
+
+
+def test_no_machine_folder_on_a_cluster(spark, monkeypatch):
+    from stratalog import session
+
+    class Remote:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        session.shared_folder(Remote())

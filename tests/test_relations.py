@@ -48,3 +48,31 @@ def test_quality_and_debt(spark):
     assert all(0 <= r.q <= 100 for r in got.values()) and got[0].q > got[1].q + 20
     assert got[0].s == 100 and got[1].s == 75 and got[0].c == 3 and got[1].c == 100
     assert got[0].d.hours == 0 and got[0].d.severity == "none" and got[1].d.hours == 3 * 2 + 2 * 4 and got[1].d.severity == "high"
+
+
+def test_links_by_text_and_path(spark):
+    from stratalog.operators import links as L
+
+    rows = [
+        ("a", "s", "src/app/a.ts", "import './b'\nclass A extends Base implements Face { go() { one(); new Base() } }", ["A"], ["./b", "../lib/c", "", None], "class", "typescript"),
+        ("b", "s", "src/app/b.ts", "class Base {}\nfunction one() {}", [], [], "class", "typescript"), ("c", "s", "src/lib/c.ts", "interface Face {}", None, None, "interface", "typescript"),
+        ("p", "s", "pkg/p.py", "class P(Q): pass", ["P"], ["pkg.q"], "class", "python"), ("q", "s", "pkg/q.py", "class Q: pass\none()", ["Q"], ["lib/other"], "class", "python"), ("x", "t", "src/app/b.ts", "class Base {}", ["one"], [], "class", "typescript"),
+    ]
+    c = spark.createDataFrame(rows, CHUNKS)
+    pairs = lambda df: {(r.src, r.dst) for r in df.collect()}
+    assert pairs(L.imported(c)) == {("a", "b"), ("a", "c"), ("p", "q")}
+    assert pairs(L.called(c)) == {("a", "b"), ("q", "b")}
+    assert {(r.src, r.dst, r.rel) for r in L.inherited(c).collect()} == {("a", "b", "extends"), ("a", "c", "implements"), ("p", "q", "extends")}
+    assert ("a", "b") in pairs(L.instantiated(c))
+    assert {r.rel for r in L.linked(c, 0.85).collect()} == {"imports", "extends"} and L.linked(c.limit(0)).count() == 0
+
+
+def test_nesting_and_graph_of_a_file(spark):
+    from stratalog.operators import links as L
+
+    pieces = spark.createDataFrame([("s", "f", 0, None, 0, 9), ("s", "f", 1, 0, 2, 4), ("s", "g", 0, None, 0, 1)], "snapshot_id string, path string, ordinal int, parent int, start_line int, end_line int")
+    assert {(r.src, r.dst, r.rel) for r in L.nested(pieces).collect()} == {("2-4", "0-9", "extends"), ("0-9", "2-4", "uses")}
+    rows = [("a", "s", "f", 0, "two(); two(); extends far", ["one"], ["x"]), ("b", "s", "f", 60, "nothing", ["two"], ["x", "y"]), ("c", "s", "f", 400, "z", ["far"], None), ("d", "s", "f", 10, "q", None, ["x"]), ("e", "s", "g", 0, "one", ["nine"], [])]
+    c = spark.createDataFrame(rows, "chunk_id string, snapshot_id string, path string, start_line int, content string, symbols array<string>, imports array<string>")
+    got = {(r.src, r.dst): (r.rel, round(r.strength, 6)) for r in L.file_graph(c).collect()}
+    assert got == {("a", "b"): ("calls", 0.88), ("a", "c"): ("extends", 0.5), ("b", "a"): ("uses", 0.18)}
