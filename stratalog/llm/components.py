@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.session import staged
+from stratalog.session import dropped, staged
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b: longs); a component is named by its least node.
 
     A round hangs the larger neighbours of each node on its least neighbour, then each node's smaller neighbours;
-    rounds end when nothing moves. Each is two aggregations and joins; a node with many neighbours is never collected.
+    rounds end when nothing moves; more than ``max_rounds`` are an error, though each halves the depth at least. Each is two aggregations and joins; a node with many neighbours is never collected.
     """
     now = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     last = None
@@ -22,7 +22,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        now = staged(small)
+        before, now = now, staged(small)
+        dropped(before)
         state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if state == last:
             break

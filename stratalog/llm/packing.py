@@ -5,11 +5,12 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import defaultdict
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.llm.tokens import token_counts
 from stratalog.session import staged
+from stratalog.sources.tables import small
 
 
 class Packer:
@@ -84,52 +85,52 @@ def pack(docs: DataFrame, specs: DataFrame, ident: str = "doc_id", text: str = "
     its separator. Rows with equal idents are texts of their own. Specs are a dimension of a few rows; one without
     capacity, or with one below 1, packs nothing.
 
-    Texts are counted once for all specs. Their histogram has at most capacity + 1 lengths and is all that the driver
+    Texts are counted once and placed in one pass for all specs. Their histogram has at most capacity + 1 lengths and is all that the driver
     sees. Ranks within a length come from the rank in the task and the counts of the tasks before, so a length that a
     third of all texts share is never sorted or gathered; an equi-join on length and a range of ranks gives the containers.
     """
     spark = docs.sparkSession
     counted = staged(token_counts(docs, [ident], text, vocabulary))
-    parts = None
-    for spec in specs.dropDuplicates(["spec_id"]).collect():
-        capacity, separator = spec.capacity_tokens, spec.separator_tokens or 0
-        if capacity and capacity > 0:
-            own = _pack_one(spark, counted, ident, spec.spec_id, capacity, max(0, separator))
-            parts = own if parts is None else parts.unionByName(own)
-    return parts if parts is not None else counted.filter("false").select(F.lit("").alias("spec_id"), F.lit(0).cast("long").alias("container"), ident, F.lit(0).alias("piece"), F.lit(0).alias("first_token"), "n_tokens")
-
-
-def _pack_one(spark: SparkSession, counted: DataFrame, ident: str, spec: str, capacity: int, separator: int) -> DataFrame:
-    whole, rest = F.expr(f"n_tokens div {capacity}").cast("int"), F.col("n_tokens") % capacity
-    sizes = counted.groupBy("part", "n_tokens").agg(F.count("*").alias("n"))
+    given = [(r.spec_id, r.capacity_tokens, max(0, r.separator_tokens or 0)) for r in specs.dropDuplicates(["spec_id"]).collect() if r.capacity_tokens and r.capacity_tokens > 0]
+    if not given:
+        return counted.filter("false").select(F.lit("").alias("spec_id"), F.lit(0).cast("long").alias("container"), ident, F.lit(0).alias("piece"), F.lit(0).alias("first_token"), "n_tokens")
+    every = F.explode(F.array(*[F.struct(F.lit(s).cast("string").alias("spec_id"), F.lit(c).cast("int").alias("capacity")) for s, c, _ in given])).alias("spec")
+    whole, rest = F.expr("n_tokens div capacity").cast("int"), F.col("n_tokens") % F.col("capacity")
+    sizes = counted.groupBy("part", "n_tokens").agg(F.count("*").alias("n")).select("part", "n_tokens", "n", every).select("part", "n_tokens", "n", "spec.*")
     # how many rows of the same length the tasks before have, whole texts, rests and full pieces of longer ones alike
-    tail = F.when(F.col("n_tokens") <= capacity, F.col("n_tokens")).otherwise(rest)
-    by = sizes.withColumn("length", tail).withColumn("full", F.when(F.col("n_tokens") > capacity, whole).otherwise(F.lit(0)))
-    by = by.filter((F.col("n_tokens") <= capacity) | (F.col("length") > 0) | (F.col("full") > 0))
-    tails = by.filter((F.col("n_tokens") <= capacity) | (F.col("length") > 0))
-    order = Window.partitionBy("length").orderBy("n_tokens", "part").rowsBetween(Window.unboundedPreceding, -1)
-    tails = tails.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).select("part", "n_tokens", "length", "n", "before")
+    fits = F.col("n_tokens") <= F.col("capacity")
+    by = staged(sizes.withColumn("length", F.when(fits, F.col("n_tokens")).otherwise(rest)).withColumn("full", F.when(fits, F.lit(0)).otherwise(whole)))
+    tails = by.filter(fits | (F.col("length") > 0))
+    order = Window.partitionBy("spec_id", "length").orderBy("n_tokens", "part").rowsBetween(Window.unboundedPreceding, -1)
+    tails = tails.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).select("spec_id", "capacity", "part", "n_tokens", "length", "n", "before")
     fulls = by.filter("full > 0")
-    histogram = {r.length: r.n for r in tails.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    n_full = fulls.agg(F.sum(F.col("n") * F.col("full")).alias("n")).first().n or 0
-    # ranks of tails of the full length come first, then the full pieces
-    at_full = histogram.get(capacity, 0)
-    if n_full:
-        histogram[capacity] = at_full + n_full
-    packed = intervals(pack_histogram({length + separator: n for length, n in histogram.items()}, capacity + separator))
-    table = spark.createDataFrame([(a - separator, b, c, d, e) for a, b, c, d, e in packed], "length int, lo long, hi long, each long, first long")
-    small = counted.join(tails.select("part", "n_tokens", "length", "before"), ["part", "n_tokens"])
-    ends = small.select(ident, F.when(F.col("n_tokens") > capacity, whole).otherwise(F.lit(0)).alias("piece"), F.col("length"), (F.col("before") + F.col("place")).alias("rank"))
+    histograms: dict[str, dict[int, int]] = defaultdict(dict)
+    for r in tails.groupBy("spec_id", "length").agg(F.sum("n").alias("n")).collect():  # capacity + 1 lengths for each spec
+        histograms[r.spec_id][r.length] = r.n
+    full = {r.spec_id: r.n for r in fulls.groupBy("spec_id").agg(F.sum(F.col("n") * F.col("full")).alias("n")).collect()}
+    rows, at_full = [], []
+    for spec, capacity, separator in given:
+        histogram = histograms[spec]
+        # ranks of tails of the full length come first, then the full pieces
+        at_full += [F.lit(spec), F.lit(histogram.get(capacity, 0)).cast("long")]
+        if full.get(spec):
+            histogram[capacity] = histogram.get(capacity, 0) + full[spec]
+        packed = intervals(pack_histogram({length + separator: n for length, n in histogram.items()}, capacity + separator))
+        rows += [(spec, length - separator, lo, hi, each, first) for length, lo, hi, each, first in packed]
+    table = small(spark.createDataFrame(rows, "spec_id string, length int, lo long, hi long, each long, first long"))
+    known = counted.join(tails.select("spec_id", "capacity", "part", "n_tokens", "length", "before"), ["part", "n_tokens"])
+    ends = known.select("spec_id", "capacity", ident, F.when(fits, F.lit(0)).otherwise(whole).alias("piece"), "length", (F.col("before") + F.col("place")).alias("rank"))
     # within a task by length, and before it what all earlier tasks have: one row a task
-    inside = Window.partitionBy("part").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    tasks = fulls.groupBy("part").agg(F.sum(F.col("n") * F.col("full")).alias("own"))
-    tasks = tasks.withColumn("earlier", F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("own")).drop("own")
-    firsts = fulls.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("full")).over(inside), F.lit(0))).join(tasks, "part").select("part", "n_tokens", "full", (F.col("before") + F.col("earlier")).alias("before"))
-    pieces = counted.filter(F.col("n_tokens") > capacity).join(firsts, ["part", "n_tokens"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
-    pieces = pieces.select(ident, "piece", F.lit(capacity).alias("length"), (F.lit(at_full) + F.col("before") + F.col("place") * F.col("full") + F.col("piece")).alias("rank"))
-    # the table has at most a few entries for each of capacity + 1 lengths
-    found = ends.unionByName(pieces).join(F.broadcast(table), "length").filter("rank >= lo and rank < hi")
-    return found.select(F.lit(spec).alias("spec_id"), (F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("each"))).cast("long").alias("container"), ident, "piece", (F.col("piece") * capacity).alias("first_token"), F.col("length").alias("n_tokens"))
+    inside = Window.partitionBy("spec_id", "part").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = fulls.groupBy("spec_id", "part").agg(F.sum(F.col("n") * F.col("full")).alias("own"))
+    tasks = tasks.withColumn("earlier", F.sum("own").over(Window.partitionBy("spec_id").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("own")).drop("own")
+    firsts = fulls.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("full")).over(inside), F.lit(0))).join(tasks, ["spec_id", "part"]).select("spec_id", "capacity", "part", "n_tokens", "full", (F.col("before") + F.col("earlier")).alias("before"))
+    pieces = counted.join(firsts, ["part", "n_tokens"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
+    start = F.element_at(F.create_map(*at_full), F.col("spec_id"))
+    pieces = pieces.select("spec_id", "capacity", ident, "piece", F.col("capacity").alias("length"), (start + F.col("before") + F.col("place") * F.col("full") + F.col("piece")).alias("rank"))
+    found = ends.unionByName(pieces).join(table, ["spec_id", "length"]).filter("rank >= lo and rank < hi")
+    container = (F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("each"))).cast("long")
+    return found.select("spec_id", container.alias("container"), ident, "piece", (F.col("piece") * F.col("capacity")).alias("first_token"), F.col("length").alias("n_tokens"))
 
 
 def fill_report(packed: DataFrame, specs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from stratalog.llm.mixing import draw, shares
 from stratalog.llm.near_duplicates import copy_pairs, expand_pairs, long_enough, members, near_duplicates, near_pairs, text_key
 from stratalog.llm.packing import fill_report, pack
 from stratalog.llm.residue import residue
-from stratalog.llm.splitting import split_oversized
+from stratalog.llm.splitting import oversized, split_oversized
 from stratalog.llm.top_items import top_items
 from stratalog.operators.file_states import resolved_entries
 from stratalog.session import staged
@@ -106,8 +106,14 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces, with line numbers put right by the files the chunks come from."""
-    files = resolved_entries(table(spark, folder, "snapshots"), table(spark, folder, "snapshot_files"))
-    return split_oversized(table(spark, folder, "code_chunks"), table(spark, folder, "chunk_limits"), files)
+    chunks, limits, snapshots = table(spark, folder, "code_chunks"), table(spark, folder, "chunk_limits"), table(spark, folder, "snapshots")
+    # only the files of chunks to be cut are resolved, by path in their workspace, as their bases may lie in any snapshot
+    wanted = oversized(chunks, limits).select("snapshot_id", clean_path("file_path").alias("path")).distinct()
+    whose = small(owners(snapshots).withColumn("owner", F.coalesce("owner", F.lit(""))))
+    wanted = small(wanted.join(whose, "snapshot_id").select("owner", F.col("path").alias("wanted")).distinct())
+    files = table(spark, folder, "snapshot_files")
+    files = files.join(whose, "snapshot_id").withColumn("wanted", clean_path("path")).join(wanted, ["owner", "wanted"], "left_semi").drop("owner", "wanted")
+    return split_oversized(chunks, limits, resolved_entries(snapshots, files))
 
 
 _P6 = r"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -13,7 +14,10 @@ from pyspark.sql import DataFrame
 from stratalog.sources.tables import spread
 
 DEFAULT_FOLDER, DEFAULT_VOCABULARY = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "byte_bpe_50k.tiktoken"
-_PIECE = 400_000
+#: Fixed value: how the rank files of the public tokenizers expect a text to be split before merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters from which a text is encoded in stretches, and where the pattern always splits: before one blank in between.
+_PIECE, _BETWEEN = 400_000, re.compile(r"(?<=\S)(?= \S)")
 
 
 def vocabulary_path(folder: str | None = None, name: str = DEFAULT_VOCABULARY) -> str:
@@ -24,10 +28,6 @@ def encoder(path: str):
     """The byte-level BPE whose ranks the file at ``path`` lists; special tokens are ordinary text."""
     import tiktoken
 
-    try:
-        from public_tokenizers import PATTERN
-    except ImportError:
-        PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     ranks = {}
     with open(path, "rb") as lines:
         for line in lines:
@@ -37,15 +37,11 @@ def encoder(path: str):
 
 
 def count(coder, text: str) -> int:
-    """Tokens of a whole text; a very long one is read in stretches that end between words."""
-    if len(text) <= _PIECE:
-        return len(coder.encode_ordinary(text))
+    """Tokens of a whole text; a very long one is encoded in stretches, cut only where no token can reach across."""
     total, at = 0, 0
     while at < len(text):
-        end = min(len(text), at + _PIECE)
-        if end < len(text):
-            space = text.rfind(" ", at + 1, end)
-            end = space if space > at else end
+        cut = _BETWEEN.search(text, at + _PIECE)
+        end = cut.start() if cut else len(text)
         total += len(coder.encode_ordinary(text[at:end]))
         at = end
     return total

@@ -207,3 +207,15 @@ def test_draws_do_not_depend_on_tasks(spark, monkeypatch):
     one, two = ({(r.doc_id, r.copies) for r in draw(docs(spark, rows).repartition(n), goals, total_tokens=20_000).collect()} for n in (1, 7))
     assert one == two
     assert all(abs(r.actual_share - 0.5) < 0.02 for r in shares(draw(docs(spark, rows), goals, total_tokens=20_000), goals).collect())
+
+
+def test_long_texts_are_counted_exactly(monkeypatch):
+    import stratalog.llm.tokens as t
+
+    coder = encoder(vocabulary_path())
+    rng = random.Random(2)
+    for piece in (1, 7, 50):
+        monkeypatch.setattr(t, "_PIECE", piece)
+        for _ in range(60):
+            text = "".join(rng.choice(["a", " ", "  ", "\n", " \t", "don't", "1234", "::", "é", " x", "word", "\u3000"]) for _ in range(rng.randrange(0, 200)))
+            assert count(coder, text) == len(coder.encode_ordinary(text))
