@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from stratalog.functions import code as C
 from stratalog.functions.text import lines
 from stratalog.operators import ranking as R
+from stratalog.operators import vector_index as I
 from stratalog.operators.vector_search import cosine_top_k, two_rounds
 from stratalog.plans import Registry
 from stratalog.plans.asked import _INTENT, asked
+from stratalog.session import staged
 from stratalog.sources.tables import clean_path, newest, small, table
 
 query = Registry()
@@ -196,3 +198,21 @@ def v24_alternatives(spark: SparkSession, folder: str) -> DataFrame:
     judged = _judged(spark, folder)
     top = two_rounds(judged, ["query_id"], ["snapshot_id", "file_path"], "score", ["hit_id"], 20, 3)
     return R.alternatives(top, ["query_id"])
+
+
+def _indexed(spark: SparkSession, folder: str) -> DataFrame:
+    v = _vectors(spark, folder)
+    centres = I.fit(v)
+    return I.search(staged(I.indexed(v, centres)), centres, v.filter("vec_id % 100 = 0"), 10, I.probes_for(v, centres, 10))
+
+
+@query()
+def v2_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest by an index that holds every vector and looks into as many lists as the vectors need."""
+    return _indexed(spark, folder).select("query", "vec_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+
+
+@query()
+def v2_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """What the index finds of the exact answers."""
+    return I.recall(_indexed(spark, folder), _nearest(spark, folder, 10))

@@ -245,3 +245,26 @@ def test_no_machine_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
         session.shared_folder(Remote())
+
+
+def test_vector_index(spark):
+    import numpy as np
+
+    from stratalog.operators import vector_index as I
+    from stratalog.operators.vector_search import cosine_top_k
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16)) * 2
+    rows = [(i, (centres[i % 12] + rng.normal(size=16)).tolist()) for i in range(1500)] + [(9001, None), (9002, []), (9003, [0.0] * 16), (9004, [1.0, 2.0]), (9005, [float("nan")] * 16)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = v.filter("vec_id % 100 = 0 or vec_id > 9000")
+    c = I.fit(v)
+    index = I.indexed(v, c)
+    assert index.count() == 1504 and {r.vec_id for r in index.filter("list = -1").collect()} == {9002, 9003, 9004, 9005}
+    exact, n = cosine_top_k(v, v.filter("vec_id % 100 = 0"), 10), I.probes_for(v, c, 10)
+    assert 1 <= n < len(c)
+    got = I.recall(I.search(index, c, asked, 10, n), exact).collect()
+    assert len(got) == 15 and sum(r.found for r in got) >= 0.9 * sum(r.wanted for r in got)
+    whole = I.search(index, c, asked, 10, probes=10**6)
+    assert {(r.query, r.vec_id, r.place) for r in whole.collect()} == {(r.query, r.vec_id, r.place) for r in exact.collect()}
+    assert I.fit(v.limit(0)).size == 0 and I.search(I.indexed(v, I.fit(v.limit(0))), I.fit(v.limit(0)), asked, 10, 1).count() == 0
