@@ -261,3 +261,60 @@ def enriched(chunks):
     named = chunks.select("snapshot_id", "path", F.explode("imports").alias("i")).filter("i is not null")
     files = named.groupBy("snapshot_id", "path").agg(F.array_sort(F.collect_set("i")).alias("dependencies"))
     return c.join(files, ["snapshot_id", "path"], "left").withColumn("dependencies", F.coalesce("dependencies", F.array().cast("array<string>")))
+
+
+# The words of the second versions, which search hits and the context-aware chunker use.
+HIT_PATTERNS = {"Singleton": ("getInstance", "singleton"), "Factory": ("factory", "create"), "Observer": ("observer", "subscribe"), "Strategy": ("strategy", "algorithm"), "Decorator": ("decorator", "wrapper")}
+SLOW = {
+    "javascript": (r"for\s*\([^)]*\)\s*\{[^}]*for\s*\([^)]*\)", r"document\.getElementById", r"\.innerHTML\s*\+=", r"new\s+RegExp"),
+    "python": (r"for\s+[0-9A-Za-z_]+\s+in\s+range\([^)]*\):[^:]*for\s+[0-9A-Za-z_]+\s+in\s+range", r"\.append\s*\(", r"\+\s*=.*str", r"global\s+[0-9A-Za-z_]+"),
+    "java": (r"for\s*\([^)]*\)\s*\{[^}]*for\s*\([^)]*\)", r"String\s+[0-9A-Za-z_]+\s*=\s*\"[^\"]*\"\s*\+", r"Vector|Hashtable", r"synchronized\s*\("),
+}
+
+
+def hit_patterns(content: Column | str) -> Column:
+    """Design patterns of a search hit, by words in their letter case."""
+    return all_named((name, has_any(content, words)) for name, words in HIT_PATTERNS.items())
+
+
+def hit_concerns(content: Column | str) -> Column:
+    """Security considerations of a search hit."""
+    c = col(content)
+    return all_named((("XSS", has_any(c, ("eval(", "innerHTML"))), ("password handling", F.contains(c, F.lit("password")) & ~F.contains(c, F.lit("hash")))))
+
+
+def context_patterns(content: Column | str) -> Column:
+    """Design patterns as the context-aware chunker sees them."""
+    low = F.lower(col(content))
+    both = lambda a, b: F.contains(low, F.lit(a)) & F.contains(low, F.lit(b))
+    return all_named((
+        ("Singleton", has_any(low, ("singleton",)) | both("instance", "static")), ("Factory", has_any(low, ("factory", "create"))), ("Observer", has_any(low, ("observer", "subscribe", "notify", "listener"))),
+        ("Strategy", has_any(low, ("strategy",)) | both("interface", "implement")), ("Decorator", has_any(low, ("decorator", "@"))),
+    ))
+
+
+def context_smells(content: Column | str) -> Column:
+    """Code smells as the context-aware chunker sees them: more than three lines that are repeated, more than three
+    numbers of two digits or more, an indent of over twenty."""
+    c, all_lines = col(content), lines(content)
+    kept = F.array_sort(F.filter(F.transform(all_lines, trimmed), lambda x: F.length(x) > 10))
+    # sorted, a line is repeated where it equals the one before; each counts once
+    again = F.array_distinct(F.filter(F.zip_with(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
+    deep = F.exists(all_lines, lambda x: F.length(F.regexp_extract(x, r"^(\s*)", 1)) > 20)
+    return all_named((("Long Method", F.size(all_lines) > 50), ("Long Parameter List", c.rlike(r"\([^)]{50,}\)")), ("Duplicate Code", F.size(again) > 3), ("Magic Numbers", hits(c, r"\b[0-9]{2,}\b") > 3), ("Deep Nesting", deep)))
+
+
+def context_concerns(content: Column | str, lang: Column | str) -> Column:
+    """Security concerns as the context-aware chunker sees them; each is a risk of 25."""
+    low = F.lower(col(content))
+    has = lambda x: F.contains(low, F.lit(x))
+    return all_named((("Potential SQL Injection", has("query") & has("+")), ("Potential XSS Vulnerability", has_any(low, ("innerhtml", "eval"))), ("Hardcoded Credentials", has("password") & has("=") & has_any(low, ("'", '"'))), ("Insecure Random Number Generation", has("math.random") & F.coalesce(col(lang) == "javascript", F.lit(False)))))
+
+
+def slow_risk(content: Column | str, lang: Column | str) -> Column:
+    """0..100: ten for each pattern of slow code of the language, twenty for each nested loop."""
+    c, total = col(content), F.lit(0)
+    for name, patterns in SLOW.items():
+        own = sum((F.regexp_count(c, F.lit(p)) for p in patterns), F.lit(0)) * 10
+        total = F.when(col(lang) == name, own).otherwise(total)
+    return F.least(F.lit(100), total + F.regexp_count(c, F.lit(SLOW["java"][0])) * 20).cast("long")

@@ -184,3 +184,10 @@ def greedy(hits: DataFrame, limit: int = 20, per_file: int = 3, per_function: in
 def explained(score: Column) -> Column:
     """A word for a score."""
     return named_when((("Excellent match", score >= 0.8), ("Good match", score >= 0.6), ("Moderate match", score >= 0.3)), "Weak match")
+
+
+def reason(place: Column, score: Column, intent: Column) -> Column:
+    """A sentence or two on the place of a hit: its similarity, and what its query was after."""
+    level = F.when(score > 0.8, "high").when(score > 0.6, "good").otherwise("moderate")
+    aim = F.when(intent == "find_examples", "It appears to be a good example implementation").when(intent == "debug_issue", "It contains relevant error handling or debugging code").when(intent == "find_patterns", "It demonstrates relevant design patterns").when(intent == "analyze_quality", "It provides code suitable for quality analysis").otherwise("It contains relevant implementation code")
+    return F.concat(F.lit("This result ranks #"), place.cast("string"), F.lit(" with "), level, F.lit(" semantic similarity to your query. "), aim, F.lit("."))

@@ -301,3 +301,49 @@ select c.chunk_id, kind, maintainability, readability, patterns, smells, concern
 def c15_enriched(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks with all that is known of them, and the imports of their whole file."""
     return C.enriched(chunks(spark, folder)).select("chunk_id", "kind", "maintainability", "readability", text("patterns").alias("patterns"), text("smells").alias("smells"), text("concerns").alias("concerns"), text("frameworks").alias("frameworks"), text("dependencies").alias("dependencies"))
+
+
+def _contains(c: str, *words: str) -> str:
+    return " or ".join(f"contains({c}, '{w}')" for w in words)
+
+
+@query(f"""{_C} select chunk_id, array_to_string(list_filter([case when {_contains('content', 'getInstance', 'singleton')} then 'Singleton' end, case when {_contains('content', 'factory', 'create')} then 'Factory' end, case when {_contains('content', 'observer', 'subscribe')} then 'Observer' end,
+  case when {_contains('content', 'strategy', 'algorithm')} then 'Strategy' end, case when {_contains('content', 'decorator', 'wrapper')} then 'Decorator' end], lambda x: x is not null), '|') patterns from c""")
+def f21_hit_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks(spark, folder).select("chunk_id", text(C.hit_patterns("content")).alias("patterns"))
+
+
+@query(f"""{_C}, k as (select *, lower(content) low from c) select chunk_id, array_to_string(list_filter([case when contains(low, 'singleton') or (contains(low, 'instance') and contains(low, 'static')) then 'Singleton' end, case when {_contains('low', 'factory', 'create')} then 'Factory' end, case when {_contains('low', 'observer', 'subscribe', 'notify', 'listener')} then 'Observer' end,
+  case when contains(low, 'strategy') or (contains(low, 'interface') and contains(low, 'implement')) then 'Strategy' end, case when {_contains('low', 'decorator', '@')} then 'Decorator' end], lambda x: x is not null), '|') patterns from k""")
+def f21_context_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks(spark, folder).select("chunk_id", text(C.context_patterns("content")).alias("patterns"))
+
+
+@query(rf"""{_C}, d as (select chunk_id, count(*) repeated from (select chunk_id, x from (select chunk_id, unnest({_T}) x from c) where length(x) > 10 group by 1, 2 having count(*) > 1) group by 1)
+select chunk_id, array_to_string(list_filter([case when len({_L}) > 50 then 'Long Method' end, case when regexp_matches(content, '\([^)]{{50,}}\)') then 'Long Parameter List' end, case when repeated > 3 then 'Duplicate Code' end, case when len(regexp_extract_all(content, '\b[0-9]{{2,}}\b')) > 3 then 'Magic Numbers' end,
+  case when len(list_filter({_L}, lambda x: length(regexp_extract(x, '^(\s*)', 1)) > 20)) > 0 then 'Deep Nesting' end], lambda x: x is not null), '|') smells from c left join d using (chunk_id)""")
+def f22_context_smells(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks(spark, folder).select("chunk_id", text(C.context_smells("content")).alias("smells"))
+
+
+@query(f"""{_C} select chunk_id, array_to_string(list_filter([case when contains(content, 'eval(') or contains(content, 'innerHTML') then 'XSS' end, case when contains(content, 'password') and not contains(content, 'hash') then 'password handling' end], lambda x: x is not null), '|') concerns from c""")
+def f23_hit_concerns(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks(spark, folder).select("chunk_id", text(C.hit_concerns("content")).alias("concerns"))
+
+
+@query(f"""{_C}, k as (select chunk_id, lang, lower(content) low from c), l as (select chunk_id, list_filter([case when contains(low, 'query') and contains(low, '+') then 'Potential SQL Injection' end, case when {_contains('low', 'innerhtml', 'eval')} then 'Potential XSS Vulnerability' end, case when contains(low, 'password') and contains(low, '=') and (contains(low, '''') or contains(low, '"')) then 'Hardcoded Credentials' end,
+  case when contains(low, 'math.random') and coalesce(lang = 'javascript', false) then 'Insecure Random Number Generation' end], lambda x: x is not null) found from k) select chunk_id, array_to_string(found, '|') concerns, least(100, len(found) * 25)::bigint risk from l""")
+def f23_context_concerns(spark: SparkSession, folder: str) -> DataFrame:
+    """Concerns, and the risk they add up to."""
+    found = C.context_concerns("content", "lang")
+    return chunks(spark, folder).select("chunk_id", text(found).alias("concerns"), F.least(F.lit(100), F.size(found) * 25).cast("long").alias("risk"))
+
+
+_NESTED = r"len(regexp_extract_all(content, 'for\s*\([^)]*\)\s*\{[^}]*for\s*\([^)]*\)'))"
+
+
+@query(rf"""{_C} select chunk_id, least(100, case lang when 'javascript' then 10 * ({_NESTED} + len(regexp_extract_all(content, 'document\.getElementById')) + len(regexp_extract_all(content, '\.innerHTML\s*\+=')) + len(regexp_extract_all(content, 'new\s+RegExp')))
+  when 'python' then 10 * (len(regexp_extract_all(content, 'for\s+[0-9A-Za-z_]+\s+in\s+range\([^)]*\):[^:]*for\s+[0-9A-Za-z_]+\s+in\s+range')) + len(regexp_extract_all(content, '\.append\s*\(')) + len(regexp_extract_all(content, '\+\s*=.*str')) + len(regexp_extract_all(content, 'global\s+[0-9A-Za-z_]+')))
+  when 'java' then 10 * ({_NESTED} + len(regexp_extract_all(content, 'String\s+[0-9A-Za-z_]+\s*=\s*"[^"]*"\s*\+')) + len(regexp_extract_all(content, 'Vector|Hashtable')) + len(regexp_extract_all(content, 'synchronized\s*\('))) else 0 end + {_NESTED} * 20)::bigint risk from c""")
+def f16_slow_code(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks(spark, folder).select("chunk_id", C.slow_risk("content", "lang").alias("risk"))

@@ -216,3 +216,29 @@ def v2_indexed(spark: SparkSession, folder: str) -> DataFrame:
 def v2_recall(spark: SparkSession, folder: str) -> DataFrame:
     """What the index finds of the exact answers."""
     return I.recall(_indexed(spark, folder), _nearest(spark, folder, 10))
+
+
+_HIT_PATTERNS = "list_filter([" + ", ".join(f"case when contains(coalesce(content, ''), '{a}') or contains(coalesce(content, ''), '{b}') then '{n}' end" for n, a, b in (("Singleton", "getInstance", "singleton"), ("Factory", "factory", "create"), ("Observer", "observer", "subscribe"), ("Strategy", "strategy", "algorithm"), ("Decorator", "decorator", "wrapper"))) + "], lambda x: x is not null)"
+_LAYER = "case when contains(lower(file_path), 'controller') or contains(lower(file_path), 'api') or contains(lower(file_path), 'route') then 'presentation' when contains(lower(file_path), 'service') or contains(lower(file_path), 'business') or contains(lower(file_path), 'logic') then 'business' when contains(lower(file_path), 'repository') or contains(lower(file_path), 'dao') or contains(lower(file_path), 'database') then 'data' when contains(lower(file_path), 'model') or contains(lower(file_path), 'entity') then 'domain' when contains(lower(file_path), 'util') or contains(lower(file_path), 'helper') then 'utility' when contains(lower(file_path), 'config') or contains(lower(file_path), 'setting') then 'configuration' else 'unknown' end"
+
+
+@query(f"""{_H}, p as (select query_id, count(distinct x) n from (select query_id, unnest({_HIT_PATTERNS}) x from h) group by 1)
+select h.query_id, round((count(distinct file_path) / count(*) + least(1.0, coalesce(max(p.n), 0) / 5) + least(1.0, count(distinct {_LAYER}) / 3)) / 3, 6)::double diversity from h left join p on h.query_id is not distinct from p.query_id group by 1""")
+def v21_diversity(spark: SparkSession, folder: str) -> DataFrame:
+    """How varied the hits of a query are, by files, patterns and layers."""
+    h = hits(spark, folder).select("query_id", "file_path", C.layer("file_path").alias("layer"), C.hit_patterns(F.coalesce("content", F.lit(""))).alias("patterns"))
+    by = h.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("files"), F.count_distinct("layer").alias("layers"))
+    found = h.select("query_id", F.explode("patterns").alias("p")).distinct().groupBy("query_id").agg(F.count("*").alias("patterns"))
+    both = by.join(found.withColumnRenamed("query_id", "q"), F.col("query_id").eqNullSafe(F.col("q")), "left")
+    mean = (F.col("files") / F.col("n") + F.least(F.lit(1.0), F.coalesce("patterns", F.lit(0)) / 5) + F.least(F.lit(1.0), F.col("layers") / 3)) / 3
+    return both.select("query_id", F.round(mean, 6).alias("diversity"))
+
+
+@query(f"""with top as ({SQL["v5_search"]}), r as (select hit_id, score, row_number() over (partition by hit_id order by received_at desc nulls last) d from search_results), a as (select query_id, min(coalesce(original_query, '')) q from search_queries group by 1), i as (select query_id, {_INTENT} intent from a)
+select top.query_id, top.hit_id, 'This result ranks #' || place || ' with ' || case when score > 0.8 then 'high' when score > 0.6 then 'good' else 'moderate' end || ' semantic similarity to your query. ' || case coalesce(intent, 'find_implementation') when 'find_examples' then 'It appears to be a good example implementation' when 'debug_issue' then 'It contains relevant error handling or debugging code'
+  when 'find_patterns' then 'It demonstrates relevant design patterns' when 'analyze_quality' then 'It provides code suitable for quality analysis' else 'It contains relevant implementation code' end || '.' reason, round(greatest(0.0, 1 - (place - 1) / 20), 6)::double by_rank from top join r on r.hit_id = top.hit_id and d = 1 left join i on top.query_id = i.query_id""")
+def v22_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Why each of the twenty hits of a query ranks where it does."""
+    top = two_rounds(hits(spark, folder).select("query_id", "snapshot_id", "file_path", "hit_id", "score"), ["query_id"], ["snapshot_id", "file_path"], "score", ["hit_id"], 20, 3)
+    intents = asked(spark, folder).groupBy("query_id").agg(F.min(F.struct("q", "intent")).alias("x")).select("query_id", F.col("x.intent").alias("intent"))
+    return top.join(small(intents), "query_id", "left").select("query_id", "hit_id", R.reason(F.col("place"), F.col("score"), F.coalesce("intent", F.lit("find_implementation"))).alias("reason"), F.round(F.greatest(F.lit(0.0), 1 - (F.col("place") - 1) / 20), 6).alias("by_rank"))
