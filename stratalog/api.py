@@ -269,9 +269,16 @@ class Service:
         edges = graph.call_edges(self._chunks).unionByName(graph.inherit_edges(self._chunks))
         return graph.reach(edges, depth).filter(F.col("src") == chunk_id)
 
-    def batch_analyze(self, operations: DataFrame) -> DataFrame:
-        """(id, chunk_id, status, error) of operations (id, chunk_id) in one job: one that names no chunk fails alone."""
-        known = self._chunks.select("chunk_id", F.lit(True).alias("known"))
-        both = operations.join(known, "chunk_id", "left")
+    def batch_analyze(self, operations: DataFrame, all_or_none: bool = False) -> DataFrame:
+        """(id, chunk_id, status, error, code, again, kind, complexity, maintainability, patterns, smells, concerns) of
+        operations (id, chunk_id) in one job: the analysis of each chunk; one that names no chunk fails alone, or,
+        with ``all_or_none``, all with it: the others are skipped."""
+        done = self.analyze_chunk().drop("lines").withColumn("known", F.lit(True))
+        both = operations.select("id", "chunk_id").join(done, "chunk_id", "left")
         error = F.when(F.col("known").isNull(), F.concat(F.lit("chunk not found: "), F.coalesce("chunk_id", F.lit("null"))))
-        return both.select("id", "chunk_id", F.when(error.isNull(), "done").otherwise("failed").alias("status"), error.alias("error"), F.when(error.isNotNull(), error_code(error)).alias("code"), F.when(error.isNotNull(), retryable(error)).alias("again"))
+        status = F.when(error.isNull(), "done").otherwise("failed")
+        results = ("kind", "complexity", "maintainability", "patterns", "smells", "concerns")
+        out = both.select("id", "chunk_id", status.alias("status"), error.alias("error"), F.when(error.isNotNull(), error_code(error)).alias("code"), F.when(error.isNotNull(), retryable(error)).alias("again"), *results)
+        if all_or_none and not out.filter("status = 'failed'").isEmpty():
+            out = out.withColumn("status", F.when(F.col("status") == "done", "skipped").otherwise(F.col("status"))).withColumns({c: F.lit(None).cast(out.schema[c].dataType) for c in results})
+        return out

@@ -203,13 +203,27 @@ def _base(text: str, lang: str, size: int, overlap: int) -> list[Node]:
 
 def _semantic(text: str, lang: str, size: int, overlap: int) -> list[Node]:
     """One chunk to a top declaration, cut at ``size`` lines; without any, blocks."""
+    return [n for n in _complete(text, lang, size, overlap) if n.kind != "code"]
+
+
+def _complete(text: str, lang: str, size: int, overlap: int) -> list[Node]:
+    """One chunk to a top declaration, and one to what lies between two, all cut at ``size`` lines, so that no text is
+    lost; without a declaration, blocks."""
     found = [n for n in nodes(text, lang) if n.level == 0]
     if not found:
         return _blocks(text, BLOCK_SEMANTIC)
-    out = []
-    for n in found:
-        for a in range(n.start, n.end + 1, size):
-            out.append(Node(n.kind, n.name, a, min(n.end, a + size - 1)))
+    rows, out, at = text.split("\n"), [], 0
+
+    def cut(kind: str, name: str, first: int, last: int) -> None:
+        out.extend(Node(kind, name, a, min(last, a + size - 1)) for a in range(first, last + 1, size))
+
+    for n in [*found, None]:
+        until = n.start if n else len(rows)
+        if any(r.strip() for r in rows[at:until]):
+            cut("code", "", at, until - 1)
+        if n:
+            cut(n.kind, n.name, n.start, n.end)
+            at = max(at, n.end + 1)
     return out
 
 
@@ -229,12 +243,16 @@ def _context(text: str, lang: str, size: int, overlap: int) -> list[Node]:
     out = []
     for i, n in enumerate(found):
         before = after = 0
-        for j, m in enumerate(found):
-            if i != j and (m.name in used[i] or n.name in used[j]):
-                if m.end < n.start and n.start - m.end < 20:
-                    before = max(before, min(8, (n.start - m.end) // 2))
-                elif m.start > n.end and m.start - n.end < 20:
-                    after = max(after, min(8, (m.start - n.end) // 2))
+        for step in (-1, 1):  # declarations lie in order, so those too far off are not looked at
+            j = i + step
+            while 0 <= j < len(found) and (n.start - found[j].end if step < 0 else found[j].start - n.end) < 20:
+                m = found[j]
+                if m.name in used[i] or n.name in used[j]:
+                    if m.end < n.start:
+                        before = max(before, min(8, (n.start - m.end) // 2))
+                    elif m.start > n.end:
+                        after = max(after, min(8, (m.start - n.end) // 2))
+                j += step
         out.append(Node(n.kind, n.name, max(0, n.start - before), min(len(rows) - 1, n.end + after)))
     return out
 
@@ -246,7 +264,7 @@ def _blocks(text: str, size: int) -> list[Node]:
 
 Strategy = Callable[[str, str, int, int], list[Node]]
 #: Strategies by name. A strategy of one's own is added here.
-STRATEGIES: dict[str, Strategy] = {"base": _base, "semantic": _semantic, "hierarchical": _hierarchical, "contextAware": _context}
+STRATEGIES: dict[str, Strategy] = {"base": _base, "semantic": _semantic, "semanticComplete": _complete, "hierarchical": _hierarchical, "contextAware": _context}
 ALIASES = {"context-aware": "contextAware", "context_aware": "contextAware"}
 
 

@@ -66,7 +66,8 @@ def c5_base(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def c11_semantic(spark: SparkSession, folder: str) -> DataFrame:
-    return K.chunked(files(spark, folder), "semantic")
+    """Declarations, and what lies between them."""
+    return K.chunked(files(spark, folder), "semanticComplete")
 
 
 @query()

@@ -216,6 +216,25 @@ def test_snapshots_taken(spark):
     assert {(r.path, r.change, r.content) for r in s.take_snapshot(turned, "s1", automatic=True).collect()} == {("a", "M", None), ("bin", "M", "text"), ("c", "A", "")}
 
 
+def test_semantic_chunks_keep_all_text():
+    text = "import a\n\nx = 1\n\n" + PYTHON + "\n\nif __name__:\n    main()\n"
+    rows = text.split("\n")
+    nodes = K.STRATEGIES["semanticComplete"](text, "python", 200, 0)
+    covered = {i for n in nodes for i in range(n.start, n.end + 1)}
+    assert all(i in covered for i, r in enumerate(rows) if r.strip()) and {n.kind for n in nodes} >= {"code", "function"}
+    assert [(n.start, n.end) for n in K.STRATEGIES["semantic"](text, "python", 200, 0)] == [(n.start, n.end) for n in nodes if n.kind != "code"]
+
+
+def test_batches_are_analysed(spark):
+    chunks = spark.createDataFrame([("c1", "s", "a.py", 0, 1, "def a():\n    return 1", "python", ["a"], [], 0.0)], "chunk_id string, snapshot_id string, path string, start_line int, end_line int, content string, lang string, symbols array<string>, imports array<string>, ratio double")
+    empty = spark.createDataFrame([], "snapshot_id string, workspace string, ts timestamp, received_at timestamp, is_selective boolean, selected_files array<string>"), spark.createDataFrame([], "snapshot_id string, path string, content string, diff string, base_snapshot_id string, deleted boolean, is_binary boolean, received_at timestamp")
+    s = api.Service(spark, *empty, chunks)
+    ops = spark.createDataFrame([(1, "c1"), (2, "no"), (3, None)], "id int, chunk_id string")
+    got = {r.id: r for r in s.batch_analyze(ops).collect()}
+    assert got[1].status == "done" and got[1].kind == "function" and got[1].complexity is not None and got[2].status == got[3].status == "failed" and got[2].kind is None
+    assert {r.id: r.status for r in s.batch_analyze(ops, all_or_none=True).collect()} == {1: "skipped", 2: "failed", 3: "failed"}
+
+
 def test_filters_are_counted_and_described():
     f = api.Filters(any_tags=["x"], since="2024-01-01", until="2024-02-01", pattern="")
     assert f.count() == 2 and f.toggle_favorite().count() == 3 and f.toggle_favorite().count() == 2
