@@ -32,3 +32,35 @@ def frequent(checked: DataFrame, most: int = 5) -> DataFrame:
     """The codes found most often."""
     codes = checked.select(F.explode(F.filter(F.split(F.concat_ws("|", "errors", "warnings"), r"\|"), lambda x: x != "")).alias("code"))
     return codes.groupBy("code").agg(F.count("*").alias("chunks")).orderBy(F.col("chunks").desc(), "code").limit(most)
+
+
+# What chunks and edges may be, and the bounds from which their measures are remarked on.
+TYPES = ("function", "class", "interface", "module", "config", "test", "documentation")
+LAYERS = ("presentation", "business", "data", "infrastructure", "domain", "utility", "configuration", "unknown")
+RELATIONS = ("calls", "imports", "extends", "implements", "uses", "depends_on", "similar_to", "tests", "contains")
+LARGE_CHARS, LARGE_LINES, COMPLEX, MAINTAINED, RISKY = 10_000, 500, 80, 20, 70
+
+
+def _scored(rows: DataFrame, keys: list[str], errors: list[tuple[str, Column]], warnings: list[tuple[str, Column]]) -> DataFrame:
+    named = lambda rules: F.array_compact(F.array(*[F.when(c, name) for name, c in rules]))
+    both = rows.select(*keys, named(errors).alias("e"), named(warnings).alias("w"))
+    return both.select(*keys, F.array_join("e", "|").alias("errors"), F.array_join("w", "|").alias("warnings"), F.greatest(F.lit(0), 100 - F.size("e") * ERROR - F.size("w") * WARNING).cast("long").alias("score"))
+
+
+def validated_measures(enriched: DataFrame) -> DataFrame:
+    """(chunk_id, errors, warnings, score) of enriched chunks: kinds, layers, lists and measures that can't be, and sizes,
+    complexity, maintainability and risks beyond their bounds. ``enriched`` has what ``functions.code.enriched`` adds,
+    and documentation, security_risk and performance_risk."""
+    out = lambda c, lo, hi: F.col(c).isNull() | (F.col(c) < lo) | (F.col(c) > hi)
+    errors = [("INVALID_SEMANTIC_TYPE", ~F.coalesce(F.col("kind").isin(*TYPES), F.lit(False))), ("INVALID_COMPLEXITY_SCORE", F.col("complexity").isNull() | (F.col("complexity") < 0)), ("INVALID_MAINTAINABILITY_INDEX", out("maintainability", 0, 100))]
+    errors += [(f"INVALID_{c.upper()}", F.col(c).isNull()) for c in ("dependencies", "patterns", "smells", "concerns", "frameworks")]
+    errors += [("INVALID_DOCUMENTATION_RATIO", out("documentation", 0, 1)), ("INVALID_QUALITY_SCORE", out("security_risk", 0, 100) | out("performance_risk", 0, 100)), ("INVALID_ARCHITECTURAL_LAYER", ~F.coalesce(F.col("layer").isin(*LAYERS), F.lit(False)))]
+    warnings = [("LARGE_CHUNK", F.length("content") > LARGE_CHARS), ("LARGE_LINE_RANGE", F.col("end_line") - F.col("start_line") > LARGE_LINES), ("HIGH_COMPLEXITY", F.col("complexity") > COMPLEX), ("LOW_MAINTAINABILITY", F.col("maintainability") < MAINTAINED), ("HIGH_SECURITY_RISK", F.col("security_risk") > RISKY), ("HIGH_PERFORMANCE_RISK", F.col("performance_risk") > RISKY)]
+    return _scored(enriched, ["chunk_id"], errors, warnings)
+
+
+def validated_edges(edges: DataFrame) -> DataFrame:
+    """(src, dst, errors, warnings, score) of edges (src, dst, rel, strength, confidence)."""
+    share = lambda c: F.col(c).isNull() | (F.col(c) < 0) | (F.col(c) > 1)
+    errors = [("INVALID_RELATIONSHIP_TYPE", ~F.coalesce(F.col("rel").isin(*RELATIONS), F.lit(False))), ("MISSING_TARGET_CHUNK_ID", F.coalesce(F.length(F.trim("dst")), F.lit(0)) == 0), ("INVALID_RELATIONSHIP_STRENGTH", share("strength")), ("INVALID_RELATIONSHIP_CONFIDENCE", share("confidence"))]
+    return _scored(edges, ["src", "dst"], errors, [("SELF_REFERENCE", F.col("src") == F.col("dst"))])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog.functions import code as C
 from stratalog.functions.code import semantic_type
 from stratalog.operators import graph as G
 from stratalog.operators import links as K
@@ -173,3 +174,19 @@ def g7_file_graph(spark: SparkSession, folder: str) -> DataFrame:
 def g6_nesting(spark: SparkSession, folder: str) -> DataFrame:
     """Edges between declarations and those that hold them, in every file."""
     return K.nested(chunked(files(spark, folder), "hierarchical"))
+
+
+@query("with " + ", ".join(f"x{i} as ({FEATURES[n]})" for i, n in enumerate(("f4_complexity", "f10_maintainability", "f23_context_concerns", "f16_slow_code"))) + """, c as (select distinct chunk_id, start_line, end_line, content from code_chunks where content is not null),
+  v as (select c.chunk_id, list_filter([case when length(content) > 10000 then 'LARGE_CHUNK' end, case when end_line - start_line > 500 then 'LARGE_LINE_RANGE' end, case when complexity > 80 then 'HIGH_COMPLEXITY' end, case when maintainability < 20 then 'LOW_MAINTAINABILITY' end, case when x2.risk > 70 then 'HIGH_SECURITY_RISK' end, case when x3.risk > 70 then 'HIGH_PERFORMANCE_RISK' end], lambda x: x is not null) w
+    from c join x0 using (chunk_id) join x1 using (chunk_id) join x2 using (chunk_id) join x3 using (chunk_id))
+select chunk_id, '' errors, array_to_string(w, '|') warnings, greatest(0, 100 - len(w) * 2)::bigint score from v""")
+def val1_measures(spark: SparkSession, folder: str) -> DataFrame:
+    """Checks of what is measured of each chunk; what is computed here has no errors, only warnings."""
+    c = chunks(spark, folder)
+    risks = {"documentation": C.documentation_ratio("content"), "security_risk": F.least(F.lit(100), F.size(C.context_concerns("content", "lang")) * 25), "performance_risk": C.slow_risk("content", "lang")}
+    return V.validated_measures(C.enriched(c).withColumns(risks))
+
+
+@query(f"{_N} select src, dst, '' errors, '' warnings, 100::bigint score from ({_CALLS})")
+def val1_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return V.validated_edges(G.call_edges(chunks(spark, folder)))

@@ -76,3 +76,17 @@ def test_nesting_and_graph_of_a_file(spark):
     c = spark.createDataFrame(rows, "chunk_id string, snapshot_id string, path string, start_line int, content string, symbols array<string>, imports array<string>")
     got = {(r.src, r.dst): (r.rel, round(r.strength, 6)) for r in L.file_graph(c).collect()}
     assert got == {("a", "b"): ("calls", 0.88), ("a", "c"): ("extends", 0.5), ("b", "a"): ("uses", 0.18)}
+
+
+def test_checks_of_edges_and_measures(spark):
+    from stratalog.operators import validation as V
+
+    edges = spark.createDataFrame([("a", "b", "calls", 0.5, 0.7), ("a", "", "likes", 1.5, None), ("a", "a", "uses", 0.0, 1.0)], "src string, dst string, rel string, strength double, confidence double")
+    got = {r.dst: (r.errors, r.warnings, r.score) for r in V.validated_edges(edges).collect()}
+    assert got["b"] == ("", "", 100) and got["a"] == ("", "SELF_REFERENCE", 98)
+    assert got[""] == ("INVALID_RELATIONSHIP_TYPE|MISSING_TARGET_CHUNK_ID|INVALID_RELATIONSHIP_STRENGTH|INVALID_RELATIONSHIP_CONFIDENCE", "", 60)
+    schema = "chunk_id string, start_line int, end_line int, content string, kind string, complexity double, maintainability long, dependencies array<string>, patterns array<string>, smells array<string>, concerns array<string>, frameworks array<string>, documentation double, security_risk int, performance_risk int, layer string"
+    rows = [("ok", 0, 1, "x", "class", 3.0, 90, [], [], [], [], [], 0.1, 0, 0, "data"), ("bad", 0, 900, "x" * 10_001, "thing", 90.0, 10, None, [], [], [], [], 2.0, 75, 80, None)]
+    got = {r.chunk_id: r for r in V.validated_measures(spark.createDataFrame(rows, schema)).collect()}
+    assert got["ok"].score == 100 and got["bad"].errors == "INVALID_SEMANTIC_TYPE|INVALID_DEPENDENCIES|INVALID_DOCUMENTATION_RATIO|INVALID_ARCHITECTURAL_LAYER"
+    assert got["bad"].warnings == "LARGE_CHUNK|LARGE_LINE_RANGE|HIGH_COMPLEXITY|LOW_MAINTAINABILITY|HIGH_SECURITY_RISK|HIGH_PERFORMANCE_RISK"
