@@ -13,7 +13,15 @@ query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
 _A = "with a as (select distinct query_id, coalesce(original_query, '') q, coalesce(search_mode, '') mode, result_limit, max_results_per_file from search_queries)"
-_INTENT = "case " + " ".join("when " + " or ".join(f"regexp_matches(lower(q), '{p}')" for p in ps) + f" then '{n}'" for n, (_, ps) in Q.INTENTS.items()) + f" else '{Q.DEFAULT}' end"
+_INTENT = r"""case
+  when regexp_matches(lower(q), '\b(how to|example|sample|demo|tutorial|guide|show me)\b') or regexp_matches(lower(q), '\b(examples? of|samples? of|demos? of)\b') then 'find_examples'
+  when regexp_matches(lower(q), '\b(error|bug|issue|problem|fix|debug|troubleshoot|broken)\b') or regexp_matches(lower(q), '\b(not working|fails?|crash|exception)\b') then 'debug_issue'
+  when regexp_matches(lower(q), '\b(similar|like|equivalent|alternative|comparable)\b') or regexp_matches(lower(q), '\b(same as|looks like|works like)\b') then 'find_similar'
+  when regexp_matches(lower(q), '\b(pattern|design pattern|architecture|architectural pattern)\b') or regexp_matches(lower(q), '\b(singleton|factory|observer|strategy|decorator)\b') or regexp_matches(lower(q), '\b(patterns? in|patterns? used)\b') then 'find_patterns'
+  when regexp_matches(lower(q), '\b(usage|used|call|invoke|reference|depend|import)\b') or regexp_matches(lower(q), '\b(where.*used|how.*used|who.*uses)\b') or regexp_matches(lower(q), '\b(usage of|references to)\b') then 'find_usage'
+  when regexp_matches(lower(q), '\b(quality|performance|optimize|improve|refactor|clean)\b') or regexp_matches(lower(q), '\b(best practice|code smell|maintainability|analyze)\b') then 'analyze_quality'
+  when regexp_matches(lower(q), '\b(what does|how does|behavior|functionality|logic)\b') or regexp_matches(lower(q), '\b(works by|operates|functions)\b') then 'understand_behavior'
+  else 'find_implementation' end"""
 _B = f"{_A}, b as (select *, {_INTENT} intent from a)"
 _WORDS = r"len(regexp_split_to_array(q, '\s+'))"
 
@@ -31,8 +39,21 @@ def q2_intent(spark: SparkSession, folder: str) -> DataFrame:
     return asked(spark, folder).select("query_id", "intent", Q.confidence("intent").alias("confidence"), Q.about_tests("q").alias("about_tests"))
 
 
-_ABSENT = lambda words, n: "list_filter([" + ", ".join(f"'{w}'" for w in words) + f"], lambda w: not contains(lower(q), w))[1:{n}]"
-_ADDED = "list_concat(case intent " + " ".join(f"when '{k}' then {_ABSENT(w, 2)}" for k, w in Q.TERMS.items()) + " end, list_concat(" + ", ".join(f"case when contains(lower(q), '{k}') then {_ABSENT(w, 1)} else [] end" for k, w in Q.CONTEXTS.items()) + "))"
+_ADDED = r"""list_concat(case intent
+  when 'find_implementation' then list_filter(['implementation', 'code', 'function', 'method', 'class'], lambda w: not contains(lower(q), w))[1:2]
+  when 'find_examples' then list_filter(['example', 'sample', 'demo', 'tutorial', 'usage'], lambda w: not contains(lower(q), w))[1:2]
+  when 'debug_issue' then list_filter(['error handling', 'exception', 'debugging', 'troubleshooting'], lambda w: not contains(lower(q), w))[1:2]
+  when 'find_patterns' then list_filter(['design pattern', 'architecture', 'structure', 'organization'], lambda w: not contains(lower(q), w))[1:2]
+  when 'find_usage' then list_filter(['usage', 'reference', 'dependency', 'import', 'call'], lambda w: not contains(lower(q), w))[1:2]
+  when 'find_similar' then list_filter(['similar', 'alternative', 'equivalent', 'comparable'], lambda w: not contains(lower(q), w))[1:2]
+  when 'analyze_quality' then list_filter(['quality', 'metrics', 'performance', 'maintainability'], lambda w: not contains(lower(q), w))[1:2]
+  when 'understand_behavior' then list_filter(['behavior', 'functionality', 'logic', 'algorithm'], lambda w: not contains(lower(q), w))[1:2] end, list_concat(case
+  when contains(lower(q), 'api') then list_filter(['endpoint', 'service', 'client', 'request', 'response'], lambda w: not contains(lower(q), w))[1:1] else [] end, case
+  when contains(lower(q), 'database') then list_filter(['query', 'schema', 'model', 'repository', 'orm'], lambda w: not contains(lower(q), w))[1:1] else [] end, case
+  when contains(lower(q), 'auth') then list_filter(['authentication', 'authorization', 'token', 'session', 'login'], lambda w: not contains(lower(q), w))[1:1] else [] end, case
+  when contains(lower(q), 'ui') then list_filter(['component', 'interface', 'view', 'render', 'display'], lambda w: not contains(lower(q), w))[1:1] else [] end, case
+  when contains(lower(q), 'test') then list_filter(['unit test', 'integration test', 'mock', 'assert', 'verify'], lambda w: not contains(lower(q), w))[1:1] else [] end, case
+  when contains(lower(q), 'config') then list_filter(['configuration', 'settings', 'environment', 'parameter'], lambda w: not contains(lower(q), w))[1:1] else [] end))"""
 
 
 @query(f"""{_B}, t as (select query_id, q, {_ADDED} terms from b), e as (select *, trim(q || ' ' || array_to_string(terms, ' ')) enhanced from t)
@@ -53,7 +74,7 @@ def q6_parts(spark: SparkSession, folder: str) -> DataFrame:
     return e.select("query_id", F.col("place").cast("long").alias("place"), "part", F.when(F.col("place") == 0, "high").otherwise("medium").alias("priority"))
 
 
-_VAGUE = "(" + " or ".join(f"contains(lower(q), '{w}')" for w in Q.AMBIGUOUS) + f") and {_WORDS} < 5"
+_VAGUE = r"""(contains(lower(q), 'it') or contains(lower(q), 'this') or contains(lower(q), 'that') or contains(lower(q), 'thing') or contains(lower(q), 'stuff') or contains(lower(q), 'code')) and len(regexp_split_to_array(q, '\s+')) < 5"""
 
 
 @query(f"""{_A} select query_id, array_to_string(list_filter([case when length(q) < 3 then 'too_narrow' end, case when length(q) > 200 then 'too_broad' end, case when {_VAGUE} then 'ambiguous' end], lambda x: x is not null), '|') issues, length(q) >= 3 valid,
