@@ -47,7 +47,7 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def staged_path(df: DataFrame, *partitions: str) -> str:
-    """The path of ``df`` written to the shared folder, for tasks that read it themselves."""
+    """The path of ``df`` written to the shared folder, for tasks that read it themselves by a file system of pyarrow."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stratalog-{uuid.uuid4().hex}"
     (df.write.partitionBy(*partitions) if partitions else df.write).parquet(path)
