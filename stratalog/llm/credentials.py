@@ -302,8 +302,11 @@ def find_credentials(snapshots: DataFrame, files: DataFrame, max_owners: int = P
     if not again:
         return named_.select(columns).distinct()
     values = good.filter(F.col("kind") != "block").select("value").distinct()
-    shards = max(1, -(-values.count() // RESCAN_VALUES))
-    path = staged_path(values.withColumn("shard", F.pmod(F.xxhash64("value"), F.lit(shards)).cast("int")), "shard")
+    n = values.count()
+    if not n:
+        return named_.select(columns).distinct()  # key blocks only
+    values = values.withColumn("shard", F.pmod(F.xxhash64("value"), F.lit(-(-n // RESCAN_VALUES))).cast("int"))
+    path, shards = staged_path(values, "shard"), [r.shard for r in values.select("shard").distinct().collect()]
     places = spread(texts(files)).mapInArrow(_search(path, shards), _FOUND).join(counts, ["snapshot_id", "path", "delivery"], "left_semi").join(small(owners(snapshots)), "snapshot_id", "left")
     places = staged(places)
     wide = found.select("value", "owner").unionByName(places.select("value", "owner")).distinct().groupBy("value").agg(F.count("*").alias("owners")).filter(F.col("owners") > max_owners)
@@ -313,50 +316,41 @@ def find_credentials(snapshots: DataFrame, files: DataFrame, max_owners: int = P
     return first.unionByName(fresh).distinct()
 
 
-def _search(path: str, shards: int):
+def _search(path: str, shards: list[int]):
     """Where the values of the table at ``path`` stand as whole words. One of fewer than 8 characters must stand in a
     string literal, and if it is one plain word or number that literal must be passed to a call like login. A task holds
-    some texts at a time and runs one automaton after the other over them."""
+    some texts at a time and runs one automaton after the other over them; a single one is kept."""
 
-    def machine(shard: int) -> ahocorasick.Automaton | None:
+    def machine(shard: int) -> ahocorasick.Automaton:
         out = ahocorasick.Automaton()
         for v in ds.dataset(f"{path}/shard={shard}", format="parquet").to_table(columns=["value"]).column(0).to_pylist():
             out.add_word(v, v)
         out.make_automaton()
-        return out if len(out) else None
+        return out
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = None
+        kept = machine(shards[0]) if len(shards) == 1 else None
         held: list[tuple] = []
         size = 0
         for batch in batches:
             for row in zip(*[batch.column(c).to_pylist() for c in ("snapshot_id", "path", "content", "delivery")], strict=True):
                 held.append(row)
                 size += len(row[2])
-            if size >= HELD or shards == 1:
-                if shards == 1 and only is None:
-                    only = [_machine(machine, 0)]
-                yield from search(held, only)
+            if kept or size >= HELD:
+                yield from search(held, kept)
                 held, size = [], 0
         if held:
-            yield from search(held, None)
+            yield from search(held, kept)
 
-    def search(held: list[tuple], only: list | None) -> Iterator[pa.RecordBatch]:
-        for auto in only or (_machine(machine, n) for n in range(shards)):
-            rows = [] if auto is None else [(sid, p, when, *x) for sid, p, text, when in held for x in _places(text, auto)]
+    def search(held: list[tuple], kept: ahocorasick.Automaton | None) -> Iterator[pa.RecordBatch]:
+        for auto in [kept] if kept else map(machine, shards):
+            rows = [(sid, p, when, *x) for sid, p, text, when in held for x in _places(text, auto)]
             if rows:
                 yield _batch(rows)
 
     return find
 
 
-def _machine(make, shard: int):
-    try:
-        return make(shard)
-    except FileNotFoundError:  # a shard without values has no folder
-        return None
-
-
 def _places(text: str, machine: ahocorasick.Automaton) -> Iterator[tuple]:
     for at, v in machine.iter(text):
         a, b = at - len(v) + 1, at + 1
