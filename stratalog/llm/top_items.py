@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,18 +43,23 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     me = TaskContext.get().partitionId()
-    last, n = None, 0
+    last, n = None, 0  # the group that the batch before ended in, and how many of its rows came
     for batch in batches:
-        keep = []
-        for i, (g, limit) in enumerate(zip(batch.column("__g").to_pylist(), batch.column("__limit").to_pylist(), strict=True)):
-            g = tuple(g.values())
-            if g != last:
-                last, n = g, 0
-            n += 1
-            if n <= limit:
-                keep.append(i)
-        out = batch.take(pa.array(keep, pa.int32()))
-        yield out.append_column("__run", pa.array([me] * len(keep), pa.int32()))
+        if not batch.num_rows:
+            continue
+        groups = batch.column("__g")
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = False
+        for field in groups.flatten():
+            codes = field.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        starts = np.flatnonzero(new)
+        place = np.arange(batch.num_rows) - starts[np.cumsum(new) - 1]
+        if groups[0].as_py() == last:
+            place[: starts[1] if len(starts) > 1 else None] += n
+        last, n = groups[-1].as_py(), int(place[-1]) + 1
+        out = batch.take(pa.array(np.flatnonzero(place < batch.column("__limit").to_numpy())))
+        yield out.append_column("__run", pa.array(np.full(out.num_rows, me, np.int32)))
 
 
 class LoserTree:
