@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.components import components
-from stratalog.session import staged
+from stratalog.session import dropped, staged
 from stratalog.sources.tables import spread
 
 _WORD = re.compile(r"[a-z0-9_]+")
@@ -77,7 +77,9 @@ def near_duplicates(docs: DataFrame, member: DataFrame, group: str, text: str, w
     """(group, id, class_id, links): of each of the ``members`` the class of texts linked to its own, directly or by
     others, and the number of different texts its own text is linked to. A text linked to none, a null or a short one
     is a class of its own. Copies have one class."""
-    pairs = staged(near_pairs(docs, group, text, words, threshold, min_words))
+    near = near_pairs(docs, group, text, words, threshold, min_words)
+    pairs = staged(near)
+    dropped(near)  # the sets sent to leaders
     both = pairs.select(F.col("key_a").alias("k")).unionAll(pairs.select(F.col("key_b").alias("k")))
     links = both.groupBy("k").agg(F.count("*").alias("links"))
     classes = components(pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))).withColumnRenamed("node", "k")

@@ -15,7 +15,7 @@ from stratalog.llm.residue import residue
 from stratalog.llm.splitting import oversized, split_oversized
 from stratalog.llm.top_items import top_items
 from stratalog.operators.file_states import resolved_entries
-from stratalog.session import staged
+from stratalog.session import dropped, staged
 from stratalog.sources.tables import clean_path, newest, small, table
 
 
@@ -38,7 +38,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of chunks, and of full texts of files, that are largely the same or copies of one text."""
     docs, member = _units(spark, folder)
     member = staged(member.distinct())
-    edited = expand_pairs(staged(near_pairs(docs, "unit", "content", **_EDITED)), member)
+    pairs = near_pairs(docs, "unit", "content", **_EDITED)
+    found = staged(pairs)
+    dropped(pairs)  # the sets sent to leaders
+    edited = expand_pairs(found, member)
     return edited.unionByName(copy_pairs(member)).withColumnRenamed("group", "unit")
 
 
