@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 from itertools import pairwise
 from math import ceil
 
@@ -21,8 +22,8 @@ from stratalog.sources.tables import spread
 _WORD = re.compile(r"[a-z0-9_]+")
 _LOW = np.uint64((1 << 48) - 1)
 #: Texts whose n-grams are packed at once, members of a group that one task joins, words kept by name in a task, copies
-#: of a text that meet in one part.
-BATCH, BLOCK, CACHE, COPIES = 4096, 1500, 1_000_000, 2000
+#: of a text that meet in one part, hash ranges up to which all are counted in one pass over the texts.
+BATCH, BLOCK, CACHE, COPIES, AT_ONCE = 4096, 1500, 1_000_000, 2000, 64
 
 
 def text_key(group: str, text: str):
@@ -39,29 +40,50 @@ def near_pairs(docs: DataFrame, group: str, text: str, words: int = 5, threshold
 
     1. Every task packs the n-grams of its texts by hash range into a few large rows.
     2. Each range counts in how many texts each n-gram is. The global order is by that count, the rare first. An n-gram
-       of one text tells nothing and goes no further; for the others the least key of their texts is their leader.
-    3. Each text puts its n-grams in order. Two similar texts share an n-gram among the first n - ceil(t n) + 1 of each,
-       so they meet at its leader: the text is sent once to each leader of its prefix. Texts too little of which
-       is shared with others drop out.
-    4. The texts of a leader are joined in a prefix tree, the frequent n-grams first, so that overlaps shared by many
-       texts are counted once; subtrees are left when the lengths that remain can't give the overlap needed.
+       of one text tells nothing and goes no further. With more than AT_ONCE ranges this is done for one half of them
+       after the other: a pass more over the texts, so that half as much lies on disk at once.
+    3. Each text puts its n-grams in order, and the set is kept once. Texts too little of which is shared with others drop out.
+    4. Two similar texts share an n-gram among the first n - ceil(t n) + 1 of each. Only the key of a text, its size and
+       how much is left of it go to each n-gram of its prefix. There a text stays if another one of it is such that their sizes
+       and what is left of both allow the similarity; those that stay are sent to the least key of them, their leader.
+    5. The texts of a leader, now with their sets, are joined in a prefix tree, the frequent n-grams first, so that overlaps
+       shared by many texts are counted once; subtrees are left when the lengths that remain can't give the overlap needed.
        Leaders with more than BLOCK texts are split into pairs of blocks.
-    No candidate is dropped on the way. N-grams are known by 48 bits and those of their range, 64 at most.
+    No similar pair is dropped on the way. N-grams are known by 48 bits and those of their range, 64 at most.
     """
     ranges = _ranges(docs)
     keyed = docs.filter(F.col(text).isNotNull()).select(F.col(group).alias("g"), text_key(group, text).alias("k"), F.col(text).alias("t"))
-    packed = spread(keyed).mapInArrow(_pack(words, min_words, ranges), "part int, grams binary, at binary, keys binary, sizes binary")
-    counted = packed.repartition("part").sortWithinPartitions("part").mapInArrow(_grouped(_count(ranges)), "part int, keys binary, sizes binary, grams binary, df binary, leaders binary")
-    sent = staged(counted.repartition("part").sortWithinPartitions("part").mapInArrow(_grouped(_prefixes(threshold)), "leader long, key long, size int, grams binary"))
-    sizes = sent.groupBy("leader").agg(F.count("*").alias("n")).filter("n > 1")
+    step = ranges if ranges <= AT_ONCE else ranges // 2
+    counted = [_counted(keyed, words, min_words, ranges, lo, lo + step) for lo in range(0, ranges, step)]
+    halves = [_sets(counted, threshold, lo, lo + step) for lo in range(0, ranges, step)]
+    for x in counted:
+        dropped(x)
+    sets = reduce(DataFrame.unionByName, halves)
+    thin = sets.mapInArrow(_firsts(threshold), "gram long, key long, size int, left int")
+    sent = staged(thin.repartition("gram").sortWithinPartitions("gram").mapInArrow(_meeting(threshold), "leader long, key long").distinct())
+    sizes = sent.groupBy("leader").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("key"), F.col("k"))
     placed = sent.join(sizes, "leader").withColumn("k", blocks).withColumn("b", F.when(F.col("k") == 1, F.lit(0)).otherwise(own).cast("int"))
-    placed = placed.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("leader", F.least("b", "c").alias("lo"), F.greatest("b", "c").alias("hi"), "b", "key", "size", "grams")
+    placed = placed.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("leader", F.least("b", "c").alias("lo"), F.greatest("b", "c").alias("hi"), "b", "key")
+    placed = placed.join(sets, "key").select("leader", "lo", "hi", "b", "key", "size", "grams")
     joined = placed.repartition("leader", "lo", "hi").sortWithinPartitions("leader", "lo", "hi", "size", "key").mapInArrow(_joined(threshold), "key_a long, key_b long, common int, size_a int, size_b int")
     return joined.distinct()
 
 
+def _counted(keyed: DataFrame, words: int, min_words: int, ranges: int, lo: int, hi: int) -> DataFrame:
+    """The n-grams of the ranges from ``lo`` to ``hi`` that texts share, by part of the texts, and with the first of them
+    the sizes of all texts."""
+    packed = spread(keyed).mapInArrow(_pack(words, min_words, ranges, lo, hi), "part int, grams binary, counts binary, keys binary, sizes binary")
+    return staged(packed.repartition("part").sortWithinPartitions("part").mapInArrow(_grouped(_count(ranges)), "part int, range int, keys binary, grams binary, df binary, sizes binary"))
+
+
+def _sets(counted: list[DataFrame], threshold: float, lo: int, hi: int) -> DataFrame:
+    """(key, size, grams): the texts of the parts from ``lo`` to ``hi`` that share enough, with all n-grams they share."""
+    own = reduce(DataFrame.unionByName, counted).filter((F.col("part") >= lo) & (F.col("part") < hi))
+    return staged(own.repartition("part").sortWithinPartitions("part").mapInArrow(_grouped(_ordered(threshold)), "key long, size int, grams binary"))
+
+
 def long_enough(text: str, min_words: int):
     """Whether a text has ``min_words`` words, so that it can be in pairs."""
     return F.regexp_count(F.lower(text), F.lit(_WORD.pattern)) >= min_words
@@ -79,7 +101,7 @@ def near_duplicates(docs: DataFrame, member: DataFrame, group: str, text: str, w
     is a class of its own. Copies have one class."""
     near = near_pairs(docs, group, text, words, threshold, min_words)
     pairs = staged(near)
-    dropped(near)  # the sets sent to leaders
+    dropped(near)  # the sets
     both = pairs.select(F.col("key_a").alias("k")).unionAll(pairs.select(F.col("key_b").alias("k")))
     links = both.groupBy("k").agg(F.count("*").alias("links"))
     classes = components(pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))).withColumnRenamed("node", "k")
@@ -160,7 +182,7 @@ def _grams(groups: list[str], contents: list[str], names: _Names, words: int, mi
     return h[new], owner[new]
 
 
-def _pack(words: int, min_words: int, ranges: int):
+def _pack(words: int, min_words: int, ranges: int, lo: int, hi: int):
     bits = ranges.bit_length() - 1
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,20 +206,53 @@ def _pack(words: int, min_words: int, ranges: int):
         h, owner = _grams(groups, contents, names, words, min_words)
         if not len(h):
             return
-        n = np.bincount(owner, minlength=len(keys)).astype(np.int32)
         k = np.array(keys, np.int64)
+        if not lo:
+            n = np.bincount(owner, minlength=len(keys)).astype(np.int32)
+            order = np.flatnonzero(n)[np.argsort(k[n > 0])]
+            yield _rows([(ranges + to, b"", b"", k[order[a:b]].tobytes(), n[order[a:b]].tobytes()) for to, a, b in _parts(k[order], bits)], _PACKED, _PACKED_NAMES)
         part = (h >> np.uint64(64 - bits)).astype(np.int64)
-        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        inside = slice(*np.searchsorted(part, (lo, hi)))
+        h, owner, part = h[inside], owner[inside], part[inside]
+        order = np.argsort(part * len(keys) + owner, kind="stable")
+        h, owner = h[order], owner[order]
+        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
         low = (h & _LOW).view(np.uint8).reshape(-1, 8)[:, :6]
         rows = []
         for a, b in pairwise(edges.tolist()):
-            used, at = np.unique(owner[a:b], return_inverse=True)
-            rows.append((int(part[a]), low[a:b].tobytes(), at.astype(np.uint16).tobytes(), k[used].tobytes(), n[used].tobytes()))
-        yield _rows(rows, (pa.int32(), *[pa.binary()] * 4), ("part", "grams", "at", "keys", "sizes"))
+            first = np.flatnonzero(np.r_[True, owner[a + 1 : b] != owner[a : b - 1], True])
+            rows.append((int(part[a]), low[a:b].tobytes(), np.diff(first).astype(np.uint32).tobytes(), k[owner[a:b][first[:-1]]].tobytes(), b""))
+        if rows:
+            yield _rows(rows, _PACKED, _PACKED_NAMES)
 
     return pack
 
 
+_PACKED, _PACKED_NAMES = (pa.int32(), *[pa.binary()] * 4), ("part", "grams", "counts", "keys", "sizes")
+_COUNTED, _COUNTED_NAMES = (pa.int32(), pa.int32(), *[pa.binary()] * 4), ("part", "range", "keys", "grams", "df", "sizes")
+
+
+def _parts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(part, from, to) of the stretches of ascending keys that have the same first ``bits``. Keys are sorted as signed
+    numbers; parts of the negative ones come first, each part is still one stretch."""
+    to = (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    edges = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]) if len(to) else np.zeros(1, np.int64)
+    for a, b in pairwise(edges.tolist()):
+        yield int(to[a]), a, b
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    """N-grams of 48 bits as numbers."""
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def _scaled(df: np.ndarray) -> np.ndarray:
+    """Counts in a byte, in the same order: exact below 192, then four steps to a doubling."""
+    return np.where(df < 192, df, 192 + np.minimum(63, 4 * np.log2(np.maximum(df, 192) / 192))).astype(np.uint8)
+
+
 def _rows(rows: list[tuple], types: tuple, names: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
 
@@ -224,71 +279,135 @@ def _count(ranges: int):
     bits = ranges.bit_length() - 1
 
     def count(part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        grams, keys, sizes = [], [], []
+        if part >= ranges:
+            k, n = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("keys", np.int64), ("sizes", np.int32)))
+            k, first = np.unique(k, return_index=True)
+            yield _rows([(part - ranges, -1, k.tobytes(), b"", b"", n[first].tobytes())], _COUNTED, _COUNTED_NAMES)
+            return
+        grams, keys = [], []
         while rows:  # a row is let go when it has been taken over
             r = rows.pop()
-            raw = np.frombuffer(r["grams"], np.uint8).reshape(-1, 6)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :6] = raw
-            at = np.frombuffer(r["at"], np.uint16)
-            grams.append(wide.view(np.uint64).ravel())
-            keys.append(np.frombuffer(r["keys"], np.int64)[at])
-            sizes.append(np.frombuffer(r["sizes"], np.int32)[at])
-        g, k, n = np.concatenate(grams), np.concatenate(keys), np.concatenate(sizes)
+            grams.append(_wide(r["grams"]))
+            keys.append(np.repeat(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["counts"], np.uint32)))
+        g, k = np.concatenate(grams), np.concatenate(keys)
         order = np.lexsort((k, g))
-        g, k, n = g[order], k[order], n[order]
+        g, k = g[order], k[order]
         new = np.ones(len(g), bool)
         new[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])  # copies of a text
-        g, k, n = g[new], k[new], n[new]
-        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-        df = np.diff(np.r_[first, len(g)])
-        shared = np.repeat(df >= 2, df)
-        leaders, df = np.repeat(k[first], df)[shared], np.repeat(df, df)[shared].astype(np.int32)
-        g, k, n = g[shared] | np.uint64((part & 0xFFFF) << 48), k[shared], n[shared]
+        g, k = g[new], k[new]
+        df = np.diff(np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)])
+        df = np.repeat(df, df)
+        g, k, df = g[df >= 2], k[df >= 2], _scaled(df[df >= 2])
         order = np.argsort(k, kind="stable")
-        g, k, n, df, leaders = g[order], k[order], n[order], df[order], leaders[order]
-        to = (k.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-        # keys are sorted as signed numbers; parts of the negative ones come first, each part is still one stretch
-        edges = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]) if len(to) else np.zeros(1, np.int64)
-        out = [(int(to[a]), *(x[a:b].tobytes() for x in (k, n, g, df, leaders))) for a, b in pairwise(edges.tolist())]
+        g, k, df = g[order], k[order], df[order]
+        low = g.view(np.uint8).reshape(-1, 8)[:, :6]
+        out = [(to, part, k[a:b].tobytes(), low[a:b].tobytes(), df[a:b].tobytes(), b"") for to, a, b in _parts(k, bits)]
         if out:
-            yield _rows(out, (pa.int32(), *[pa.binary()] * 5), ("part", "keys", "sizes", "grams", "df", "leaders"))
+            yield _rows(out, _COUNTED, _COUNTED_NAMES)
 
     return count
 
 
-def needed(size: int, threshold: float) -> int:
-    """Least n-grams that a set of ``size`` must share with a similar one."""
-    return ceil(threshold * size - 1e-9)
+def needed(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Least n-grams that sets of such ``sizes`` must share with a similar one."""
+    return np.ceil(threshold * sizes - 1e-9).astype(np.int64)
 
 
-def _prefixes(threshold: float):
-    def prefixes(part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        k, n, g, df, lead = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("keys", np.int64), ("sizes", np.int32), ("grams", np.uint64), ("df", np.int32), ("leaders", np.int64)))
+def _ordered(threshold: float):
+    def ordered(part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        texts, shares = [r for r in rows if r["range"] < 0], [r for r in rows if r["range"] >= 0]
         rows.clear()
-        order = np.argsort(k, kind="stable")
-        k = k[order]
+        if not shares:
+            return
+        known, n = (np.concatenate([np.frombuffer(r[c], t) for r in texts]) for c, t in (("keys", np.int64), ("sizes", np.int32)))
+        k, df = (np.concatenate([np.frombuffer(r[c], t) for r in shares]) for c, t in (("keys", np.int64), ("df", np.uint8)))
+        g = np.concatenate([_wide(r["grams"]) | np.uint64((r["range"] & 0xFFFF) << 48) for r in shares])
+        shares.clear()
+        order = np.lexsort((g, df, k))
+        k, g = k[order], g[order]
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         shared = np.diff(np.r_[first, len(k)])
-        enough = shared >= np.ceil(threshold * n[order][first] - 1e-9)
+        by_key = np.argsort(known)
+        n = n[by_key[np.searchsorted(known, k[first], sorter=by_key)]]
+        enough = shared >= needed(n, threshold)
         out = []
-        for a, m in zip(first[enough].tolist(), shared[enough].tolist(), strict=True):
-            own = order[a : a + m]
-            own = own[np.lexsort((g[own], df[own]))]
-            size = int(n[own[0]])
-            prefix = size - needed(size, threshold) + 1 - (size - m)  # what only this text has comes first
-            tokens = g[own].tobytes()
-            out += [(int(x), int(k[a]), size, tokens) for x in np.unique(lead[own[: max(0, prefix)]])]
+        for a, m, size in zip(first[enough].tolist(), shared[enough].tolist(), n[enough].tolist(), strict=True):
+            out.append((int(k[a]), size, g[a : a + m].tobytes()))
             if len(out) > 2000:
-                yield _rows(out, _SENT, ("leader", "key", "size", "grams"))
+                yield _rows(out, _SET, ("key", "size", "grams"))
                 out = []
         if out:
-            yield _rows(out, _SENT, ("leader", "key", "size", "grams"))
+            yield _rows(out, _SET, ("key", "size", "grams"))
+
+    return ordered
+
 
-    return prefixes
+_SET = (pa.int64(), pa.int32(), pa.binary())
+
+
+def _firsts(threshold: float):
+    """The n-grams of each set's prefix: what only this text has would come first, so it is that much shorter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, n = (batch.column(c).to_numpy() for c in ("key", "size"))
+            sets = [np.frombuffer(x, np.int64) for x in batch.column("grams").to_pylist()]
+            if not sets:
+                continue
+            m = np.array([len(x) for x in sets])
+            prefix = m - needed(n, threshold) + 1
+            at = np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+            grams = np.concatenate([x[:p] for x, p in zip(sets, prefix.tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.repeat(k, prefix)), pa.array(np.repeat(n, prefix)), pa.array((np.repeat(m, prefix) - at).astype(np.int32))], ["gram", "key", "size", "left"])
+
+    return run
+
+
+def _meeting(threshold: float):
+    """(leader, key) of the texts at each n-gram, of rows sorted by it, that some other one there can be similar to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # the rows of the n-gram that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(c).to_numpy() for c in ("gram", "key", "size", "left")]
+            cut = int(np.searchsorted(new[0], new[0][-1]))
+            if held and (cut or held[0][0][0] != new[0][0]):
+                yield meet([*held, [x[:cut] for x in new]])
+                held = []
+            elif cut:
+                yield meet([[x[:cut] for x in new]])
+            held.append([x[cut:] for x in new])
+        if held:
+            yield meet(held)
+
+    def meet(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
+        g, k, size, left = (np.concatenate(x) for x in zip(*rows, strict=True))
+        stay = possible(g, size, left, threshold)
+        g, k = g[stay], k[stay]
+        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
+        leaders = np.repeat(np.minimum.reduceat(k, first), np.diff(np.r_[first, len(g)])) if len(g) else k
+        return pa.RecordBatch.from_arrays([pa.array(leaders), pa.array(k)], ["leader", "key"])
+
+    return run
 
 
-_SENT = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+def possible(group: np.ndarray, size: np.ndarray, left: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows, sorted by group, have another one in their group that may be similar: the two have ``left`` in common at
+    most, the lesser of theirs, so neither size may be over the ``most`` that the other row allows."""
+    most = np.clip(np.floor((left * (1 + threshold) + 1e-6) / threshold).astype(np.int64) - size, 0, (1 << 31) - 1)
+    at = np.cumsum(np.r_[False, group[1:] != group[:-1]]) << 32  # groups in the upper half of a number
+    order = np.lexsort((size, at))
+    here, n, most = at[order], size[order].astype(np.int64), most[order]
+    # of the rows up to each one, by size, the largest and the second largest ``most``
+    top = np.maximum.accumulate(here + most)
+    second = np.maximum.accumulate(np.minimum(here + most, np.r_[-1, top[:-1]]))
+    last = np.searchsorted(here + n, here + most, side="right") - 1  # the last row that is not too large
+    best = np.where(most >= n, second[last], top[last])  # without the row itself, where it is among them
+    stay = np.empty(len(order), bool)
+    stay[order] = (last >= 0) & (best >= here + n)
+    return stay
 
 
 class Tree:

@@ -17,6 +17,9 @@ DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+#: Removes the shuffle files of a query when it has ended; else they lie until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
@@ -50,7 +53,12 @@ def staged_path(df: DataFrame, *partitions: str) -> str:
     """The path of ``df`` written to the shared folder, for tasks that read it themselves by a file system of pyarrow."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stratalog-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*partitions) if partitions else df.write).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # nothing reads the shuffles of this write again
+    try:
+        (df.write.partitionBy(*partitions) if partitions else df.write).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     atexit.register(_remove, spark, path)
     return path
 

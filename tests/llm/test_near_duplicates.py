@@ -1,5 +1,7 @@
+import os
 import random
 import re
+import time
 
 from stratalog.llm.components import components
 from stratalog.llm.near_duplicates import expand_pairs, members, near_duplicates, near_pairs
@@ -109,3 +111,48 @@ def test_pairs_of_copies(spark, monkeypatch):
     got = [(r["group"], r.id_a, r.id_b) for r in m.copy_pairs(member).collect()]
     assert len(got) == len(set(got)) == 23 * 22 // 2 + 1 and ("chunk", "c1", "c2") in got and all(a < b for _, a, b in got)
     assert m.copy_pairs(member.limit(0)).count() == 0
+
+
+def on_disk(spark, near):
+    """Bytes of the shuffle files that lie there, and of the tables that ``near`` is read from."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    left = 0
+    while files.hasNext():
+        f = files.next()
+        left += f.length() if f.getName().startswith("shuffle_") else 0
+    return left + sum(os.path.getsize(x.removeprefix("file:")) for x in near.inputFiles()) if near is not None else left
+
+
+def test_disk_with_many_ranges_and_grams_shared_by_chance(spark, monkeypatch):
+    import stratalog.llm.near_duplicates as m
+
+    rng = random.Random(3)
+    rows = [("file", f"d{i:04d}", " ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(60, 400)))) for i in range(1200)]
+    words = rows[0][2].split()
+    for at in (5, 50):
+        words[at] = "edit"
+        rows.append(("file", f"e{at}", " ".join(words)))
+    docs = spark.createDataFrame([(*r, 1, "c", 2) for r in rows], SCHEMA).repartition(4)
+    monkeypatch.setattr(m, "_ranges", lambda docs: 128)  # as for a large input
+    before = on_disk(spark, None)
+    near = near_pairs(docs, "unit", "content", 3, 0.6, 30)
+    size = sum(len(c) for _, _, c in rows)
+    for _ in range(50):  # files are removed in the background
+        took = on_disk(spark, near) - before
+        if took < 3 * size:
+            break
+        time.sleep(0.2)
+    assert took < 3 * size
+    assert {(r["group"], r.id_a, r.id_b) for r in expand_pairs(near, members(docs, "id", "unit", "content")).collect()} == {("file", "d0000", "e5"), ("file", "d0000", "e50"), ("file", "e5", "e50")}
+
+
+def test_texts_stay_at_a_gram_only_with_a_possible_partner():
+    import stratalog.llm.near_duplicates as m
+
+    rng = random.Random(4)
+    for t in (0.5, 0.6, 0.8, 1.0):
+        rows = sorted((rng.randrange(60), n := rng.randrange(1, 30), rng.randrange(1, n + 1)) for _ in range(300))
+        got = m.possible(*(m.np.array(x) for x in zip(*rows)), t)
+        for i, (g, n, left) in enumerate(rows):
+            fits = any(j != i and g == h and min(left, rest) * (1 + t) >= t * (n + k) - 1e-9 for j, (h, k, rest) in enumerate(rows))
+            assert got[i] == fits
